@@ -36,14 +36,19 @@ def _sliding(x: np.ndarray, n: int, best) -> np.ndarray:
     return best(part[: len(part) - rest], part[rest:]) if rest else part
 
 
+def _lowest(w, window: int, k: int, spread: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of k words, and the smallest of each spread neighbours within a document (else 0)."""
+    grams = ngrams(w.hashes, k)
+    low = _sliding(grams, spread, np.minimum)
+    low[w.room()[: len(low)] < k + spread - 1] = 0
+    return grams, low
+
+
 def selected(w, window: int = WINDOW, k: int = K, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the fingerprints of documents that have a window."""
-    n, room = len(w.hashes), w.room()
-    if n < window:
+    if len(w.hashes) < window:
         return np.zeros(0, np.int64), np.zeros(0, U64)
-    grams = ngrams(w.hashes, k)
-    low = _sliding(grams, spread, np.minimum)
-    low[room[: len(low)] < k + spread - 1] = 0
+    grams, low = _lowest(w, window, k, spread)
     padded = np.concatenate([np.zeros(spread - 1, U64), low, np.zeros(spread - 1, U64)])
     high = _sliding(padded, spread, np.maximum)
     at = np.flatnonzero(grams == high[: len(grams)])
@@ -52,16 +57,19 @@ def selected(w, window: int = WINDOW, k: int = K, spread: int = SPREAD) -> tuple
     return at, grams[at]
 
 
-def _candidates(w, known, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Starts of windows without a unique fingerprint, and for each the next fingerprint's position."""
-    at, fp = selected(w, window)
+def _candidates(w, known, window: int = WINDOW, k: int = K, spread: int = SPREAD) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows without a unique fingerprint, and for each the next fingerprint's position.
+
+    Only fingerprints that a window's own words select count, since these are selected wherever the words stand.
+    """
+    at, _ = selected(w, window, k, spread)
     if not len(at):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    alone = np.zeros(len(w.hashes) + 1, np.int64)
-    alone[at[~known.test(fp)] + 1] = 1
-    alone = np.cumsum(alone)
+    _, low = _lowest(w, window, k, spread)
+    alone = np.zeros(len(low) + 1, np.int64)
+    np.cumsum(~known.test(low) & (low != 0), out=alone[1:])
     starts = np.flatnonzero(w.room() >= window)
-    starts = starts[alone[starts + window - K + 1] == alone[starts]]
+    starts = starts[alone[starts + window - k - spread + 2] == alone[starts]]
     return starts, at[np.minimum(np.searchsorted(at, starts), len(at) - 1)]
 
 

@@ -7,10 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, substring_dedup
+from . import decontaminate, exact_dedup, html_text, jaccard, language, line_dedup, packing, quality, substring_dedup, token_store
 from .shared import documents
 
 
+THRESHOLD = 0.7
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack_documents(documents(spark, sf_dir), with_ids=False)
+    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(_pages(spark, sf_dir), language.train(documents(spark, sf_dir)))
+
+
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(_pages(spark, sf_dir))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_store.round_trip(documents(spark, sf_dir))
+    return out.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    # The text goes through the scorer only as far as it is needed there.
+    out = quality.score(docs, model, carry=["doc_id"])
+    return out.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 4 == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir), digest_all=True)
 
@@ -32,8 +70,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op2_language_id": op2_language_id,
+    "op3_html_extraction": op3_html_extraction,
+    "op4_jaccard_join": op4_jaccard_join,
+    "op5_token_output": op5_token_output,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
 }

@@ -93,12 +93,14 @@ def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[off[0] : off[-1]], off - off[0]
 
 
-def scan(arr: pa.Array, sep: np.ndarray = SPACE_SEP, fold: np.ndarray = KEEP) -> Words:
-    """Words of every string. Per-byte work is done in blocks of about a megabyte, so a very long text needs no more."""
+def scan(arr: pa.Array, sep: np.ndarray = SPACE_SEP, fold: np.ndarray = KEEP, cuts=None) -> Words:
+    """Words of every string; cuts(bytes) may give positions at which words are cut as well. Per-byte work is done in blocks of about a megabyte, so a very long text needs no more."""
     buf, off = utf8(arr)
     n = len(buf)
     brk = np.zeros(n + 1, dtype=bool)
     brk[off] = True
+    if cuts is not None:
+        brk[cuts(buf)] = True
     value = _BYTE_VALUE[fold]
     s_all, e_all, h_all, at = [], [], [], 0
     while at < n:

@@ -6,6 +6,9 @@ estimated document frequency, rare tokens first. A document whose prefix for L =
 a longer prefix and a larger L; a pair is verified if it shares as many tokens in its two prefixes as the smaller
 L of the two. Prefixes are written out for the longest a document may need, |A| - ceil(0.8 |A|) + L.
 
+Each set also has 128 parity bits of its tokens. Sets differ in at least as many tokens as their parities in
+bits, so pairs that differ in too many bits are left out before anything is fetched for them, and no link is lost.
+
 Equal sets are one class, and classes stand for their documents from the start. What the query needs is
 components, so links inside a component found already are not looked for: first each prefix token compares
 its classes with one leader, which joins groups of near copies in linear work; then all pairs of classes
@@ -32,6 +35,8 @@ SKETCH = 1 << 22
 COSTS = (16, 128, 1024)
 #: Rounds of comparing with leaders, at most; the share of a round's pairs that must be links for another one.
 ROUNDS, WORTH = 5, 0.05
+#: What a class brings along for _may_link.
+SIDE = ("n", "pos", "ell", "p1", "p2")
 
 
 def shingle_sets(arr: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -58,12 +63,21 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """128 parity bits of each set, as two integers."""
+    out = np.zeros((len(sets), 2), np.int64)
+    for i, s in enumerate(sets):
+        bits = np.bincount((s >> U64(57)).astype(np.int64), minlength=128).astype(np.uint8) & 1
+        out[i] = np.packbits(bits, bitorder="little").view(np.int64)
+    return out
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, h1, h2) of each document, and a sketch of shingle counts of each task (n = -1)."""
+    """(doc_id, n, h1, h2, p1, p2) of each document, and a sketch of shingle counts of each task (n = -1)."""
 
     def run(batches):
         sketch = np.zeros(SKETCH, np.uint32)
-        names = ["doc_id", "n", "h1", "h2", "sketch"]
+        names = ["doc_id", "n", "h1", "h2", "p1", "p2", "sketch"]
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"))
@@ -72,11 +86,14 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 h1 = np.array([mix64(s).sum(dtype=U64) for s in sets], U64)
                 h2 = np.array([mix64(s ^ U64(0x1F83D9ABFB41BD6B)).sum(dtype=U64) for s in sets], U64)
                 n = np.array([len(s) for s in sets], np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.nulls(len(part), pa.binary())], names=names)
+                parity = parities(sets)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(parity[:, 0]), pa.array(parity[:, 1]), pa.nulls(len(part), pa.binary())], names=names
+                )
         one = pa.array([0], pa.int64())
-        yield pa.RecordBatch.from_arrays([one, pa.array([-1], pa.int64()), one, one, pa.array([zlib.compress(sketch.tobytes(), 1)], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([one, pa.array([-1], pa.int64()), one, one, one, one, pa.array([zlib.compress(sketch.tobytes(), 1)], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, p1 long, p2 long, sketch binary")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -167,12 +184,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def _may_link(x: str, y: str, percent: int):
-    """Sizes near enough, and the shared token within the prefixes that these sizes call for."""
+    """Sizes near enough, the shared token within the prefixes that these sizes call for, and parities near enough."""
     xn, yn, xp, yp = (F.col(c) for c in (f"{x}n", f"{y}n", f"{x}pos", f"{y}pos"))
     overlap = F.ceil((xn + yn) * percent / (100 + percent))
     ell = F.least(F.col(f"{x}ell"), F.col(f"{y}ell"))
     near = F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent
-    return near & (xp < xn - overlap + ell) & (yp < yn - overlap + ell)
+    apart = sum(F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}"))) for p in ("p1", "p2"))
+    return near & (xp < xn - overlap + ell) & (yp < yn - overlap + ell) & (apart <= xn + yn - 2 * overlap)
 
 
 def _with_comp(entries: DataFrame, found: DataFrame | None) -> DataFrame:
@@ -194,8 +212,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = staged(_signatures(docs), "signatures")
     sketch = spark.sparkContext.broadcast(_sketch(signed.where("n = -1").select("sketch")))
-    rows = signed.where("n >= 0").select("doc_id", "n", "h1", "h2")
-    classes = staged(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node")), "classes")
+    rows = signed.where("n >= 0").select("doc_id", "n", "h1", "h2", "p1", "p2")
+    classes = staged(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.max("p1").alias("p1"), F.max("p2").alias("p2")), "classes")
+    rows = rows.drop("p1", "p2")
 
     prefixes = staged(_prefixes(docs, sketch, percent), "prefixes")
     shared = prefixes.groupBy("token").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi")
@@ -203,7 +222,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tokens = spark.sparkContext.broadcast(key_filter(shared, "token", shared.count()))
     some = staged(_passing(prefixes, "token", tokens).groupBy("token", "h1").agg(F.max("pos").alias("pos"), F.max("ell").alias("ell"), F.max("pop").alias("pop")), "entries")
     discard(shared, prefixes)
-    entries = staged(some.join(classes.where("node is not null"), "h1").select("token", "node", "n", "pos", "ell", "pop"), "nodes")
+    entries = staged(some.join(classes.where("node is not null"), "h1").select("token", "node", *SIDE, "pop"), "nodes")
     discard(some)
     nodes = staged(entries.select("node").distinct(), "candidates")
     ids = spark.sparkContext.broadcast(key_filter(nodes.select(F.xxhash64("node").alias("key")), "key", nodes.count()))
@@ -215,9 +234,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for turn in range(ROUNDS):
         state = staged(_with_comp(entries, found), "state")
         weight = F.col("pop").cast("double") if turn == 0 else F.xxhash64(F.lit(turn), "node").cast("double")
-        lead = F.max(F.struct(weight.alias("w"), *[F.col(c).alias(f"lead_{c}") for c in ("node", "comp", "n", "pos", "ell")]))
+        lead = F.max(F.struct(weight.alias("w"), *[F.col(c).alias(f"lead_{c}") for c in ("node", "comp", *SIDE)]))
         leaders = staged(state.groupBy("token").agg(lead.alias("x")).select("token", "x.*").drop("w"), "leaders")
-        stars = state.select("token", "node", "comp", *[F.col(c).alias(f"own_{c}") for c in ("n", "pos", "ell")]).join(leaders, "token")
+        stars = state.select("token", "node", "comp", *[F.col(c).alias(f"own_{c}") for c in SIDE]).join(leaders, "token")
         stars = stars.where((F.col("comp") != F.col("lead_comp")) & _may_link("own_", "lead_", percent))
         stars = staged(stars.select(F.col("node").alias("a"), F.col("lead_node").alias("b")).distinct(), "stars")
         fresh = staged(_verified(stars, texts, percent), "links")
@@ -231,8 +250,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     state = staged(_with_comp(entries, found), "state")
     mixed = state.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    open_ = staged(state.join(mixed, "token", "left_semi").select("token", "node", "n", "pos", "ell", "comp"), "open")
-    x, y = (open_.select("token", *[F.col(c).alias(f"{s}{c}") for c in ("node", "n", "pos", "ell", "comp")]) for s in ("x", "y"))
+    open_ = staged(state.join(mixed, "token", "left_semi").select("token", "node", "comp", *SIDE), "open")
+    x, y = (open_.select("token", *[F.col(c).alias(f"{s}{c}") for c in ("node", "comp", *SIDE)]) for s in ("x", "y"))
     pairs = x.join(y, "token").where((F.col("xnode") < F.col("ynode")) & (F.col("xcomp") != F.col("ycomp")) & _may_link("x", "y", percent))
     pairs = pairs.groupBy(F.col("xnode").alias("a"), F.col("ynode").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("xell", "yell")).alias("ell"))
     pairs = staged(pairs.where("c >= ell").select("a", "b"), "pairs")

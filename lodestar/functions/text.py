@@ -111,7 +111,15 @@ QUESTIONS = (("pronoun", PRONOUNS, "Which item do you mean?"), ("vague", VAGUE,
 
 def clarifications(query, round_, most: int = 3) -> Column:
     q = F.lower(query)
-    asks = F.array_compact(F.array(*[F.when(F.exists(F.array(*[F.lit(w) for w in words]), lambda w, q=q: F.contains(F.concat(F.lit(" "), q, F.lit(" ")), F.concat(F.lit(" "), w, F.lit(" ")))), text) for _, words, text in QUESTIONS]))
+    padded = F.concat(F.lit(" "), q, F.lit(" "))
+
+    def has(words):
+        out = F.lit(False)
+        for w in words:
+            out = out | padded.contains(f" {w} ")
+        return out
+
+    asks = F.array_compact(F.array(*[F.when(has(words), text) for _, words, text in QUESTIONS]))
     return F.when(round_ >= most, F.array().cast("array<string>")).otherwise(asks)
 
 

@@ -35,11 +35,15 @@ def tokens(column) -> Column:
     return F.filter(F.split(F.lower(column), "[^a-z0-9]+"), lambda x: x != "")
 
 
+def _equals(word: str):
+    return lambda x: x == word
+
+
 def bm25(nodes: DataFrame, query: str, k: int | None = 100, key: str = "uid", column: str = "docstring", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """key, score by Okapi BM25. Only rows of query words are grouped; lengths and counts come from one pass each."""
     words = sorted({w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
     docs = nodes.select(F.col(key), tokens(F.coalesce(F.col(column), F.lit(""))).alias("_t"))
-    sized = docs.select(key, F.size("_t").alias("_n"), *[F.size(F.filter("_t", lambda x, w=w: x == w)).alias(f"_f{i}") for i, w in enumerate(words)])
+    sized = docs.select(key, F.size("_t").alias("_n"), *[F.size(F.filter("_t", _equals(w))).alias(f"_f{i}") for i, w in enumerate(words)])
     stats = sized.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(words))])
     hit = sized.where(sum((F.col(f"_f{i}") for i in range(len(words))), F.lit(0)) > 0)
     scored = with_totals(hit, stats)

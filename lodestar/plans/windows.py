@@ -28,14 +28,14 @@ def _(spark, d):
     return N.sessions(table(spark, d, "events"), "2 hours", "user_id")
 
 
-@query("rate_limit", oracle(f"""with p as (select user_id, event_id, {_S} // 21600 * 21600 as window, row_number() over (partition by user_id, {_S} // 21600 order by ts, event_id) as place from events)
-select user_id, event_id, window, place, place <= 2 as allowed from p"""))
+@query("rate_limit", oracle(f"""with p as (select user_id, event_id, {_S} // 21600 * 21600 as "window", row_number() over (partition by user_id, {_S} // 21600 order by ts, event_id) as place from events)
+select user_id, event_id, "window", place, place <= 2 as allowed from p"""))
 def _(spark, d):
     e = table(spark, d, "events").withColumnRenamed("event_id", "seq")
     return N.rate_limited(e, "user_id", 2, 21600).select("user_id", F.col("seq").alias("event_id"), "window", "place", "allowed")
 
 
-@query("error_rate_window", oracle(f"select {_S} // 21600 * 21600 as window, count(*) as n, round(avg((not ok)::int), 6) as error_ratio from health group by 1 having avg((not ok)::int) > 0.1", "health"))
+@query("error_rate_window", oracle(f"""select {_S} // 21600 * 21600 as "window", count(*) as n, round(avg((not ok)::int), 6) as error_ratio from health group by 1 having avg((not ok)::int) > 0.1""", "health"))
 def _(spark, d):
     return _round(N.error_ratio(health(spark, d), 21600, ~F.col("ok")), "error_ratio").where("error_ratio > 0.1")
 
@@ -56,7 +56,7 @@ def _(spark, d):
 
 @query("latency_spike", oracle(f"""with h2 as (select *, {_S} // 21600 * 21600 as win, {_S} // 86400 * 86400 as outer_ from health),
 a as ({_quantile_sql('win, outer_', 0.95, 'h2')}), b as ({_quantile_sql('outer_', 0.95, 'h2')})
-select win as window, round(a.quantile, 6) as quantile, round(b.quantile, 6) as baseline from a join b using (outer_) where a.quantile > 1.05 * b.quantile""", "health"))
+select win as "window", round(a.quantile, 6) as quantile, round(b.quantile, 6) as baseline from a join b using (outer_) where a.quantile > 1.05 * b.quantile""", "health"))
 def _(spark, d):
     return _round(N.latency_spikes(health(spark, d), "latency", BOUNDS, 21600, 86400, 1.05), "quantile", "baseline")
 
@@ -89,8 +89,8 @@ def _(spark, d):
     return N.count_over(health(spark, d), ~F.col("ok"), "service", 86400).select("service", "seq", "count")
 
 
-@query("counter_increase", oracle(f"""with r as (select service, {_S} // 86400 * 86400 as window, latency, lag(latency) over (partition by service order by ts, seq) as before from health)
-select service, window, round(sum(case when before is null then 0 when latency < before then latency else latency - before end), 6) as increase from r group by all""", "health"))
+@query("counter_increase", oracle(f"""with r as (select service, {_S} // 86400 * 86400 as "window", latency, lag(latency) over (partition by service order by ts, seq) as before from health)
+select service, "window", round(sum(case when before is null then 0 when latency < before then latency else latency - before end), 6) as increase from r group by all""", "health"))
 def _(spark, d):
     return _round(N.increase(health(spark, d), "latency", "service", 86400), "increase")
 

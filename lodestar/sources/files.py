@@ -30,13 +30,17 @@ def _regex(pattern: str) -> str:
     return "(?s)^" + fnmatch.translate(pattern).replace("(?s:", "(?:").removesuffix(r"\Z").removesuffix(r"\z") + "$"
 
 
+def _like(regex: str):
+    return lambda x: x.rlike(regex)
+
+
 def excluded(path: Column, name: Column, patterns: Iterable[str]) -> Column:
     """Whether a glob matches the name, a directory of the path, or the path; ** stands for any depth."""
     out = F.lit(False)
     parts = F.split(path, "/")
     for p in patterns:
         r = _regex(p)
-        out = out | name.rlike(r) | path.rlike(r) | F.exists(parts, lambda x, r=r: x.rlike(r))
+        out = out | name.rlike(r) | path.rlike(r) | F.exists(parts, _like(r))
         if "**" in p:
             out = out | name.rlike(_regex(p.replace("**/", "").replace("/**", "")))
     return out
@@ -56,17 +60,18 @@ def discover(spark: SparkSession, root: str, ignore: Iterable[str] = (), largest
 def is_binary(content: Column, sample: int = 8192) -> Column:
     """A NUL byte, or no valid UTF-8, among the first bytes (a character cut at their end doesn't count)."""
     head = F.substring(content, 1, sample)
-    ok = F.is_valid_utf8(head)
+    valid = F.is_valid_utf8(head)
     for cut in (1, 2, 3):
-        ok = ok | ((F.octet_length(content) > sample) & F.is_valid_utf8(F.substring(content, 1, sample - cut)))
-    return F.contains(F.hex(F.regexp_replace(F.hex(head), "(..)", "$1 ")), F.hex(F.lit("00 "))) | ~ok
+        valid = valid | ((F.octet_length(content) > sample) & F.is_valid_utf8(F.substring(content, 1, sample - cut)))
+    pairs = F.regexp_replace(F.hex(head), "(..)", "$1 ")
+    return pairs.contains("00 ") | ~valid
 
 
 def metadata(files: DataFrame, truncate: int = 1 << 20) -> DataFrame:
     """files with category, binary, mime, sha1, text (LF not changed, long ones cut with a marker) and lines."""
     binary = F.when(file_category(F.col("name")) == "Unknown", is_binary(F.col("content"))).otherwise(file_category(F.col("name")) == "Binary")
     mime = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv]), F.col("extension")), F.lit("application/octet-stream"))
-    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", F.lit("ISO-8859-1")))
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     out = files.withColumn("binary", binary).withColumn("category", F.when(F.col("binary"), "Binary").otherwise(file_category(F.col("name"))))
     out = out.withColumn("mime", mime).withColumn("sha1", F.sha1("content")).withColumn("encoding", F.when(F.is_valid_utf8("content"), "utf-8").otherwise("latin-1"))
     out = out.withColumn("text", F.when(~F.col("binary"), F.when(F.length(text) > truncate, F.concat(F.substring(text, 1, truncate), F.lit(MARKER))).otherwise(text)))

@@ -67,7 +67,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(lang_col).alias("lang")).where("lang is not null and k is not null")
     chosen = rows.orderBy(F.xxhash64("k"), "k").limit(sample).distinct()
-    texts = docs.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "k")
+    texts = docs.select(F.col(id_col).cast("string").alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["k", "lang"])
 
     def count(batches):
         for batch in batches:

@@ -10,9 +10,9 @@ Each set also has 128 parity bits of its tokens. Sets differ in at least as many
 bits, so pairs that differ in too many bits are left out before anything is fetched for them, and no link is lost.
 
 Equal sets are one class, and classes stand for their documents from the start. What the query needs is
-components, so links inside a component found already are not looked for: first each prefix token compares
-its classes with one leader, which joins groups of near copies in linear work; then all pairs of classes
-that share prefix tokens and lie in different components so far are verified.
+components, so links inside a component found already are not looked for: first a few prefix tokens of each class
+compare it with one leader a token, which joins groups of near copies in linear work; then all pairs of classes
+that share prefix tokens and lie in different components so far are verified, over all prefix tokens.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, key_filter, prepare, staged
+from .shared import discard, key_filter, maybe_in, prepare, staged
 from .textcore import FOLD, SPACE_SEP, U64, mix64, ngrams, scan, slices
 
 SHINGLE = 5
@@ -35,6 +35,8 @@ SKETCH = 1 << 22
 COSTS = (16, 128, 1024)
 #: Rounds of comparing with leaders, at most; the share of a round's pairs that must be links for another one.
 ROUNDS, WORTH = 5, 0.05
+#: Shared prefix tokens of a set, the rarest ones, by which it meets leaders.
+STARS = 8
 #: What a class brings along for _may_link.
 SIDE = ("n", "pos", "ell", "p1", "p2")
 
@@ -151,18 +153,32 @@ def _prefixes(docs: DataFrame, sketch, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, h1 long, pos int, ell int, pop float")
 
 
-def _passing(rows: DataFrame, column: str, keys) -> DataFrame:
-    """Rows whose key passes a broadcast filter."""
+def _shared(rows: DataFrame, keys) -> DataFrame:
+    """Prefix rows whose token passes a broadcast filter; star marks the first STARS of each set."""
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array(keys.value.test(batch.column(column).to_numpy(zero_copy_only=False).view(U64) if column == "token" else batch.column(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64))))
+            part = batch.filter(pa.array(keys.value.test(batch.column("token").to_numpy(zero_copy_only=False).view(U64))))
+            h1 = part.column("h1").to_numpy(zero_copy_only=False)
+            new = np.ones(len(h1), dtype=bool)
+            new[1:] = h1[1:] != h1[:-1]
+            head = np.flatnonzero(new)
+            rank = np.arange(len(h1)) - np.repeat(head, np.diff(np.append(head, len(h1))))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rank < STARS)], names=[*part.schema.names, "star"])
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(run, "token long, h1 long, pos int, ell int, pop float, star boolean")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets are similar."""
+def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts of the documents in pairs, one for each id."""
+    ids = staged(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
+    some = maybe_in(docs.where("doc_id is not null"), F.xxhash64("doc_id"), ids.select(F.xxhash64("id").alias("key")), ids.count())
+    return staged(some.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "texts")
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose texts' shingle sets are similar. Texts are fetched for these pairs alone."""
+    texts = _texts(docs, pairs)
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
@@ -204,7 +220,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable).
 
     Null and empty texts, and texts without words, have an empty set and link with nothing. Rows that repeat an
-    id with equal texts are one class. A null id never is the smallest of several; a class of null ids only keeps
+    id with equal texts are one class; with different texts they are one node, of which one text is compared. A null id never is the smallest of several; a class of null ids only keeps
     null and links with nothing. Other columns are ignored.
     """
     spark = docs.sparkSession
@@ -220,26 +236,24 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = prefixes.groupBy("token").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi")
     shared = staged(shared.select("token"), "shared_tokens")
     tokens = spark.sparkContext.broadcast(key_filter(shared, "token", shared.count()))
-    some = staged(_passing(prefixes, "token", tokens).groupBy("token", "h1").agg(F.max("pos").alias("pos"), F.max("ell").alias("ell"), F.max("pop").alias("pop")), "entries")
+    some = _shared(prefixes, tokens).groupBy("token", "h1").agg(F.max("pos").alias("pos"), F.max("ell").alias("ell"), F.max("pop").alias("pop"), F.max("star").alias("star"))
+    known = classes.where("node is not null")
+    entries = staged(some.join(known.select("h1", "node", "n"), "h1").select("token", "node", "n", "pos", "ell", "pop", "star"), "nodes")
     discard(shared, prefixes)
-    entries = staged(some.join(classes.where("node is not null"), "h1").select("token", "node", *SIDE, "pop"), "nodes")
-    discard(some)
-    nodes = staged(entries.select("node").distinct(), "candidates")
-    ids = spark.sparkContext.broadcast(key_filter(nodes.select(F.xxhash64("node").alias("key")), "key", nodes.count()))
-    tagged = docs.withColumn("key", F.xxhash64("doc_id"))
-    texts = staged(_passing(tagged, "key", ids).select("doc_id", "text").join(nodes, F.col("doc_id") == F.col("node"), "left_semi").dropDuplicates(["doc_id"]), "texts")
+    sides = known.select("node", "p1", "p2").groupBy("node").agg(F.max("p1").alias("p1"), F.max("p2").alias("p2"))
+    first = staged(entries.where("star").drop("star").join(sides, "node"), "star_tokens")
 
     links: DataFrame | None = None
     found: DataFrame | None = None
     for turn in range(ROUNDS):
-        state = staged(_with_comp(entries, found), "state")
+        state = staged(_with_comp(first, found), "state")
         weight = F.col("pop").cast("double") if turn == 0 else F.xxhash64(F.lit(turn), "node").cast("double")
         lead = F.max(F.struct(weight.alias("w"), *[F.col(c).alias(f"lead_{c}") for c in ("node", "comp", *SIDE)]))
         leaders = staged(state.groupBy("token").agg(lead.alias("x")).select("token", "x.*").drop("w"), "leaders")
         stars = state.select("token", "node", "comp", *[F.col(c).alias(f"own_{c}") for c in SIDE]).join(leaders, "token")
         stars = stars.where((F.col("comp") != F.col("lead_comp")) & _may_link("own_", "lead_", percent))
         stars = staged(stars.select(F.col("node").alias("a"), F.col("lead_node").alias("b")).distinct(), "stars")
-        fresh = staged(_verified(stars, texts, percent), "links")
+        fresh = staged(_verified(stars, docs, percent), "links")
         tried, new = stars.count(), fresh.count()
         discard(leaders, stars, state)
         links = fresh if links is None else links.unionByName(fresh)
@@ -248,14 +262,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if new <= WORTH * tried:
             break
 
-    state = staged(_with_comp(entries, found), "state")
+    state = staged(_with_comp(entries.select("token", "node", "n", "pos", "ell"), found), "state")
     mixed = state.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    open_ = staged(state.join(mixed, "token", "left_semi").select("token", "node", "comp", *SIDE), "open")
+    open_ = staged(state.join(mixed, "token", "left_semi").join(sides, "node").select("token", "node", "comp", *SIDE), "open")
+    discard(state)
     x, y = (open_.select("token", *[F.col(c).alias(f"{s}{c}") for c in ("node", "comp", *SIDE)]) for s in ("x", "y"))
     pairs = x.join(y, "token").where((F.col("xnode") < F.col("ynode")) & (F.col("xcomp") != F.col("ycomp")) & _may_link("x", "y", percent))
     pairs = pairs.groupBy(F.col("xnode").alias("a"), F.col("ynode").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("xell", "yell")).alias("ell"))
     pairs = staged(pairs.where("c >= ell").select("a", "b"), "pairs")
-    rest = staged(_verified(pairs, texts, percent), "links")
+    rest = staged(_verified(pairs, docs, percent), "links")
     found = components(links.unionByName(rest))
 
     out = rows.join(classes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"], "left")

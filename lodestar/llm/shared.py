@@ -89,5 +89,24 @@ def key_filter(df: DataFrame, column: str, count: int, max_bits: int = MAX_FILTE
     return KeyFilter(bits, data)
 
 
+def maybe_in(df: DataFrame, key, keys: DataFrame, count: int, max_bits: int = MAX_FILTER_BITS) -> DataFrame:
+    """Rows of df whose key (a long column) may be in keys ("key"): none of them is missed, a few others pass.
+
+    The keys are a bit array of fixed size, broadcast as rows of 32768 bits and looked up by built-in functions,
+    so df is not shuffled and nothing leaves the JVM.
+    """
+    bits = min(max_bits, max(15, int(max(1, count) * 16 - 1).bit_length()))
+    at = lambda k: k.bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(1)
+    bitmap = (
+        keys.select(F.bitmap_bucket_number(at(F.col("key"))).alias("_bucket"), F.bitmap_bit_position(at(F.col("key"))).alias("_p"))
+        .groupBy("_bucket")
+        .agg(F.bitmap_construct_agg("_p").alias("_bitmap"))
+    )
+    probed = df.withColumn("_at", F.bitmap_bit_position(at(key))).withColumn("_bucket", F.bitmap_bucket_number(at(key)))
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(_at % 8 as int)) as int)")) > 0
+    return probed.join(F.broadcast(bitmap), "_bucket").where(hit).select(*df.columns)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -14,9 +14,8 @@ from .views import oracle
 
 
 def _events(spark, d):
-    path = f"{d}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    out = spark.readStream.schema(schema).parquet(path if spark.read.parquet(path).inputFiles()[0].endswith(f"events.parquet/{path}") else f"{d}/events.parquet*")
+    schema = spark.read.parquet(f"{d}/events.parquet").schema
+    out = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")  # a file or a folder of files
     return out.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -9,10 +9,10 @@ then the compressed parts in the header's order.
 from __future__ import annotations
 
 import json
-import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ from .shared import new_folder, prepare
 from .textcore import slices
 from .tokens import BYTE_LEVEL, encoder, vocabulary
 
-MAGIC = b"LSWAVE1\n"
+MAGIC = b"LSWAVE2\n"
 END_ID = 0
 SHARD_TOKENS = 1 << 20
 _STEP = 512
@@ -41,12 +41,13 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
     for level in range(levels - 1, -1, -1):
         bit = (x >> kind(level)) & kind(1) == 1
         planes.append(np.packbits(bit).tobytes())
-        low = x[~bit]
+        low = np.flatnonzero(~bit)
         zeros.append(len(low))
-        x = np.concatenate([low, x[bit]])
+        x = x.take(np.concatenate([low, np.flatnonzero(bit)]))
     known = [d for d in doc_ids if d is not None]
     parts = [alphabet.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), np.array(known, "<i8").tobytes(), np.packbits([d is None for d in doc_ids]).tobytes(), *planes]
-    packed = [zlib.compress(p, 1) for p in parts]
+    pack = zstandard.ZstdCompressor(level=1)
+    packed = [pack.compress(p) for p in parts]
     header = json.dumps({"n": len(ids), "docs": len(doc_ids), "levels": levels, "zeros": zeros, "parts": [len(p) for p in packed]}).encode()
     return b"".join([MAGIC, np.array([len(header)], "<u4").tobytes(), header, *packed])
 
@@ -61,9 +62,9 @@ class Shard:
         size = int(np.frombuffer(data[at - 4 : at], "<u4")[0])
         head = json.loads(data[at : at + size])
         at += size
-        parts = []
+        parts, unpack = [], zstandard.ZstdDecompressor()
         for n in head["parts"]:
-            parts.append(zlib.decompress(data[at : at + n]))
+            parts.append(unpack.decompress(data[at : at + n]))
             at += n
         self.n, self.levels, self.zeros = head["n"], head["levels"], head["zeros"]
         self.alphabet = np.frombuffer(parts[0], "<u4")
@@ -151,9 +152,9 @@ class Shard:
         x = np.zeros(self.n, np.uint16 if len(self.alphabet) <= 1 << 16 else np.uint32)
         for level in range(self.levels - 1, -1, -1):
             bit = np.unpackbits(self._bytes[level], count=self.n).astype(bool)
+            x[self.zeros[level] :] |= x.dtype.type(1 << (self.levels - 1 - level))
             y = np.empty_like(x)
-            y[~bit] = x[: self.zeros[level]]
-            y[bit] = x[self.zeros[level] :] | x.dtype.type(1 << (self.levels - 1 - level))
+            y[np.concatenate([np.flatnonzero(~bit), np.flatnonzero(bit)])] = x
             x = y
         return self.alphabet[x] if self.n else np.zeros(0, "<u4")
 

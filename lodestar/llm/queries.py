@@ -86,6 +86,16 @@ _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 _WS = r"[\x20\x09-\x0D]"
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": rf"""
+with recursive d as (select doc_id, regexp_extract_all({_FOLD}, '[^\x20\x09-\x0D]+') as w from documents),
+s as (select distinct doc_id, array_to_string(list_slice(w, i, i + least(5, len(w)) - 1), ' ') as sh
+  from d, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) as u(i)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+e as (select x as a, y as b from l union all select y, x from l),
+r(node, root) as (select doc_id, doc_id from documents union select e.b, r.root from r join e on e.a = r.node)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, min(root) as component_id from d left join n on n.doc_id = d.doc_id join r on r.node = d.doc_id group by all""",
     "op6_exact_dedup": f"""
 with d as (select doc_id, {_FOLD} as t from documents),
 g as (select t, max(doc_id) as keep_id, count(*) as group_size from d group by t)

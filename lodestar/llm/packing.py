@@ -16,7 +16,7 @@ from .textcore import slices
 
 CAPACITY, END_ID = 4096, 2
 #: Documents to a packing group; a group is one differencing problem.
-GROUP = 1500
+GROUP = 3000
 
 
 def difference(sizes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

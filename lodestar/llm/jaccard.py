@@ -29,8 +29,8 @@ from .shared import discard, key_filter, maybe_in, prepare, staged
 from .textcore import FOLD, SPACE_SEP, U64, mix64, ngrams, scan, slices
 
 SHINGLE = 5
-#: Counters of the frequency sketch (4 bytes each), the same at any size of the corpus.
-SKETCH = 1 << 22
+#: Counters of the frequency sketch (a byte each, 32 MB, full at 255), the same at any size of the corpus.
+SKETCH = 1 << 25
 #: Estimated candidates from which a prefix is lengthened to L = 2, 3 and 4.
 COSTS = (16, 128, 1024)
 #: Rounds of comparing with leaders, at most; the share of a round's pairs that must be links for another one.
@@ -78,13 +78,15 @@ def _signatures(docs: DataFrame) -> DataFrame:
     """(doc_id, n, h1, h2, p1, p2) of each document, and a sketch of shingle counts of each task (n = -1)."""
 
     def run(batches):
-        sketch = np.zeros(SKETCH, np.uint32)
+        sketch = np.zeros(SKETCH, np.uint8)
         names = ["doc_id", "n", "h1", "h2", "p1", "p2", "sketch"]
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"))
                 for s in sets:
-                    sketch[(s & U64(SKETCH - 1)).astype(np.int64)] += np.uint32(1)
+                    at = (s & U64(SKETCH - 1)).astype(np.int64)
+                    now = sketch[at]
+                    sketch[at] = now + (now < 255)
                 h1 = np.array([mix64(s).sum(dtype=U64) for s in sets], U64)
                 h2 = np.array([mix64(s ^ U64(0x1F83D9ABFB41BD6B)).sum(dtype=U64) for s in sets], U64)
                 n = np.array([len(s) for s in sets], np.int64)
@@ -98,23 +100,30 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, p1 long, p2 long, sketch binary")
 
 
+def _add(total: np.ndarray, packed: bytes) -> None:
+    """Adds a packed sketch; counters stop at 255."""
+    more = np.frombuffer(zlib.decompress(packed), np.uint8)
+    np.minimum(more, 255 - total, out=(room := np.empty_like(total)))
+    total += room
+
+
 def _sketch(rows: DataFrame) -> np.ndarray:
     """The sum of all tasks' sketches, added up on the executors sixteen at a time; the driver gets sixteen at most."""
 
     def add(batches):
-        total = np.zeros(SKETCH, np.uint32)
+        total = np.zeros(SKETCH, np.uint8)
         for batch in batches:
             for x in batch.column(0):
-                total += np.frombuffer(zlib.decompress(x.as_py()), np.uint32)
+                _add(total, x.as_py())
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["sketch"])
 
     n = rows.count()
     while n > 16:
         n = -(-n // 16)
         rows = staged(rows.repartition(n).mapInArrow(add, "sketch binary"), "sketch")
-    total = np.zeros(SKETCH, np.uint32)
+    total = np.zeros(SKETCH, np.uint8)
     for r in rows.toLocalIterator():
-        total += np.frombuffer(zlib.decompress(bytes(r["sketch"])), np.uint32)
+        _add(total, bytes(r["sketch"]))
     return total
 
 

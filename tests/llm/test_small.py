@@ -298,6 +298,15 @@ def test_html_extraction(spark):
     assert got[3] == ["", ""] and got[4] == ["unclosed"] and len(got[5]) == 1
 
 
+def test_html_ratios_decide_beside_and_within_an_article():
+    prose = "A long body text, with many words and commas, that goes on. It has several sentences, too, and says a lot. "
+    links = "".join(f"<li><a href=/{i}>Other story {i}</a></li>" for i in range(4))
+    teaser = f"<body><div id=story><h1>Body head</h1><p>{prose * 3}</p><p>{prose}</p></div><article class=teaser><h3><a href=/x>Other story</a></h3><p>Short teaser.</p></article>"
+    assert html_text.main_text(teaser).startswith("Body head " + prose * 4)
+    held = f"<body><article><h1>Head</h1><p>{prose * 3}</p><ul>{links}</ul><h2>Items</h2><p>One <a href=/q>linked</a> <b>word</b>, two.</p><ol><li>Eggs</li><li>a</li></ol><pre><code>x = 1</code></pre></article><div>All rights reserved.</div>"
+    assert html_text.main_text(held) == f"Head {prose * 3}Items One linked word, two. Eggs a x = 1"
+
+
 def test_language_fusion(spark):
     rng = random.Random(6)
     syll = {"aa": ["lo", "mi", "ra", "te"], "bb": ["sch", "ung", "ver", "ich"]}

@@ -26,10 +26,9 @@ def line_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest id."""
-    groups = jaccard.similar_groups(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stay = groups.select(F.col("doc_id").alias("_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stay")), "left_semi")
+    """One document of each group of near duplicates, that with the smallest id; rows that share an id are judged each by its text."""
+    stay = jaccard.similar_groups(docs).where("kept").select(F.col("row_key").alias("_stay"), F.col("doc_id").alias("_id")).distinct()
+    return docs.join(stay, (jaccard.row_key() == F.col("_stay")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

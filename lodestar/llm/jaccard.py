@@ -9,8 +9,9 @@ L of the two. Prefixes are written out for the longest a document may need, |A|
 Each set also has 128 parity bits of its tokens. Sets differ in at least as many tokens as their parities in
 bits, so pairs that differ in too many bits are left out before anything is fetched for them, and no link is lost.
 
-Equal sets are one class, and classes stand for their documents from the start. What the query needs is
-components, so links inside a component found already are not looked for: first a few prefix tokens of each class
+Equal sets are one class, and classes stand for their documents from the start: the node of a class is the hash of
+id and text of its row with the smallest id, so rows that share an id are apart unless their sets are equal. Ids come
+back at the end only. What the query needs is components, so links inside a component found already are not looked for: first a few prefix tokens of each class
 compare it with one leader a token, which joins groups of near copies in linear work; then all pairs of classes
 that share prefix tokens and lie in different components so far are verified, over all prefix tokens.
 """
@@ -74,12 +75,17 @@ def parities(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """What rows are told apart by: a hash of id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, h1, h2, p1, p2) of each document, and a sketch of shingle counts of each task (n = -1)."""
+    """(doc_id, key, n, h1, h2, p1, p2) of each document, and a sketch of shingle counts of each task (n = -1)."""
 
     def run(batches):
         sketch = np.zeros(SKETCH, np.uint8)
-        names = ["doc_id", "n", "h1", "h2", "p1", "p2", "sketch"]
+        names = ["doc_id", "key", "n", "h1", "h2", "p1", "p2", "sketch"]
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"))
@@ -92,12 +98,12 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 n = np.array([len(s) for s in sets], np.int64)
                 parity = parities(sets)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(parity[:, 0]), pa.array(parity[:, 1]), pa.nulls(len(part), pa.binary())], names=names
+                    [part.column("doc_id"), part.column("key"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(parity[:, 0]), pa.array(parity[:, 1]), pa.nulls(len(part), pa.binary())], names=names
                 )
         one = pa.array([0], pa.int64())
-        yield pa.RecordBatch.from_arrays([one, pa.array([-1], pa.int64()), one, one, one, one, pa.array([zlib.compress(sketch.tobytes(), 1)], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([one, one, pa.array([-1], pa.int64()), one, one, one, one, pa.array([zlib.compress(sketch.tobytes(), 1)], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, p1 long, p2 long, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, key long, n long, h1 long, h2 long, p1 long, p2 long, sketch binary")
 
 
 def _add(total: np.ndarray, packed: bytes) -> None:
@@ -179,17 +185,17 @@ def _shared(rows: DataFrame, keys) -> DataFrame:
 
 
 def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of the documents in pairs, one for each id."""
+    """The texts of the rows in pairs, one for each key."""
     ids = staged(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    some = maybe_in(docs.where("doc_id is not null"), F.xxhash64("doc_id"), ids.select(F.xxhash64("id").alias("key")), ids.count())
-    return staged(some.join(ids, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]), "texts")
+    some = maybe_in(docs.where("doc_id is not null").select("key", "text"), F.col("key"), ids.select(F.col("id").alias("key")), ids.count())
+    return staged(some.join(ids, F.col("key") == F.col("id"), "left_semi").dropDuplicates(["key"]), "texts")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose texts' shingle sets are similar. Texts are fetched for these pairs alone."""
     texts = _texts(docs, pairs)
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    left = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def run(batches):
@@ -226,19 +232,22 @@ def _with_comp(entries: DataFrame, found: DataFrame | None) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable).
+    """One row per document: doc_id, n_shingles, class_id (smallest id with the same set), component_id (smallest id reachable), row_key, kept.
 
-    Null and empty texts, and texts without words, have an empty set and link with nothing. Rows that repeat an
-    id with equal texts are one class; with different texts they are one node, of which one text is compared. A null id never is the smallest of several; a class of null ids only keeps
-    null and links with nothing. Other columns are ignored.
+    Null and empty texts, and texts without words, have an empty set and link with nothing. Rows that repeat an id
+    with different texts are compared and judged each by itself. A null id never is the smallest of several; a class
+    of null ids only keeps null and links with nothing. kept marks one text of each component, with the smallest id,
+    and all that links with nothing; rows that repeat both id and text are marked alike. Other columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
     signed = staged(_signatures(docs), "signatures")
     sketch = spark.sparkContext.broadcast(_sketch(signed.where("n = -1").select("sketch")))
-    rows = signed.where("n >= 0").select("doc_id", "n", "h1", "h2", "p1", "p2")
-    classes = staged(rows.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"), F.max("p1").alias("p1"), F.max("p2").alias("p2")), "classes")
+    rows = signed.where("n >= 0").select("doc_id", "key", "n", "h1", "h2", "p1", "p2")
+    low = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("low")
+    classes = rows.where("n > 0").groupBy("h1", "h2", "n").agg(low, F.max("p1").alias("p1"), F.max("p2").alias("p2"))
+    classes = staged(classes.select("h1", "h2", "n", "p1", "p2", F.col("low.doc_id").alias("low"), F.col("low.key").alias("node")), "classes")
     rows = rows.drop("p1", "p2")
 
     prefixes = staged(_prefixes(docs, sketch, percent), "prefixes")
@@ -249,7 +258,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = classes.where("node is not null")
     entries = staged(some.join(known.select("h1", "node", "n"), "h1").select("token", "node", "n", "pos", "ell", "pop", "star"), "nodes")
     discard(shared, prefixes)
-    sides = known.select("node", "p1", "p2").groupBy("node").agg(F.max("p1").alias("p1"), F.max("p2").alias("p2"))
+    sides = known.select("node", "p1", "p2")
     first = staged(entries.where("star").drop("star").join(sides, "node"), "star_tokens")
 
     links: DataFrame | None = None
@@ -282,12 +291,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rest = staged(_verified(pairs, docs, percent), "links")
     found = components(links.unionByName(rest))
 
-    out = rows.join(classes.select("h1", "h2", "n", "node"), ["h1", "h2", "n"], "left")
     labels = found.select(F.col("node").alias("_n"), "comp")
-    out = out.join(labels, F.col("node") == F.col("_n"), "left")
+    labels = staged(known.select("node", "low").join(labels, F.col("node") == F.col("_n")).drop("_n"), "labels")
+    firsts = staged(labels.groupBy("comp").agg(F.min(F.struct("low", "node")).alias("first")), "firsts")
+    labels = labels.join(firsts, "comp").select(F.col("node").alias("_n"), F.col("first.low").alias("comp"), F.col("first.node").alias("first"))
+    named = classes.select("h1", "h2", "n", "low", "node").join(labels, F.col("node") == F.col("_n"), "left").drop("_n")
+    out = rows.join(staged(named, "named"), ["h1", "h2", "n"], "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
-        F.coalesce("node", "doc_id").alias("class_id"),
-        F.coalesce("comp", "node", "doc_id").alias("component_id"),
+        F.coalesce("low", "doc_id").alias("class_id"),
+        F.coalesce("comp", "low", "doc_id").alias("component_id"),
+        F.col("key").alias("row_key"),
+        F.coalesce(F.col("key") == F.coalesce("first", "node"), F.lit(True)).alias("kept"),
     )

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lodestar.llm import components, decontaminate, exact_dedup, html_text, jaccard, language, line_dedup, packing, quality, substring_dedup, textcore, token_store, tokens
 
 WS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -195,6 +196,17 @@ def test_jaccard_chain_of_near_copies(spark):
     assert got == {i: c for i, (_, c) in brute_components(rows).items()}
 
 
+def test_jaccard_judges_repeated_ids_by_their_texts(spark):
+    text = lambda c, n=60: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, text("a")), (2, text("a") + " x"), (2, text("c")), (4, text("c") + " y"), (3, text("d")), (3, text("d") + " z"), (5, text("e")), (5, text("E")), (6, None), (None, text("f")), (None, text("a"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["row_key"]): r["component_id"] for r in jaccard.similar_groups(docs).collect()}
+    keys = {(r["doc_id"], r["text"]): r["k"] for r in docs.withColumn("k", jaccard.row_key()).collect()}
+    assert [got[i, keys[i, t]] for i, t in rows] == [1, 1, 2, 2, 3, 3, 5, 5, 6, None, 1]
+    kept = Counter((r["doc_id"], (r["text"] or "-")[0].lower()) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect())
+    assert kept == Counter([(1, "a"), (2, "c"), (3, "d"), (5, "e"), (6, "-"), (None, "f")])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 7), (200, 201), (5, 5)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())

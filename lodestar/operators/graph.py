@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -102,17 +103,23 @@ def bfs(edges: DataFrame, starts: Sequence[str], depth: int = 2, types: Sequence
     return seen if strength else seen.drop("strength")
 
 
-def descendants(edges: DataFrame, roots: DataFrame, types: Sequence[str], longest: int = 50) -> DataFrame:
-    """(root, uid) of all that a root reaches along edges of the types, itself included."""
+def descendants(edges: DataFrame, roots: DataFrame, types: Sequence[str], longest: int | None = None) -> DataFrame:
+    """(root, uid) of all that a root reaches along edges of the types, itself included.
+
+    Levels go on until one finds nothing new; if that takes more than longest levels, where that is given, it is an error.
+    """
     step = edges.where(F.col("type").isin(*types)).select(F.col("src").alias("uid"), F.col("dst").alias("to")).distinct()
     seen = frontier = roots.select(F.col("uid").alias("root"), "uid")
-    for _ in range(longest):
+    for level in itertools.count(1):
         reached = frontier.join(step, "uid").select("root", F.col("to").alias("uid")).distinct().join(seen, ["root", "uid"], "left_anti")
         frontier = cut(reached)
         if frontier.isEmpty():
-            break
+            return seen
+        if longest is not None and level > longest:
+            raise ValueError(f"descendants are more than {longest} levels deep")
         seen = seen.unionByName(frontier)
-    return seen
+        if level % 16 == 0:
+            seen = cut(seen)
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 100, stop: float = 1e-6, every: int = 5) -> DataFrame:

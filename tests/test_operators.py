@@ -62,6 +62,15 @@ def test_bfs_and_descendants_stop_at_cycles(spark):
     assert rows(got) == [("b", "a"), ("b", "b"), ("b", "c")]
 
 
+def test_descendants_of_a_deep_chain(spark):
+    e = spark.createDataFrame([(f"n{i}", f"n{i + 1}", "DEFINES") for i in range(53)], "src string, dst string, type string").coalesce(1)
+    root = spark.createDataFrame([("n0",)], "uid string")
+    assert {r["uid"] for r in graph.descendants(e, root, ["DEFINES"]).collect()} == {f"n{i}" for i in range(54)}
+    assert graph.descendants(e.limit(3), root, ["DEFINES"], longest=3).count() == 4
+    with pytest.raises(ValueError, match="more than 2 levels"):
+        graph.descendants(e, root, ["DEFINES"], longest=2)
+
+
 def test_interval_join_first_span_and_bin_borders(spark):
     spans = spark.createDataFrame([("f", 1, 200, 300), ("f", 2, 1, 1000), ("f", 3, 60, 70)], "file string, span_id int, start_line int, end_line int")
     points = spark.createDataFrame([("f", 64), ("f", 250), ("f", 2000), ("g", 1)], "file string, line int")

@@ -1,4 +1,4 @@
-"""Jaccard join of word shingles with adaptive multi-match prefixes, and its components.
+"""Jaccard join of word shingles with adaptive multi-match prefixes, its links and its components.
 
 Sets with 100 |A n B| >= 80 |A u B| have an overlap of o = ceil(80 (|A| + |B|) / 180) or more, so the first
 |A| - o + L tokens of A and |B| - o + L of B share L tokens, in any one order of all tokens. The order here is by
@@ -6,14 +6,14 @@ estimated document frequency, rare tokens first. A document whose prefix for L =
 a longer prefix and a larger L; a pair is verified if it shares as many tokens in its two prefixes as the smaller
 L of the two. Prefixes are written out for the longest a document may need, |A| - ceil(0.8 |A|) + L.
 
-Each set also has 128 parity bits of its tokens. Sets differ in at least as many tokens as their parities in
-bits, so pairs that differ in too many bits are left out before anything is fetched for them, and no link is lost.
+Equal sets are one class, and one row stands for each class: its node is the hash of id and text of the row with the
+smallest id, so rows that share an id are apart unless their sets are equal. Ids come back at the end only.
 
-Equal sets are one class, and classes stand for their documents from the start: the node of a class is the hash of
-id and text of its row with the smallest id, so rows that share an id are apart unless their sets are equal. Ids come
-back at the end only. What the query needs is components, so links inside a component found already are not looked for: first a few prefix tokens of each class
-compare it with one leader a token, which joins groups of near copies in linear work; then all pairs of classes
-that share prefix tokens and lie in different components so far are verified, over all prefix tokens.
+Components need no link inside a component found already. Rounds first compare each class with one leader for each
+of its prefix tokens, which joins groups of near copies by work in proportion to their tokens. Tokens left with classes
+of different components then give every pair of such classes, and all links that are missing are among these. Each set
+also has 256 parity bits of its tokens: sets differ in at least as many tokens as their parities in bits, so pairs
+that differ in too many bits are left out there, and no link is lost.
 """
 
 from __future__ import annotations
@@ -26,20 +26,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, key_filter, maybe_in, prepare, staged
+from .shared import discard, key_filter, map_arrow, maybe_in, prepare, staged
 from .textcore import FOLD, SPACE_SEP, U64, mix64, ngrams, scan, slices
 
 SHINGLE = 5
-#: Counters of the frequency sketch (a byte each, 32 MB, full at 255), the same at any size of the corpus.
-SKETCH = 1 << 25
+#: Counters of the frequency sketch (a byte each, 32 MB in SEGMENTS parts), the same at any size of the corpus.
+SKETCH, SEGMENTS = 1 << 25, 8
+#: What a counter's byte stands for: exact up to 16, then in steps of 12 %, so that no corpus fills it.
+COUNTS = np.concatenate([np.arange(17), 16 * 1.12 ** np.arange(1, 240)]).astype(np.float32)
 #: Estimated candidates from which a prefix is lengthened to L = 2, 3 and 4.
 COSTS = (16, 128, 1024)
 #: Rounds of comparing with leaders, at most; the share of a round's pairs that must be links for another one.
-ROUNDS, WORTH = 5, 0.05
-#: Shared prefix tokens of a set, the rarest ones, by which it meets leaders.
-STARS = 8
-#: What a class brings along for _may_link.
-SIDE = ("n", "pos", "ell", "p1", "p2")
+ROUNDS, WORTH = 6, 0.02
+PARITY = ("p1", "p2", "p3", "p4")
 
 
 def shingle_sets(arr: pa.Array, k: int = SHINGLE) -> list[np.ndarray]:
@@ -67,11 +66,11 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = 80) -> bool:
 
 
 def parities(sets: list[np.ndarray]) -> np.ndarray:
-    """128 parity bits of each set, as two integers."""
-    out = np.zeros((len(sets), 2), np.int64)
+    """256 parity bits of each set, as four integers."""
+    out = np.zeros((len(sets), 4), np.int64)
     for i, s in enumerate(sets):
-        bits = np.bincount((s >> U64(57)).astype(np.int64), minlength=128).astype(np.uint8) & 1
-        out[i] = np.packbits(bits, bitorder="little").view(np.int64)
+        bits = np.bincount((s >> U64(56)).astype(np.int64), minlength=256).astype(np.uint8) & 1
+        out[i] = np.packbits(bits).view(np.int64)
     return out
 
 
@@ -80,12 +79,19 @@ def row_key(id_col: str = "doc_id", text_col: str = "text"):
     return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
+def packed_counts(total: np.ndarray) -> np.ndarray:
+    """The nearest byte of COUNTS for each count."""
+    return np.searchsorted((COUNTS[1:] + COUNTS[:-1]) / 2, total, side="right").astype(np.uint8)
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n, h1, h2, p1, p2) of each document, and a sketch of shingle counts of each task (n = -1)."""
+    """(doc_id, key, n, h1, h2, PARITY) of each document, and the parts of a sketch of shingle counts of each task (n = -1 - part)."""
+    names = ["doc_id", "key", "n", "h1", "h2", *PARITY, "sketch"]
 
     def run(batches):
+        from pyspark import TaskContext
+
         sketch = np.zeros(SKETCH, np.uint8)
-        names = ["doc_id", "key", "n", "h1", "h2", "p1", "p2", "sketch"]
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part.column("text"))
@@ -96,112 +102,107 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 h1 = np.array([mix64(s).sum(dtype=U64) for s in sets], U64)
                 h2 = np.array([mix64(s ^ U64(0x1F83D9ABFB41BD6B)).sum(dtype=U64) for s in sets], U64)
                 n = np.array([len(s) for s in sets], np.int64)
-                parity = parities(sets)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("key"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(parity[:, 0]), pa.array(parity[:, 1]), pa.nulls(len(part), pa.binary())], names=names
-                )
-        one = pa.array([0], pa.int64())
-        yield pa.RecordBatch.from_arrays([one, one, pa.array([-1], pa.int64()), one, one, one, one, pa.array([zlib.compress(sketch.tobytes(), 1)], pa.binary())], names=names)
-
-    return docs.mapInArrow(run, "doc_id long, key long, n long, h1 long, h2 long, p1 long, p2 long, sketch binary")
+                bits = [pa.array(x) for x in parities(sets).T.copy()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *bits, pa.nulls(len(part), pa.binary())], names=names)
+        one, task = pa.array([0], pa.int64()), pa.array([TaskContext.get().partitionId()], pa.int64())
+        for i, part in enumerate(np.split(sketch, SEGMENTS)):
+            if part.any():
+                packed = zlib.compress(packed_counts(part).tobytes(), 1)
+                yield pa.RecordBatch.from_arrays([one, task, pa.array([-1 - i], pa.int64()), *[one] * 6, pa.array([packed], pa.binary())], names=names)
+
+    return map_arrow(docs, run, ", ".join([*(f"{c} long" for c in names[:-1]), "sketch binary"]))
+
+
+def _sketch(parts: DataFrame) -> np.ndarray:
+    """The sum of all tasks' sketches (task, segment, sketch): sixteen tasks' parts at a time are added up on the
+    executors until one of each segment is left, so the driver gets 32 MB at most."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(SKETCH // SEGMENTS, np.float32)
+        for x in table.column("sketch"):
+            total += COUNTS[np.frombuffer(zlib.decompress(x.as_py()), np.uint8)]
+        return pa.table({"task": [table.column("task")[0].as_py() // 16], "segment": [table.column("segment")[0].as_py()], "sketch": pa.array([zlib.compress(packed_counts(total).tobytes(), 1)], pa.binary())})
+
+    tasks = parts.agg(F.max("task").alias("m")).first()["m"] or 0
+    made = []
+    while True:
+        grouped = parts.withColumn("_of", F.expr("task div 16")).groupBy("segment", "_of")
+        parts = staged(grouped.applyInArrow(lambda t: add(t), "task long, segment long, sketch binary"), "sketch")
+        made.append(parts)
+        tasks //= 16
+        if tasks == 0:
+            break
+    total = np.zeros((SEGMENTS, SKETCH // SEGMENTS), np.uint8)
+    for r in parts.collect():
+        total[r["segment"]] = np.frombuffer(zlib.decompress(bytes(r["sketch"])), np.uint8)
+    discard(*made)
+    return total.reshape(-1)
 
 
-def _add(total: np.ndarray, packed: bytes) -> None:
-    """Adds a packed sketch; counters stop at 255."""
-    more = np.frombuffer(zlib.decompress(packed), np.uint8)
-    np.minimum(more, 255 - total, out=(room := np.empty_like(total)))
-    total += room
+def _prefixes(s: np.ndarray, counts: np.ndarray, base: float, percent: int) -> tuple[np.ndarray, int, float]:
+    """A set's longest prefix, its L, and how common its tokens are on the whole."""
+    n = len(s)
+    freq = COUNTS[counts[(s & U64(SKETCH - 1)).astype(np.int64)]]
+    order = np.lexsort((s, freq))
+    need = -(-percent * n // 100)
+    cost = float(np.maximum(freq[order[: n - need + 1]] - base, 0).sum())
+    ell = min(1 + sum(cost > c for c in COSTS), need)
+    return s[order[: n - need + ell]], ell, float(np.log1p(freq).mean())
 
 
-def _sketch(rows: DataFrame) -> np.ndarray:
-    """The sum of all tasks' sketches, added up on the executors sixteen at a time; the driver gets sixteen at most."""
+def _tokens(docs: DataFrame, sketch, base: float, percent: int) -> DataFrame:
+    """The prefix tokens of each set."""
 
-    def add(batches):
-        total = np.zeros(SKETCH, np.uint8)
+    def run(batches):
         for batch in batches:
-            for x in batch.column(0):
-                _add(total, x.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], names=["sketch"])
+            for part in slices(batch):
+                found = [_prefixes(s, sketch.value, base, percent)[0] for s in shingle_sets(part.column("text")) if len(s)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["token"])
 
-    n = rows.count()
-    while n > 16:
-        n = -(-n // 16)
-        rows = staged(rows.repartition(n).mapInArrow(add, "sketch binary"), "sketch")
-    total = np.zeros(SKETCH, np.uint8)
-    for r in rows.toLocalIterator():
-        _add(total, bytes(r["sketch"]))
-    return total
+    return map_arrow(docs.select("text"), run, "token long")
 
 
-def _prefixes(docs: DataFrame, sketch, percent: int) -> DataFrame:
-    """(token, h1, pos, ell, pop): the prefix tokens of each set; pop: how common its tokens are on the whole."""
-    base = int(np.median(sketch.value))
+def _entries(docs: DataFrame, sketch, base: float, percent: int, keys) -> DataFrame:
+    """(token, node, n, pos, ell, pop) of the prefix tokens that pass a broadcast filter; pos: the place in the prefix."""
+    schema = "token long, node long, n int, pos int, ell int, pop float"
 
     def run(batches):
-        counts = sketch.value
         for batch in batches:
             for part in slices(batch):
-                tokens, sizes, keys, ells, pops, places = [], [], [], [], [], []
-                for s in shingle_sets(part.column("text")):
-                    n = len(s)
-                    if not n:
+                rows, tokens, places = [], [], []
+                for key, s in zip(part.column("key").to_pylist(), shingle_sets(part.column("text")), strict=True):
+                    if not len(s):
                         continue
-                    freq = counts[(s & U64(SKETCH - 1)).astype(np.int64)]
-                    order = np.lexsort((s, freq))
-                    need = -(-percent * n // 100)
-                    cost = int(np.maximum(freq[order[: n - need + 1]].astype(np.int64) - base, 0).sum())
-                    ell = min(1 + sum(cost > c for c in COSTS), need)
-                    prefix = s[order[: n - need + ell]]
-                    tokens.append(prefix)
-                    sizes.append(len(prefix))
-                    places.append(np.arange(len(prefix), dtype=np.int32))
-                    keys.append(int(mix64(s).sum(dtype=U64)))
-                    ells.append(ell)
-                    pops.append(float(np.log1p(freq).mean()))
-                if tokens:
-                    rep = lambda x, kind: np.repeat(np.array(x, kind), sizes)  # noqa: E731, B023
+                    prefix, ell, pop = _prefixes(s, sketch.value, base, percent)
+                    pos = np.flatnonzero(keys.value.test(prefix))
+                    if len(pos):
+                        rows.append((key, len(s), ell, pop, len(pos)))
+                        tokens.append(prefix[pos])
+                        places.append(pos.astype(np.int32))
+                if rows:
+                    key, n, ell, pop, sizes = zip(*rows, strict=True)
+                    each = lambda x, kind: pa.array(np.repeat(np.array(x, kind), sizes))  # noqa: E731, B023
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(rep(keys, U64).view(np.int64)), pa.array(np.concatenate(places)), pa.array(rep(ells, np.int32)), pa.array(rep(pops, np.float32))],
-                        names=["token", "h1", "pos", "ell", "pop"],
+                        [pa.array(np.concatenate(tokens).view(np.int64)), each(key, np.int64), each(n, np.int32), pa.array(np.concatenate(places)), each(ell, np.int32), each(pop, np.float32)],
+                        names=["token", "node", "n", "pos", "ell", "pop"],
                     )
 
-    return docs.select("text").mapInArrow(run, "token long, h1 long, pos int, ell int, pop float")
-
-
-def _shared(rows: DataFrame, keys) -> DataFrame:
-    """Prefix rows whose token passes a broadcast filter; star marks the first STARS of each set."""
-
-    def run(batches):
-        for batch in batches:
-            part = batch.filter(pa.array(keys.value.test(batch.column("token").to_numpy(zero_copy_only=False).view(U64))))
-            h1 = part.column("h1").to_numpy(zero_copy_only=False)
-            new = np.ones(len(h1), dtype=bool)
-            new[1:] = h1[1:] != h1[:-1]
-            head = np.flatnonzero(new)
-            rank = np.arange(len(h1)) - np.repeat(head, np.diff(np.append(head, len(h1))))
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rank < STARS)], names=[*part.schema.names, "star"])
-
-    return rows.mapInArrow(run, "token long, h1 long, pos int, ell int, pop float, star boolean")
+    return map_arrow(docs.select("key", "text"), run, schema)
 
 
-def _texts(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of the rows in pairs, one for each key."""
-    ids = staged(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "ids")
-    some = maybe_in(docs.where("doc_id is not null").select("key", "text"), F.col("key"), ids.select(F.col("id").alias("key")), ids.count())
-    return staged(some.join(ids, F.col("key") == F.col("id"), "left_semi").dropDuplicates(["key"]), "texts")
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets are similar. Texts are fetched for these pairs alone."""
-    texts = _texts(docs, pairs)
-    left = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of keys whose texts' shingle sets are similar. Texts are fetched for these pairs alone."""
+    ids = staged(pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct(), "ids")
+    some = maybe_in(texts, F.col("key"), ids, ids.count()).dropDuplicates(["key"])
+    left = some.select(F.col("key").alias("a"), F.col("text").alias("ta"))
+    right = some.select(F.col("key").alias("b"), F.col("text").alias("tb"))
     both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "ta", 2 << 20):
+            for part in slices(batch, "ta", 1 << 20):
                 a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
                 held = {k: held[k] for k in {*a, *b} & held.keys()}
                 for ids, column in ((a, "ta"), (b, "tb")):
@@ -211,24 +212,156 @@ def _verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                 good = pa.array([similar(held[x], held[y], percent) for x, y in zip(a, b, strict=True)], pa.bool_())
                 yield part.select(["a", "b"]).filter(good)
 
-    return both.mapInArrow(run, "a long, b long")
+    out = staged(map_arrow(both, run, "a long, b long"), "links")
+    discard(ids)
+    return out
 
 
 def _may_link(x: str, y: str, percent: int):
-    """Sizes near enough, the shared token within the prefixes that these sizes call for, and parities near enough."""
-    xn, yn, xp, yp = (F.col(c) for c in (f"{x}n", f"{y}n", f"{x}pos", f"{y}pos"))
+    """Sizes near enough, and the shared token within the prefixes that these sizes call for."""
+    xn, yn, xp, yp = (F.col(c).cast("long") for c in (f"{x}n", f"{y}n", f"{x}pos", f"{y}pos"))
     overlap = F.ceil((xn + yn) * percent / (100 + percent))
     ell = F.least(F.col(f"{x}ell"), F.col(f"{y}ell"))
     near = F.least(xn, yn) * 100 >= F.greatest(xn, yn) * percent
-    apart = sum(F.bit_count(F.col(f"{x}{p}").bitwiseXOR(F.col(f"{y}{p}"))) for p in ("p1", "p2"))
-    return near & (xp < xn - overlap + ell) & (yp < yn - overlap + ell) & (apart <= xn + yn - 2 * overlap)
+    return near & (xp < xn - overlap + ell) & (yp < yn - overlap + ell)
+
+
+def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
+    """Pairs (a, b), a < b, that share as many prefix tokens as the smaller L of the two asks for."""
+    a, b = F.least(f"{x}node", f"{y}node").alias("a"), F.greatest(f"{x}node", f"{y}node").alias("b")
+    counted = rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("c"), F.min(F.least(f"{x}ell", f"{y}ell")).alias("ell"))
+    return counted.where("c >= ell").select("a", "b")
 
 
 def _with_comp(entries: DataFrame, found: DataFrame | None) -> DataFrame:
+    """entries with comp, the component of each node so far, and size, how many classes are in it."""
     if found is None:
-        return entries.withColumn("comp", F.col("node"))
-    known = found.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
-    return entries.join(known, F.col("node") == F.col("_n"), "left").withColumn("comp", F.coalesce("_c", "node")).drop("_n", "_c")
+        return entries.withColumn("comp", F.col("node")).withColumn("size", F.lit(1).cast("long"))
+    sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("_s")).withColumnRenamed("comp", "_k")
+    known = found.join(sizes, F.col("comp") == F.col("_k")).select(F.col("node").alias("_n"), F.col("comp").alias("_c"), "_s")
+    out = entries.join(known, F.col("node") == F.col("_n"), "left")
+    return out.withColumn("comp", F.coalesce("_c", "node")).withColumn("size", F.coalesce("_s", F.lit(1).cast("long"))).drop("_n", "_c", "_s")
+
+
+def _merged(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, comp after more links, which are first taken as links between the components so far."""
+    if found is None:
+        return components(links)
+    a, b = (found.select(F.col("node").alias(f"_{s}n"), F.col("comp").alias(f"_{s}c")) for s in "ab")
+    linked = links.join(a, F.col("a") == F.col("_an"), "left").join(b, F.col("b") == F.col("_bn"), "left")
+    moved = components(linked.select(F.coalesce("_ac", "a").alias("a"), F.coalesce("_bc", "b").alias("b")))
+    to = moved.select(F.col("node").alias("_n"), F.col("comp").alias("_c"))
+    old = found.join(to, F.col("comp") == F.col("_n"), "left").select("node", F.coalesce("_c", "comp").alias("comp"))
+    out = staged(old.unionByName(moved.join(found.select("node"), "node", "left_anti")), "components")
+    discard(moved, found)
+    return out
+
+
+def _side(rows: DataFrame, name: str, columns) -> DataFrame:
+    return rows.select("token", *[F.col(c).alias(f"{name}{c}") for c in columns])
+
+
+def _round(state: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of a class and the leader of one of its tokens, from different components. The first leaders are the
+    classes with the most common tokens on the whole, later ones are drawn alike for all tokens."""
+    columns = ("node", "comp", "n", "pos", "ell")
+    weight = F.col("pop").cast("double") if turn == 0 else F.xxhash64(F.lit(turn), "node").cast("double")
+    lead = F.max(F.struct(weight.alias("w"), *[F.col(c).alias(f"lead_{c}") for c in columns])).alias("x")
+    leaders = state.groupBy("token").agg(lead, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "x.*").drop("w")
+    met = _side(state, "own_", columns).join(leaders, "token").where((F.col("own_comp") != F.col("lead_comp")) & _may_link("own_", "lead_", percent))
+    return _pairs(met, "own_", "lead_")
+
+
+def _rest(state: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """All pairs of classes of a token that lie in different components and whose parities are near enough. One of the
+    two is outside the token's largest component, so classes inside it meet the others alone."""
+    columns = ("node", "comp", "n", "pos", "ell")
+    main = F.max(F.struct("size", "comp")).alias("m")
+    mixed = state.groupBy("token").agg(main, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", F.col("m.comp").alias("main"))
+    here = state.join(mixed, "token").select("token", *columns, "main").join(classes.select("node", *PARITY), "node")
+    here = staged(here, "open")
+    x, y = _side(here.where("comp <> main"), "x", [*columns, *PARITY]), _side(here, "y", [*columns, *PARITY, "main"])
+    once = (F.col("ycomp") == F.col("ymain")) | (F.col("xnode") < F.col("ynode"))
+    apart = sum(F.bit_count(F.col(f"x{p}").bitwiseXOR(F.col(f"y{p}"))) for p in PARITY)
+    sizes = F.col("xn").cast("long") + F.col("yn")
+    near = apart <= sizes - 2 * F.ceil(sizes * percent / (100 + percent))
+    met = x.join(y, "token").where((F.col("xcomp") != F.col("ycomp")) & once & near & _may_link("x", "y", percent))
+    out = staged(_pairs(met, "x", "y"), "pairs")
+    discard(here)
+    return out
+
+
+def _without(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
+    for t in tried:
+        pairs = pairs.join(t, ["a", "b"], "left_anti")
+    return pairs
+
+
+def _linked(entries: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """node, comp of all classes that have a link."""
+    found: DataFrame | None = None
+    tried: list[DataFrame] = []
+    for turn in range(ROUNDS):
+        pairs = staged(_without(_round(_with_comp(entries, found), turn, percent), tried), "pairs")
+        links = _verified(pairs, texts, percent)
+        tried.append(pairs)
+        n, new = pairs.count(), links.count()
+        if new or found is None:
+            found = _merged(found, links)
+        discard(links)
+        if new <= WORTH * n:
+            break
+    pairs = _rest(_with_comp(entries, found), classes, percent)
+    links = _verified(_without(pairs, tried), texts, percent)
+    found = _merged(found, links)
+    discard(links, pairs, *tried)
+    return found
+
+
+def _prepared(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, key, n, h1, h2), classes (h1, h2, n, low, node, PARITY), entries of the prefix tokens that may be shared, texts by key."""
+    spark = docs.sparkSession
+    prepare(spark)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
+    signed = staged(_signatures(docs), "signatures")
+    table = _sketch(signed.where("n < 0").select(F.col("key").alias("task"), (-1 - F.col("n")).alias("segment"), "sketch"))
+    base = float(np.median(COUNTS[table]))
+    sketch = spark.sparkContext.broadcast(table)
+    rows = signed.where("n >= 0").select("doc_id", "key", "n", "h1", "h2")
+    low = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("low")
+    classes = signed.where("n > 0").groupBy("h1", "h2", "n").agg(low, *[F.max(p).alias(p) for p in PARITY])
+    classes = staged(classes.select("h1", "h2", "n", F.col("low.doc_id").alias("low"), F.col("low.key").alias("node"), *PARITY), "classes")
+
+    known = classes.where("node is not null").select("node")
+    texts = docs.where("doc_id is not null").select("key", "text")
+    first = maybe_in(texts, F.col("key"), known.select(F.col("node").alias("key")), known.count())
+    shared = staged(_tokens(first, sketch, base, percent).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "shared_tokens")
+    keys = spark.sparkContext.broadcast(key_filter(shared, "token", shared.count()))
+    entries = _entries(first, sketch, base, percent, keys).join(known, "node", "left_semi")
+    # Rows that repeat both id and text are one node.
+    entries = entries.groupBy("token", "node").agg(*[F.max(c).alias(c) for c in ("n", "pos", "ell", "pop")])
+    entries = staged(entries, "entries")
+    discard(shared)
+    for b in (sketch, keys):
+        b.unpersist()
+    return rows, classes, entries, texts
+
+
+def similar_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """All links, as pairs (a, b) of class nodes, and the members of the classes: doc_id, row_key, node, n_shingles, n_links.
+
+    n_links: to how many other classes the row's class is linked. Links within a component are not left out here, so
+    a group of k texts that are all similar has k (k - 1) / 2 links. Null ids, empty texts and repeats as in
+    similar_groups(); rows without a set have a null node and no link.
+    """
+    rows, classes, entries, texts = _prepared(docs, id_col, text_col, percent)
+    pairs = _rest(_with_comp(entries, None), classes, percent)
+    links = _verified(pairs, texts, percent)
+    discard(entries, pairs)
+    degree = links.select(F.explode(F.array("a", "b")).alias("_n")).groupBy("_n").agg(F.count(F.lit(1)).alias("_d"))
+    named = classes.join(degree, F.col("node") == F.col("_n"), "left").select("h1", "h2", "n", "node", F.coalesce("_d", F.lit(0)).cast("long").alias("n_links"))
+    members = rows.join(named, ["h1", "h2", "n"], "left").select("doc_id", F.col("key").alias("row_key"), "node", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    return links, members
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -239,64 +372,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of null ids only keeps null and links with nothing. kept marks one text of each component, with the smallest id,
     and all that links with nothing; rows that repeat both id and text are marked alike. Other columns are ignored.
     """
-    spark = docs.sparkSession
-    prepare(spark)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
-    signed = staged(_signatures(docs), "signatures")
-    sketch = spark.sparkContext.broadcast(_sketch(signed.where("n = -1").select("sketch")))
-    rows = signed.where("n >= 0").select("doc_id", "key", "n", "h1", "h2", "p1", "p2")
-    low = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("low")
-    classes = rows.where("n > 0").groupBy("h1", "h2", "n").agg(low, F.max("p1").alias("p1"), F.max("p2").alias("p2"))
-    classes = staged(classes.select("h1", "h2", "n", "p1", "p2", F.col("low.doc_id").alias("low"), F.col("low.key").alias("node")), "classes")
-    rows = rows.drop("p1", "p2")
-
-    prefixes = staged(_prefixes(docs, sketch, percent), "prefixes")
-    shared = prefixes.groupBy("token").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi")
-    shared = staged(shared.select("token"), "shared_tokens")
-    tokens = spark.sparkContext.broadcast(key_filter(shared, "token", shared.count()))
-    some = _shared(prefixes, tokens).groupBy("token", "h1").agg(F.max("pos").alias("pos"), F.max("ell").alias("ell"), F.max("pop").alias("pop"), F.max("star").alias("star"))
-    known = classes.where("node is not null")
-    entries = staged(some.join(known.select("h1", "node", "n"), "h1").select("token", "node", "n", "pos", "ell", "pop", "star"), "nodes")
-    discard(shared, prefixes)
-    sides = known.select("node", "p1", "p2")
-    first = staged(entries.where("star").drop("star").join(sides, "node"), "star_tokens")
-
-    links: DataFrame | None = None
-    found: DataFrame | None = None
-    for turn in range(ROUNDS):
-        state = staged(_with_comp(first, found), "state")
-        weight = F.col("pop").cast("double") if turn == 0 else F.xxhash64(F.lit(turn), "node").cast("double")
-        lead = F.max(F.struct(weight.alias("w"), *[F.col(c).alias(f"lead_{c}") for c in ("node", "comp", *SIDE)]))
-        leaders = staged(state.groupBy("token").agg(lead.alias("x")).select("token", "x.*").drop("w"), "leaders")
-        stars = state.select("token", "node", "comp", *[F.col(c).alias(f"own_{c}") for c in SIDE]).join(leaders, "token")
-        stars = stars.where((F.col("comp") != F.col("lead_comp")) & _may_link("own_", "lead_", percent))
-        stars = staged(stars.select(F.col("node").alias("a"), F.col("lead_node").alias("b")).distinct(), "stars")
-        fresh = staged(_verified(stars, docs, percent), "links")
-        tried, new = stars.count(), fresh.count()
-        discard(leaders, stars, state)
-        links = fresh if links is None else links.unionByName(fresh)
-        if new or found is None:
-            found = components(links)
-        if new <= WORTH * tried:
-            break
-
-    state = staged(_with_comp(entries.select("token", "node", "n", "pos", "ell"), found), "state")
-    mixed = state.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
-    open_ = staged(state.join(mixed, "token", "left_semi").join(sides, "node").select("token", "node", "comp", *SIDE), "open")
-    discard(state)
-    x, y = (open_.select("token", *[F.col(c).alias(f"{s}{c}") for c in ("node", "comp", *SIDE)]) for s in ("x", "y"))
-    pairs = x.join(y, "token").where((F.col("xnode") < F.col("ynode")) & (F.col("xcomp") != F.col("ycomp")) & _may_link("x", "y", percent))
-    pairs = pairs.groupBy(F.col("xnode").alias("a"), F.col("ynode").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(F.least("xell", "yell")).alias("ell"))
-    pairs = staged(pairs.where("c >= ell").select("a", "b"), "pairs")
-    rest = staged(_verified(pairs, docs, percent), "links")
-    found = components(links.unionByName(rest))
+    rows, classes, entries, texts = _prepared(docs, id_col, text_col, percent)
+    found = _linked(entries, classes, texts, percent)
+    discard(entries)
 
     labels = found.select(F.col("node").alias("_n"), "comp")
-    labels = staged(known.select("node", "low").join(labels, F.col("node") == F.col("_n")).drop("_n"), "labels")
+    known = classes.where("node is not null").select("node", "low")
+    labels = staged(known.join(labels, F.col("node") == F.col("_n")).drop("_n"), "labels")
     firsts = staged(labels.groupBy("comp").agg(F.min(F.struct("low", "node")).alias("first")), "firsts")
     labels = labels.join(firsts, "comp").select(F.col("node").alias("_n"), F.col("first.low").alias("comp"), F.col("first.node").alias("first"))
-    named = classes.select("h1", "h2", "n", "low", "node").join(labels, F.col("node") == F.col("_n"), "left").drop("_n")
-    out = rows.join(staged(named, "named"), ["h1", "h2", "n"], "left")
+    named = staged(classes.drop(*PARITY).join(labels, F.col("node") == F.col("_n"), "left").drop("_n"), "named")
+    discard(found, firsts, classes)
+    out = rows.join(named, ["h1", "h2", "n"], "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),

@@ -89,3 +89,17 @@ def by_label(labels, order) -> Column:
 def markdown(items) -> Column:
     """An array of struct(path, name, score) as a list."""
     return F.when(F.size(items) == 0, "No evidence").otherwise(F.array_join(F.transform(items, lambda x: F.concat(F.lit("- `"), x["path"], F.lit("` **"), x["name"], F.lit("** "), F.format_number(x["score"], 3))), "\n"))
+
+
+#: Labels of the second mapping to an issue tracker.
+WORK_LABELS = {"bug": "bug", "feature": "enhancement", "todo": "todo", "chore": "chore", "docs": "documentation"}
+PRIORITY_LABELS = {"high": "high-priority", "medium": "medium-priority", "low": "low-priority"}
+
+
+def plain_issue(title, description, work_type, priority, source, status) -> Column:
+    """struct(title, body, labels, state): the second mapping, without a uid; found items are marked as generated."""
+    labels = F.array_compact(F.array(F.element_at(_map(WORK_LABELS), work_type), F.element_at(_map(PRIORITY_LABELS), priority), F.when(source == "code_analyzer", "auto-generated")))
+    return F.struct(
+        title.alias("title"), F.coalesce(description, F.lit("")).alias("body"), labels.alias("labels"),
+        F.when(F.coalesce(status, F.lit("open")).isin("closed", "resolved", "done"), "closed").otherwise("open").alias("state"),
+    )

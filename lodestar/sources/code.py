@@ -111,6 +111,10 @@ def comments_above(files: DataFrame) -> DataFrame:
     return each.where("kind = 'code'").join(notes, ["path", "block"], "left").select("path", "line", "text", "comment")
 
 
+def _begins(word: str):
+    return lambda x: F.upper(x).startswith(word)
+
+
 def todos(files: DataFrame) -> DataFrame:
     """path, line, type, message, confidence of TODO and FIXME remarks.
 
@@ -124,12 +128,15 @@ def todos(files: DataFrame) -> DataFrame:
     quoted = F.when(text.contains("#") & before.rlike("TODO|FIXME"), before.rlike("[\"']")).otherwise(text.rlike("[\"'](TODO|FIXME)"))
     each = each.withColumn("quoted", quoted & text.rlike("[\"']"))
     sure = F.when(F.col("open") | marks, "MEDIUM").otherwise("HIGH")
-    out = None
+    # A remark begins the line or follows a comment sign, white space aside; what stands after the word and a colon is its message.
+    parts = F.transform(F.split(F.regexp_replace("text", "//", "#"), "#"), lambda x: F.ltrim(x))
+    found = []
     for word in ("TODO", "FIXME"):
-        p = rf"(?i)(?:(?:#|//)\s*|^\s*){word}:?\s*(.+)"
-        one = each.where(~F.col("quoted") & text.rlike(p)).select("path", "line", F.lit(word).alias("type"), F.trim(F.regexp_extract("text", p, 1)).alias("message"), sure.alias("confidence"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        own = F.get(F.filter(parts, _begins(word)), F.lit(0))
+        message = F.trim(F.regexp_replace(F.substring(own, len(word) + 1, 1 << 30), "^:", ""))
+        found.append(F.when(F.length(message) > 0, F.struct(F.lit(word).alias("type"), message.alias("message"))))
+    each = each.where(~F.col("quoted") & F.upper("text").rlike("TODO|FIXME")).select("path", "line", sure.alias("confidence"), F.explode(F.array_compact(F.array(*found))).alias("x"))
+    return each.select("path", "line", "x.type", "x.message", "confidence")
 
 
 ISSUES = "path string, line int, type string, message string, confidence string"
@@ -163,19 +170,47 @@ def _issues(path: str, text: str) -> list[tuple]:
     return out
 
 
+#: What is looked for in JavaScript and TypeScript: type, pattern, message ({0} is the name), confidence.
+_SCRIPT = tuple(
+    (kind, re.compile(p), message, sure)
+    for kind, p, message, sure in (
+        ("INCOMPLETE", r"\bfunction\s*\*?\s*(\w+)\s*\([^)]*\)\s*(?::\s*[\w<>\[\]| ]+)?\{\s*\}", "{0} is empty", "HIGH"),
+        ("INCOMPLETE", r"\b(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>\s*\{\s*\}", "{0} is empty", "HIGH"),
+        ("INCOMPLETE", r"\bclass\s+(\w+)[^{]*\{\s*\}", "class {0} is empty", "MEDIUM"),
+        ("INCOMPLETE", r"\bthrow\s+new\s+\w*Error\(\s*[\"'`][^\"'`]*[Nn]ot (?:yet )?implemented[^\"'`]*()", "not implemented", "HIGH"),
+        ("ERROR_PATTERN", r"\bconsole\.log\s*\(()", "console.log", "MEDIUM"),
+        ("ERROR_PATTERN", r"\bcatch\s*(?:\([^)]*\)\s*)?\{\s*\}()", "empty catch", "MEDIUM"),
+    )
+)
+
+
+def _script_issues(path: str, text: str) -> list[tuple]:
+    """What the patterns find, over line ends too; comments within braces do not count as code."""
+    bare = re.sub(r"//[^\n]*|/\*.*?\*/", lambda m: re.sub(r"[^\n]", " ", m[0]), text, flags=re.DOTALL)
+    found = [(path, bare.count("\n", 0, m.start()) + 1, kind, message.format(m[1]), sure) for kind, p, message, sure in _SCRIPT for m in p.finditer(bare)]
+    return sorted(found, key=lambda x: (x[1], x[3]))
+
+
 def issues(files: DataFrame) -> DataFrame:
-    """Empty functions and classes, bare and empty handlers, console calls; test files are left out."""
+    """Empty functions and classes, what is not implemented, bare and empty handlers, console calls; test files are left out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame([i for p, t in zip(f["path"], f["text"], strict=True) for i in _issues(p, t or "")], columns=[x.split()[0] for x in ISSUES.split(", ")])
+            yield pd.DataFrame([i for p, t in zip(f["path"], f["text"], strict=True) for i in (_issues if p.endswith(".py") else _script_issues)(p, t or "")], columns=[x.split()[0] for x in ISSUES.split(", ")])
 
     own = files.where(~F.col("path").rlike(r"(^|/)(tests?/|test_)|_test\.|\.test\."))
-    py = own.where(F.col("path").endswith(".py")).select("path", "text").mapInPandas(run, ISSUES)
-    js = lines(own.where(F.col("path").rlike(r"\.(js|ts|jsx|tsx)$")))
-    found = F.when(F.col("text").rlike(r"console\.log\s*\("), "console.log").when(F.col("text").rlike(r"catch\s*(\([^)]*\))?\s*\{\s*\}"), "empty catch")
-    other = js.withColumn("message", found).where("message is not null").select("path", F.col("line").cast("int").alias("line"), F.lit("ERROR_PATTERN").alias("type"), "message", F.lit("MEDIUM").alias("confidence"))
-    return py.unionByName(other)
+    return own.where(F.col("path").rlike(r"\.(py|js|ts|jsx|tsx)$")).select("path", "text").mapInPandas(run, ISSUES)
+
+
+def by_severity(found: DataFrame) -> DataFrame:
+    """Issues in order of confidence, HIGH first, then of path and line, with their place."""
+    rank = F.when(F.col("confidence") == "HIGH", 0).when(F.col("confidence") == "MEDIUM", 1).otherwise(2)
+    return found.withColumn("rank", rank).orderBy("rank", "path", "line", "message")
+
+
+def by_file(found: DataFrame) -> DataFrame:
+    """path, issues: each file's issues as structs in order of line."""
+    return found.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "type", "message", "confidence"))).alias("issues"))
 
 
 _DECORATED = re.compile(r"\.(get|post|put|delete|patch|route)$")
@@ -202,11 +237,46 @@ def routes(files: DataFrame) -> DataFrame:
     return files.where(F.col("path").endswith(".py")).select("path", "text").mapInPandas(run, "path string, method string, route string, handler string")
 
 
+_VERBS = ("get", "post", "put", "delete", "patch")
+
+
+def _yaml_endpoints(text: str) -> list[tuple[str, str, str | None]]:
+    """(route, METHOD, summary or operationId) of an OpenAPI document in block-style YAML, read by indentation."""
+    out: list[tuple[str, str, str | None]] = []
+    trail: list[tuple[int, str]] = []
+    for raw in text.splitlines():
+        line = raw.split(" #")[0].rstrip()
+        bare = line.strip()
+        if not bare or bare.startswith(("#", "- ", "---")):
+            continue
+        indent = len(line) - len(line.lstrip())
+        name, colon, value = bare.rpartition(":") if bare.endswith(":") else bare.partition(": ")
+        if not colon:
+            continue
+        while trail and trail[-1][0] >= indent:
+            trail.pop()
+        trail.append((indent, name.strip("\"'")))
+        keys = [k for _, k in trail]
+        if keys[0] == "paths" and len(keys) == 3 and keys[2].lower() in _VERBS:
+            out.append((keys[1], keys[2].upper(), None))
+        elif keys[0] == "paths" and len(keys) == 4 and out and out[-1][:2] == (keys[1], keys[2].upper()) and keys[3] in ("summary", "operationId"):
+            if keys[3] == "summary" or out[-1][2] is None:
+                out[-1] = (*out[-1][:2], value.strip().strip("\"'"))
+    return out
+
+
 def openapi(files: DataFrame) -> DataFrame:
-    """Endpoints of OpenAPI documents in JSON: path, route, method, summary."""
+    """Endpoints of OpenAPI documents in JSON and in block-style YAML: path, route, method, summary."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([(p, *e) for p, t in zip(f["path"], f["text"], strict=True) for e in _yaml_endpoints(t or "")], columns=["path", "route", "method", "summary"])
+
+    yaml = files.where(F.col("path").rlike(r"\.ya?ml$")).select("path", "text").mapInPandas(run, "path string, route string, method string, summary string")
     doc = F.from_json("text", "paths map<string, map<string, struct<summary: string, operationId: string>>>")
     each = files.where(F.col("path").endswith(".json")).select("path", F.explode(doc["paths"]).alias("route", "methods")).select("path", "route", F.explode("methods").alias("method", "m"))
-    return each.where(F.col("method").isin("get", "post", "put", "delete", "patch")).select("path", "route", F.upper("method").alias("method"), F.coalesce("m.summary", "m.operationId").alias("summary"))
+    json = each.where(F.col("method").isin(*_VERBS)).select("path", "route", F.upper("method").alias("method"), F.coalesce("m.summary", "m.operationId").alias("summary"))
+    return json.unionByName(yaml)
 
 
 def protobuf(files: DataFrame) -> DataFrame:

@@ -22,12 +22,14 @@ DEFAULT_STRENGTH = 0.5
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Where iterative operators write their rounds: spark.checkpoint.dir; a folder of our own only where none is set."""
+    """Where iterative operators write their rounds: spark.checkpoint.dir. Where none is set, a folder of our own in local mode; on a cluster that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = found.get() if found.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: the executors need a shared folder")
         root = tempfile.mkdtemp(prefix="lodestar-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -183,7 +185,9 @@ def within(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str = "
     hits = points.withColumn("_bin", (F.col(at) / width).cast("long")).join(cut_spans, [*keys, "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
     rest = [c for c in spans.columns if c not in keys]
     best = hits.groupBy(*points.columns).agg(F.min(F.struct(start, end, *[c for c in rest if c not in (start, end)])).alias("_s"))
-    return points.join(best.select(*points.columns, *[F.col(f"_s.{c}").alias(c) for c in rest]), list(points.columns), "left")
+    found = best.select(*[F.col(c).alias(f"_p_{c}") for c in points.columns], *[F.col(f"_s.{c}").alias(c) for c in rest])
+    same = [F.col(c).eqNullSafe(F.col(f"_p_{c}")) for c in points.columns]
+    return points.join(found, same, "left").select(*points.columns, *rest)
 
 
 def children(edges: DataFrame, parents: DataFrame, types: Sequence[str]) -> DataFrame:
@@ -200,6 +204,38 @@ def import_files(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def outline(paths: DataFrame, path: str = "path") -> DataFrame:
-    """One text of all paths, each indented by its depth, in order of path."""
+    """The lines (path, line) of an outline: each path indented by its depth, in order of path."""
     line = F.concat(F.repeat(F.lit("  "), F.size(F.split(path, "/")) - 1), F.element_at(F.split(path, "/"), -1))
-    return paths.select(path, line.alias("line")).groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(path, "line"))), lambda x: x["line"]), "\n").alias("outline"))
+    return paths.select(path, line.alias("line")).orderBy(path)
+
+
+def path_strengths(edges: DataFrame, starts: Sequence[str], depth: int = 3, strength: str = "strength", least: float = 0.3) -> DataFrame:
+    """uid, depth, strength, path, edges of all that is reached: the strongest path to each node and the types of its edges."""
+    step = edges.select(F.col("src").alias("uid"), F.col("dst").alias("to"), F.col(strength).alias("w"), "type")
+    step = step.unionByName(edges.select(F.col("dst").alias("uid"), F.col("src").alias("to"), F.col(strength).alias("w"), "type"))
+    seen = edges.sparkSession.createDataFrame([(s, 0, 1.0, [s], []) for s in starts], "uid string, depth int, strength double, path array<string>, edges array<string>")
+    frontier = seen
+    for d in range(1, depth + 1):
+        reached = frontier.join(step, "uid").select(F.col("to").alias("uid"), (F.col("strength") * F.col("w")).alias("strength"), F.concat("path", F.array("to")).alias("path"), F.concat("edges", F.array("type")).alias("edges"))
+        reached = reached.where(F.col("strength") >= least).join(seen.select("uid"), "uid", "left_anti")
+        top = F.max(F.struct("strength", "path", "edges")).alias("x")
+        frontier = cut(reached.groupBy("uid").agg(top).select("uid", F.lit(d).alias("depth"), "x.strength", "x.path", "x.edges"))
+        seen = seen.unionByName(frontier)
+    return seen
+
+
+def named(nodes: DataFrame, text: str) -> DataFrame:
+    """Nodes whose path contains a text, or whose name it is."""
+    return nodes.where(F.contains("path", F.lit(text)) | (F.col("name") == text))
+
+
+def faulted(nodes: DataFrame, faults: DataFrame) -> DataFrame:
+    """nodes with faulty: whether a fault's message (project, message) names them as one of its words, in their project."""
+    said = faults.select(F.col("project").alias("_p"), F.explode(F.split("message", r"[\s,;]+")).alias("_w")).distinct()
+    hit = nodes.join(said, (F.col("project") == F.col("_p")) & (F.col("name") == F.col("_w")), "left_semi").select("uid", F.lit(True).alias("faulty"))
+    return nodes.join(hit.distinct(), "uid", "left").withColumn("faulty", F.coalesce("faulty", F.lit(False)))
+
+
+def shown(nodes: DataFrame, reports: DataFrame) -> DataFrame:
+    """Nodes and reports in one table for display, with nulls for what either lacks."""
+    return nodes.withColumn("kind", F.lit("node")).unionByName(reports.withColumn("kind", F.lit("report")), allowMissingColumns=True)

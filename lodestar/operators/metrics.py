@@ -158,9 +158,12 @@ def attempts(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 
 def fit_budget(ranked: DataFrame, cost: str, budget: int, order: Sequence, group: str | None = None) -> DataFrame:
-    """Ranked rows whose running cost stays within the budget, per group."""
+    """Ranked rows whose running cost stays within the budget, per group. Each row costs 1 at least, so without a group
+    only the first `budget` rows are looked at, which are found by a distributed sort."""
     from pyspark.sql import Window
 
+    if group is None:
+        ranked = ranked.orderBy(*order).limit(budget)
     w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return ranked.withColumn("running", F.sum(cost).over(w)).where(F.col("running") <= budget)
 
@@ -180,3 +183,44 @@ def exposition(services: DataFrame) -> DataFrame:
     rows = [("health_status", status), ("latency_ms", F.when(F.col("latency") >= 0, F.col("latency"))), ("failures", F.col("failures").cast("double")), ("breaker_state", breaker)]
     out = services.select("service", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), v.alias("value")) for m, v in rows])).alias("x")).select("x.metric", "service", "x.value")
     return out.where("value is not null")
+
+
+def breaker_summary(services: DataFrame) -> DataFrame:
+    """One row: how many services there are, and how many breakers are closed, open and half open."""
+    count = lambda state: F.count(F.when(F.col("breaker") == state, 1)).alias(state)
+    return services.agg(F.count(F.lit(1)).alias("total"), count("closed"), count("open"), count("half_open"))
+
+
+def tracked(metrics: DataFrame, fresh: DataFrame, feedback: DataFrame, reports: DataFrame) -> DataFrame:
+    """metrics after new ones of the same query_id have replaced old ones, with the last feedback (query_id, ts, rating)
+    and the report of the query where there is one."""
+    new = latest(fresh, ["query_id"], ["ts"])
+    rows = metrics.join(new.select("query_id"), "query_id", "left_anti").unionByName(new.select(*metrics.columns))
+    said = feedback.groupBy("query_id").agg(F.max_by("rating", F.struct("ts", "rating")).alias("_rating"))
+    out = rows.join(said, "query_id", "left").withColumn("feedback", F.coalesce("_rating", "feedback")).drop("_rating")
+    return out.join(reports.select("query_id", "report_id"), "query_id", "left")
+
+
+#: The exported metrics, with the bounds of the histograms.
+CATALOGUE = (
+    ("query_total", "counter", ()),
+    ("query_duration_seconds", "histogram", (0.5, 1, 2, 5, 10, 30, 60)),
+    ("query_confidence", "histogram", (0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)),
+    ("errors_total", "counter", ()),
+    ("service_health", "gauge", ()),
+    ("breaker_state", "gauge", ()),
+)
+
+
+def exported(rows: DataFrame) -> DataFrame:
+    """(metric, label, le, value) of query rows (kind, seconds, confidence, ok): counters by kind, cumulative buckets by kind."""
+    out = rows.groupBy(F.col("kind").alias("label")).agg(F.count(F.lit(1)).cast("double").alias("query_total"), F.count(F.when(~F.col("ok"), 1)).cast("double").alias("errors_total"))
+    out = out.select("label", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.lit(None).cast("string").alias("le"), F.col(m).alias("value")) for m, kind, _ in CATALOGUE if kind == "counter"])).alias("x")).select("x.metric", "label", "x.le", "x.value")
+    for metric, column in (("query_duration_seconds", "seconds"), ("query_confidence", "confidence")):
+        bounds = next(b for m, _, b in CATALOGUE if m == metric)
+        buckets = [F.count(F.when(F.col(column) <= float(b), 1)).cast("double").alias(f"b{i}") for i, b in enumerate(bounds)]
+        wide = rows.groupBy(F.col("kind").alias("label")).agg(*buckets, F.count(F.lit(1)).cast("double").alias("all"))
+        each = [F.struct(F.lit(str(float(b))).alias("le"), F.col(f"b{i}").alias("value")) for i, b in enumerate(bounds)]
+        long = wide.select("label", F.explode(F.array(*each, F.struct(F.lit("+Inf").alias("le"), F.col("all").alias("value")))).alias("x"))
+        out = out.unionByName(long.select(F.lit(metric).alias("metric"), "label", "x.le", "x.value"))
+    return out

@@ -62,9 +62,9 @@ def first_rule(events: DataFrame, rules: Sequence[Rule], default: str | None = N
     return events.withColumn("action", action.otherwise(default))
 
 
-def cited(citations: DataFrame, hits: DataFrame, most: int = 100) -> DataFrame:
+def cited(citations: DataFrame, hits: DataFrame) -> DataFrame:
     """citations (answer_id, path) with the first hit (answer_id, rank, path) whose path contains theirs or lies in it; joined within an answer."""
-    short = hits.where(F.col("rank") <= most).select("answer_id", "rank", F.col("path").alias("hit_path"))
+    short = hits.select("answer_id", "rank", F.col("path").alias("hit_path"))
     both = citations.join(short, "answer_id").where(F.contains("hit_path", "path") | F.contains("path", "hit_path"))
     best = both.groupBy("answer_id", "path").agg(F.min_by("hit_path", "rank").alias("hit_path"))
     return citations.join(best, ["answer_id", "path"], "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import with_totals
+from .graph import cut
 
 
 def dot(a, b) -> Column:
@@ -30,20 +31,13 @@ def vector_topk(nodes: DataFrame, query: Sequence[float], k: int = 500, key: str
     return out.orderBy(F.desc("score"), key).limit(k)
 
 
-def tokens(column) -> Column:
-    """Lower-case ASCII words."""
-    return F.filter(F.split(F.lower(column), "[^a-z0-9]+"), lambda x: x != "")
-
-
-def _equals(word: str):
-    return lambda x: x == word
-
-
 def bm25(nodes: DataFrame, query: str, k: int | None = 100, key: str = "uid", column: str = "docstring", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """key, score by Okapi BM25. Only rows of query words are grouped; lengths and counts come from one pass each."""
+    """key, score by Okapi BM25 over lower-case ASCII words. Texts are split once; their counts, a row each, are written
+    out and give both the totals and the scores."""
     words = sorted({w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()})
-    docs = nodes.select(F.col(key), tokens(F.coalesce(F.col(column), F.lit(""))).alias("_t"))
-    sized = docs.select(key, F.size("_t").alias("_n"), *[F.size(F.filter("_t", _equals(w))).alias(f"_f{i}") for i, w in enumerate(words)])
+    docs = nodes.select(F.col(key), F.split(F.lower(F.coalesce(F.col(column), F.lit(""))), "[^a-z0-9]+").alias("_t"))
+    n = F.size("_t") - F.when(F.get("_t", F.lit(0)) == "", 1).otherwise(0) - F.when((F.size("_t") > 1) & (F.element_at("_t", -1) == ""), 1).otherwise(0)
+    sized = cut(docs.select(key, n.alias("_n"), *[(F.size("_t") - F.size(F.array_remove("_t", w))).alias(f"_f{i}") for i, w in enumerate(words)]))
     stats = sized.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_avg"), *[F.sum((F.col(f"_f{i}") > 0).cast("long")).alias(f"_d{i}") for i in range(len(words))])
     hit = sized.where(sum((F.col(f"_f{i}") for i in range(len(words))), F.lit(0)) > 0)
     scored = with_totals(hit, stats)
@@ -77,11 +71,12 @@ def fuse_minmax(hits: dict[str, DataFrame], weights: dict[str, float], key: str
     return union.groupBy(key).agg(F.sum("part").alias("score"))
 
 
-def fuse_rrf(hits: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = 60, key: str = "uid") -> DataFrame:
-    """Reciprocal rank fusion of short ranked lists: the sum of weight / (k + rank)."""
+def fuse_rrf(hits: dict[str, DataFrame], weights: dict[str, float] | None = None, k: int = 60, key: str = "uid", most: int = 500) -> DataFrame:
+    """Reciprocal rank fusion of the best `most` of each list: the sum of weight / (k + rank)."""
     union = None
     for name, df in hits.items():
-        rank = F.row_number().over(Window.orderBy(F.desc("score"), key))  # over a list that its source has cut to top k
+        df = df.orderBy(F.desc("score"), key).limit(most)
+        rank = F.row_number().over(Window.orderBy(F.desc("score"), key))  # over the rows that the limit leaves
         part = df.select(key, (F.lit((weights or {}).get(name, 1.0)) / (k + rank)).alias("part"))
         union = part if union is None else union.unionByName(part)
     return union.groupBy(key).agg(F.sum("part").alias("score"))
@@ -101,15 +96,19 @@ def neighbours(hits: DataFrame, nodes: DataFrame, edges: DataFrame, types: Seque
 EXPANSION = ("DEFINES", "HAS_COMPONENT", "HAS_ASSET", "CALLS", "DEPENDS_ON")
 
 
-def hybrid(nodes: DataFrame, edges: DataFrame, vector: Sequence[float], text: str, k_vector: int = 500, k_text: int = 100, k: int = 20, key: str = "uid", fusion: str = "max", types: Sequence[str] | None = EXPANSION) -> DataFrame:
-    """Vector and keyword hits fused, the best k of them with the names of their neighbourhood."""
-    hits = {"vector": vector_topk(nodes, vector, k_vector, key).select(key, "score"), "keyword": bm25(nodes, text, k_text, key)}
+def hybrid(nodes: DataFrame, edges: DataFrame, vector: Sequence[float], text: str, k_vector: int = 500, k_text: int = 100, k: int = 20, key: str = "uid", fusion: str = "max", types: Sequence[str] | None = EXPANSION, vectors: DataFrame | None = None) -> DataFrame:
+    """Vector and keyword hits fused, the best k of them with the names of their neighbourhood.
+
+    vectors holds key and embedding, if nodes do not. The k hits are written out before their details and neighbours
+    are fetched, and again with these, so whatever is asked of them costs no further search.
+    """
+    hits = {"vector": vector_topk(nodes if vectors is None else vectors, vector, k_vector, key).select(key, "score"), "keyword": bm25(nodes, text, k_text, key)}
     if fusion == "rrf":
         fused = fuse_rrf(hits, key=key).withColumn("sources", F.lit(None).cast("array<string>"))
     elif fusion == "minmax":
         fused = fuse_minmax(hits, {"vector": 0.7, "keyword": 0.3}, key).withColumn("sources", F.lit(None).cast("array<string>"))
     else:
         fused = fuse_max(hits, key)
-    best = fused.orderBy(F.desc("score"), key).limit(k)
+    best = cut(fused.orderBy(F.desc("score"), key).limit(k))
     info = nodes.select(key, "project", "path", "name", "label", "last_modified")
-    return neighbours(best.join(info, key), nodes, edges, types, key)
+    return cut(neighbours(best.join(info, key), nodes, edges, types, key))

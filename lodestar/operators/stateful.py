@@ -1,15 +1,41 @@
-"""Sequential state per key: circuit breaker, alert cooldown, recovery limits, conversation rounds.
+"""Sequential state per key: circuit breaker, alert cooldown, recovery limits, provider fallback, conversation rounds.
 
-These need the order of events, so each key's events are sorted and walked through in a pandas function; the
-streaming twins in lodestar.streaming keep the same state between batches.
+The first four need the order of events. Each key's events go to one task, sorted, and are walked through batch by
+batch with the key's state alone in memory, so a key with any number of events needs no more; the streaming twins in
+lodestar.streaming keep the same state between batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def walked(events: DataFrame, key: str, columns: list[str], start: Callable, out: str) -> DataFrame:
+    """key, t, seq and the columns of out: for each key's events by (t, seq), what the function that start() makes returns
+    for (t, *columns), in the order of out."""
+    kind = events.schema[key].dataType.simpleString()
+    names = [f.split()[0] for f in out.split(", ")]
+    types = [{"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32()}[f.split()[1]] for f in out.split(", ")]
+
+    def run(batches):
+        step, now, begun = None, None, False
+        for batch in batches:
+            given = [batch.column(c).to_pylist() for c in ("t", *columns)]
+            found = []
+            for k, *values in zip(batch.column(key).to_pylist(), *given, strict=True):
+                if not begun or k != now:
+                    step, now, begun = start(), k, True
+                found.append(step(*values))
+            made = [pa.array(list(c), kind) for c, kind in zip(zip(*found, strict=True), types, strict=True)] if found else [pa.array([], kind) for kind in types]
+            yield pa.RecordBatch.from_arrays([batch.column(key), batch.column("t"), batch.column("seq"), *made], names=[key, "t", "seq", *names])
+
+    ordered = events.select(key, F.col("t").cast("double").alias("t"), F.col("seq").cast("long").alias("seq"), *[c for c in columns if c != key]).repartition(key).sortWithinPartitions(key, "t", "seq")
+    return ordered.mapInArrow(run, f"{key} {kind}, t double, seq long, {out}")
 
 
 @dataclass
@@ -49,93 +75,77 @@ class Breaker:
 
 
 def circuit_breaker(events: DataFrame, key: str = "service", failure: int = 5, success: int = 3, reset: float = 30.0) -> DataFrame:
-    """events (key, t seconds, seq, ok) with state and rejected."""
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "seq"], kind="stable")
-        b = Breaker(failure, success, reset)
-        steps = [b.step(t, ok) for t, ok in zip(frame["t"], frame["ok"], strict=True)]
-        frame["state"] = [s for s, _ in steps]
-        frame["rejected"] = [r for _, r in steps]
-        return frame[[key, "t", "seq", "ok", "state", "rejected"]]
-
-    kind = events.schema[key].dataType.simpleString()
-    return events.select(key, "t", "seq", "ok").groupBy(key).applyInPandas(walk, f"{key} {kind}, t double, seq long, ok boolean, state string, rejected boolean")
+    """events (key, t seconds, seq, ok) as key, t, seq, state, rejected."""
+    return walked(events, key, ["ok"], lambda: Breaker(failure, success, reset).step, "state string, rejected boolean")
 
 
 def cooldown(alerts: DataFrame, key: str, gap: float = 300.0) -> DataFrame:
     """alerts (key, t, seq) with sent: an alert goes out unless one of its key went out less than gap seconds before."""
 
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "seq"], kind="stable")
-        last, sent = None, []
-        for t in frame["t"]:
+    def start():
+        last = None
+
+        def step(t):
+            nonlocal last
             go = last is None or t - last >= gap
             last = t if go else last
-            sent.append(go)
-        frame["sent"] = sent
-        return frame[[key, "t", "seq", "sent"]]
+            return (go,)
 
-    kind = alerts.schema[key].dataType.simpleString()
-    return alerts.select(key, "t", "seq").groupBy(key).applyInPandas(walk, f"{key} {kind}, t double, seq long, sent boolean")
+        return step
+
+    return walked(alerts, key, [], start, "sent boolean")
 
 
 def recovery_limit(requests: DataFrame, key: str, gap: float = 60.0, hourly: int = 5) -> DataFrame:
     """requests with allowed: at least gap seconds after the last allowed one, and no more than `hourly` in an hour."""
 
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "seq"], kind="stable")
+    def start():
         done: list[float] = []
-        allowed = []
-        for t in frame["t"]:
-            done = [d for d in done if t - d < 3600.0]
+
+        def step(t):
+            done[:] = [d for d in done if t - d < 3600.0]
             go = (not done or t - done[-1] >= gap) and len(done) < hourly
             if go:
                 done.append(t)
-            allowed.append(go)
-        frame["allowed"] = allowed
-        return frame[[key, "t", "seq", "allowed"]]
+            return (go,)
 
-    kind = requests.schema[key].dataType.simpleString()
-    return requests.select(key, "t", "seq").groupBy(key).applyInPandas(walk, f"{key} {kind}, t double, seq long, allowed boolean")
+        return step
+
+    return walked(requests, key, [], start, "allowed boolean")
 
 
 def fallback(attempts: DataFrame, key: str, providers: list[str], skip_after: int = 3, for_seconds: float = 60.0) -> DataFrame:
     """Requests (key, t, seq, one boolean column a provider) with the provider that answered; one that failed skip_after times in a row rests a while."""
 
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "seq"], kind="stable")
-        failed, until, chosen = dict.fromkeys(providers, 0), dict.fromkeys(providers, float("-inf")), []
-        for row in frame.to_dict("records"):
-            used = None
-            for p in providers:
-                if row["t"] < until[p]:
+    def start():
+        failed, until = dict.fromkeys(providers, 0), dict.fromkeys(providers, float("-inf"))
+
+        def step(t, *answers):
+            for p, good in zip(providers, answers, strict=True):
+                if t < until[p]:
                     continue
-                if row[p]:
-                    failed[p], used = 0, p
-                    break
+                if good:
+                    failed[p] = 0
+                    return (p,)
                 failed[p] += 1
                 if failed[p] >= skip_after:
-                    failed[p], until[p] = 0, row["t"] + for_seconds
-            chosen.append(used)
-        frame["provider"] = chosen
-        return frame[[key, "t", "seq", "provider"]]
+                    failed[p], until[p] = 0, t + for_seconds
+            return (None,)
 
-    kind = attempts.schema[key].dataType.simpleString()
-    return attempts.groupBy(key).applyInPandas(walk, f"{key} {kind}, t double, seq long, provider string")
+        return step
+
+    return walked(attempts, key, providers, start, "provider string")
+
+
+def first_success(rows: DataFrame, providers: list[str], value: str = "value") -> DataFrame:
+    """rows with the value and name of the first provider, in order, that has one (a column each); null if none has."""
+    found = F.coalesce(*[F.when(F.col(p).isNotNull(), F.struct(F.col(p).alias("v"), F.lit(p).alias("p"))) for p in providers])
+    return rows.withColumn(value, found["v"]).withColumn("provider", found["p"])
 
 
 def rounds(turns: DataFrame, most: int = 3) -> DataFrame:
     """Conversation turns (conv_id, turn, role) with the round and state: a user turn opens a round, the last round executes."""
-
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("turn", kind="stable")
-        n, out = 0, []
-        for role in frame["role"]:
-            n = min(n + (role == "user"), most)
-            out.append((n, "execute" if n >= most else "clarify" if n else "new"))
-        frame["round"] = [x for x, _ in out]
-        frame["state"] = [s for _, s in out]
-        return frame[["conv_id", "turn", "role", "round", "state"]]
-
-    return turns.select("conv_id", "turn", "role").groupBy("conv_id").applyInPandas(walk, "conv_id long, turn long, role string, round int, state string")
+    so_far = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    round_ = F.least(F.sum((F.col("role") == "user").cast("int")).over(so_far).cast("int"), F.lit(most))
+    out = turns.select("conv_id", "turn", "role", round_.alias("round"))
+    return out.withColumn("state", F.when(F.col("round") >= most, "execute").when(F.col("round") > 0, "clarify").otherwise("new"))

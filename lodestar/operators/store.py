@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,11 +59,22 @@ def vector_points(nodes: DataFrame, dimension: int, most: int = 500) -> DataFram
 
 
 def fingerprint(rows: DataFrame, path: str, version: str) -> DataFrame:
-    """One SHA-256 of all path:version lines in order, made of a hash a bucket so that no list holds all rows."""
-    line = F.concat_ws(":", F.col(path), F.col(version).cast("string"))
-    part = rows.select(F.substring(F.sha2(F.col(path), 256), 1, 3).alias("b"), line.alias("line"))
-    buckets = part.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("h"))
-    return buckets.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("fingerprint"))
+    """One SHA-256 of all path:version lines in order, with line feeds between them.
+
+    Such a hash has one reader by definition: the lines are dealt out by range and stream, sorted, through a single task
+    that holds the state of the hash and one batch. No row gives the hash of nothing.
+    """
+
+    def digest(batches):
+        state, before = hashlib.sha256(), b""
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                state.update(before + x.encode())
+                before = b"\n"
+        yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], names=["fingerprint"])
+
+    line = F.concat_ws(":", F.col(path), F.col(version).cast("string")).alias("line")
+    return rows.select(line).orderBy("line").coalesce(1).mapInArrow(digest, "fingerprint string")
 
 
 def append_log(rows: DataFrame, folder: str, ts: str = "ts") -> None:
@@ -72,3 +85,30 @@ def append_log(rows: DataFrame, folder: str, ts: str = "ts") -> None:
 def write_project(rows: DataFrame, folder: str) -> None:
     """Overwrites just the projects in rows."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("project").parquet(folder)
+
+
+def without_prefix(rows: DataFrame, prefix: str, key: str = "key") -> DataFrame:
+    """Cache entries whose key does not begin with a prefix; null keys stay."""
+    return rows.where(~F.coalesce(F.startswith(F.col(key), F.lit(prefix)), F.lit(False)))
+
+
+def ring(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: int) -> DataFrame:
+    """The last `most` rows of each key by order."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order]))
+    return rows.withColumn("_place", place).where(F.col("_place") <= most).drop("_place")
+
+
+def health_history(samples: DataFrame, as_of, last: int = 10, latest_seconds: int = 300, history_seconds: int = 3600) -> tuple[DataFrame, DataFrame]:
+    """The newest sample (service, ts, seq) of each service if it is not older than latest_seconds, and its last ones within history_seconds."""
+    age = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))
+    kept = ring(samples.where((age >= 0) & (age <= history_seconds)), ["service"], ["ts", "seq"], last)
+    return ring(kept.where(age <= latest_seconds), ["service"], ["ts", "seq"], 1), kept
+
+
+def normalised_points(payloads: DataFrame) -> DataFrame:
+    """Vector payloads of two dialects (project or project_name, path or file_path, text or content) in one."""
+    have = set(payloads.columns)
+    first = lambda *names: F.coalesce(*[F.col(n) for n in names if n in have]) if have & set(names) else F.lit(None).cast("string")
+    return payloads.select("uid", first("project", "project_name").alias("project"), first("path", "file_path").alias("path"), first("text", "content", "docstring").alias("text"))

@@ -117,9 +117,13 @@ def conversations(turns: DataFrame) -> DataFrame:
 
 
 def last_queries(turns: DataFrame, n: int = 3) -> DataFrame:
-    """The last n user queries of each conversation, oldest first: a bounded list, kept by sorting a short aggregate."""
-    asked = turns.where("role = 'user'").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("q"))
-    return asked.select("conv_id", F.transform(F.slice("q", -F.least(F.lit(n), F.size("q")), F.least(F.lit(n), F.size("q"))), lambda x: x["text"]).alias("queries"))
+    """The last n user queries of each conversation, oldest first; n rows of each are kept before any list is made."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), F.desc("text")))
+    last = turns.where("role = 'user'").select("conv_id", "turn", "text", place.alias("_n")).where(F.col("_n") <= n)
+    asked = last.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("q"))
+    return asked.select("conv_id", F.transform("q", lambda x: x["text"]).alias("queries"))
 
 
 def rewrite(turns: DataFrame, n: int = 3) -> DataFrame:
@@ -135,3 +139,107 @@ def idempotent(rows: DataFrame, existing: DataFrame, token: str = "token", order
     rest = [c for c in rows.columns if c not in (token, order)]
     best = first.groupBy(token).agg(F.min(F.struct(order, *rest)).alias("_x")).select(token, "_x.*").select(*rows.columns)
     return best.unionByName(rows.where(F.col(token).isNull()))
+
+
+#: What a work item and a change may be.
+WORK_TYPES = ("feature", "bug", "task", "enhancement", "refactor")
+CHANGE_TYPES = ("modified", "added", "deleted", "renamed")
+SNIPPET = 1000
+
+
+def missing(required: Sequence[str], choices: dict[str, Sequence[str]] | None = None):
+    """What a row lacks: required columns that are null or empty, and values that are not among the allowed ones."""
+    lacks = [F.when(F.coalesce(F.col(c).cast("string"), F.lit("")) == "", f"missing {c}") for c in required]
+    wrong = [F.when(F.col(c).isNotNull() & ~F.col(c).isin(*values), f"unknown {c}") for c, values in (choices or {}).items()]
+    return F.array_compact(F.array(*lacks, *wrong))
+
+
+def create_items(rows: DataFrame, project: str, as_of: str) -> DataFrame:
+    """New open work items of rows (title, description, work_type, priority), with problems; only rows without any count."""
+    from lodestar.functions.text import work_item_uid
+
+    uid = work_item_uid(F.lit(project), F.col("title"), F.col("description"))
+    bad = missing(("title", "description", "work_type"), {"work_type": WORK_TYPES, "priority": PRIORITIES})
+    when = F.lit(as_of).cast("timestamp_ntz")
+    out = rows.withColumn("problems", bad).withColumn("uid", F.when(F.size("problems") == 0, uid))
+    return out.withColumns({"project": F.lit(project), "priority": F.coalesce("priority", F.lit("medium")), "status": F.lit("open"), "created_at": when, "updated_at": when})
+
+
+def record_changes(rows: DataFrame, project: str) -> DataFrame:
+    """Changes (commit_hash, file_path, change_type, diff) with their uid, the diff cut to SNIPPET characters, and problems."""
+    from lodestar.functions.text import change_uid
+
+    uid = change_uid(F.lit(project), F.col("commit_hash"), F.col("file_path"))
+    out = rows.withColumn("problems", missing(("commit_hash", "file_path", "change_type"), {"change_type": CHANGE_TYPES}))
+    return out.withColumns({"uid": F.when(F.size("problems") == 0, uid), "project": F.lit(project), "diff": F.substring("diff", 1, SNIPPET)})
+
+
+def link(pairs: DataFrame, items: DataFrame, recorded: DataFrame, confidence: float = 0.5, reason: str | None = None) -> DataFrame:
+    """Links (work_uid, change_uid) whose item and change exist, with confidence and reason; one for each pair."""
+    known = pairs.join(items.select(F.col("uid").alias("work_uid")), "work_uid", "left_semi").join(recorded.select(F.col("uid").alias("change_uid")), "change_uid", "left_semi")
+    return known.select("work_uid", "change_uid").distinct().withColumns({"confidence": F.lit(confidence), "reason": F.lit(reason).cast("string")})
+
+
+def item(items: DataFrame, uid) -> DataFrame:
+    """The one item with a uid; an error if there is none."""
+    found = items.where(F.col("uid") == uid)
+    if found.isEmpty():
+        raise KeyError(f"no work item {uid}")
+    return found
+
+
+def enqueue(items: DataFrame, action, as_of) -> DataFrame:
+    """Queue rows for items: uid, action, priority, status pending, as the queue's next state of each."""
+    return items.select("uid", action.alias("action"), "priority", F.lit("pending").alias("status"), F.lit(0).alias("retry_count"), as_of.alias("at"))
+
+
+def settled(states: DataFrame) -> DataFrame:
+    """The queue's last state of each uid; of equal times a completed one counts."""
+    from .common import latest
+
+    ranked = states.withColumn("_done", (F.col("status") == "completed").cast("int"))
+    return latest(ranked, ["uid"], ["at", "_done"]).drop("_done")
+
+
+def file_paths(links: DataFrame, most: int = 100) -> DataFrame:
+    """work_uid, place, file_path: the first distinct paths of each item in order, `most` of them."""
+    from pyspark.sql import Window
+
+    each = links.select("work_uid", "file_path").distinct()
+    return each.withColumn("place", F.row_number().over(Window.partitionBy("work_uid").orderBy("file_path"))).where(F.col("place") <= most)
+
+
+def create_conversations(rows: DataFrame, as_of: str) -> DataFrame:
+    """Conversations (token, project) as rows to append: conv_id made of both, so asking twice makes one."""
+    conv = F.substring(F.sha2(F.concat_ws("::", "project", "token"), 256), 1, 16)
+    return rows.select(conv.alias("conv_id"), "project", F.lit(as_of).cast("timestamp_ntz").alias("created_at")).distinct()
+
+
+def add_queries(asked: DataFrame, evidence: DataFrame, most: int = 10) -> DataFrame:
+    """conv_id, turn, node, place: the links of each query (conv_id, turn) to its first evidence (conv_id, turn, rank, node)."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("rank", "node"))
+    found = evidence.join(asked.select("conv_id", "turn").distinct(), ["conv_id", "turn"], "left_semi")
+    return found.withColumn("place", place).where(F.col("place") <= most).select("conv_id", "turn", "node", "place")
+
+
+def history(turns: DataFrame, links: DataFrame, last: int = 5) -> DataFrame:
+    """conv_id, turn, text, evidence: the last user queries of each conversation, with how many nodes each rests on (0 if none)."""
+    from pyspark.sql import Window
+
+    own = turns.where("role = 'user'").withColumn("_n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where(F.col("_n") <= last)
+    n = links.groupBy("conv_id", "turn").agg(F.countDistinct("node").alias("evidence"))
+    return own.join(n, ["conv_id", "turn"], "left").select("conv_id", "turn", "text", F.coalesce("evidence", F.lit(0)).cast("long").alias("evidence"))
+
+
+def continued(turns: DataFrame, most: int = 3) -> DataFrame:
+    """conv_id, round, next, query: what each conversation does next. A query that is clear, or the last round, is
+    executed with the answers so far; an unclear one is asked about again."""
+    from lodestar.functions.text import clarity
+
+    asked = turns.where("role = 'user'").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("last"))
+    round_ = F.least(F.col("n"), F.lit(most))
+    ready = (round_ >= most) | (clarity(F.col("last"))["clarity"] == "clear")
+    query = F.when(F.col("n") > 1, F.concat_ws(". ", "first", F.concat(F.lit("Focus: "), "last"))).otherwise(F.col("last"))
+    return asked.select("conv_id", round_.alias("round"), F.when(ready, "execute").otherwise("questions").alias("next"), query.alias("query"))

@@ -111,3 +111,45 @@ def as_of_join(events: DataFrame, versions: DataFrame, key: str, ts: str = "ts",
     w = Window.partitionBy(key).orderBy(ts, "_e").rowsBetween(Window.unboundedPreceding, 0)
     filled = both.unionByName(old).withColumn("as_of_value", F.last("_v", ignorenulls=True).over(w))
     return filled.where("_e = 1").drop("_v", "_e")
+
+
+#: Failures in a row and milliseconds from which a service is alerted, and failures beyond that for recovery.
+ALERT_FAILURES, ALERT_LATENCY, RECOVERY_FAILURES = 3, 5000.0, 2
+
+
+def alert_required(failures: str = "consecutive", latency: str = "latency", most: int = ALERT_FAILURES, slow: float = ALERT_LATENCY) -> Column:
+    return (F.col(failures) >= most) | F.coalesce(F.col(latency) >= slow, F.lit(False))
+
+
+def recovery_required(failures: str = "consecutive", most: int = ALERT_FAILURES, beyond: int = RECOVERY_FAILURES) -> Column:
+    return F.col(failures) >= most + beyond
+
+
+def rates(rows: DataFrame, value: str, key: str, width: int) -> DataFrame:
+    """key, window, rate: how much a counter rose a second in each window, a fall counting as a restart."""
+    return increase(rows, value, key, width).select(key, "window", (F.col("increase") / width).alias("rate"))
+
+
+def over_threshold(series: DataFrame, value: str, most: float, width: int, hold: int, by: Sequence[str] = ()) -> DataFrame:
+    """Runs of windows (one row each of by and window) in which the value is over a threshold, that last `hold` seconds or more: start, end."""
+    bad = series.where(F.col(value) > most)
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("window")
+    runs = bad.withColumn("_g", F.col("window") - F.row_number().over(w) * width)
+    spans = runs.groupBy(*by, "_g").agg(F.min("window").alias("start"), (F.max("window") + width).alias("end"))
+    return spans.where(F.col("end") - F.col("start") >= hold).drop("_g")
+
+
+def series(rows: DataFrame, value: str, label: str, bounds: Sequence[float], width: int, quantiles: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """label, window, rate and a column for each quantile (q50, q95): what a dashboard shows of labelled events."""
+    timed = rows.withColumn("window", bucket(width))
+    out = timed.groupBy(label, "window").agg((F.count(F.lit(1)) / width).alias("rate"))
+    for q in quantiles:
+        part = histogram_quantile(timed, value, bounds, q, [label, "window"]).withColumnRenamed("quantile", f"q{round(q * 100)}")
+        out = out.join(part, [label, "window"], "left")
+    return out
+
+
+def head_changes(polls: DataFrame, key: str = "project", head: str = "head", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
+    """The polls at which a project's head differs from the poll before, with that one; the first poll is none."""
+    before = F.lag(head).over(Window.partitionBy(key).orderBy(*order))
+    return polls.withColumn("before", before).where(F.col("before").isNotNull() & (F.col("before") != F.col(head)))

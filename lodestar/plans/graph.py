@@ -131,7 +131,7 @@ def _(spark, d):
     return G.pagerank(n, edges(spark, d), rounds=5, stop=0).select("uid", F.round("rank", 6).alias("rank"))
 
 
-@query("edge_strength", oracle("""select type, round(case type when 'DEPENDS_ON' then 0.8 else 0.5 end * case when src like 'order%' then 1.15 else 1 end, 6) as strength, count(*) as n from edges group by all""", "edges"))
+@query("edge_strength", oracle("""select type, round(case type when 'DEPENDS_ON' then 0.8::double else 0.5::double end * case when src like 'order%' then 1.15::double else 1 end, 6) as strength, count(*) as n from edges group by all""", "edges"))
 def _(spark, d):
     e = edges(spark, d).withColumn("same_package", F.col("src").startswith("order"))
     return G.strengths(e, ["same_package"]).groupBy("type", F.round("strength", 6).alias("strength")).agg(_count())
@@ -173,19 +173,7 @@ def _(spark, d):
     return G.children(edges(spark, d), nodes(spark, d).where("label = 'Feature'"), ["HAS_ASSET", "DEFINES"])
 
 
-@query("import_files", oracle("""with files as (select 'src/m' || p_partkey || '.py' as path from part where p_partkey <= 40), imports as (select 'src/m' || p_partkey || '.py' as path, case when p_partkey % 2 = 0 then 'src.m' || (p_partkey + 1) else 'm' || (p_partkey + 2) end as module from part where p_partkey <= 60)
-select imports.path, module, coalesce(a.path, b.path) as target from imports left join files a on replace(replace(a.path, '.py', ''), '/', '.') = module
-left join files b on regexp_extract(b.path, '([^/]+)\\.py$', 1) = regexp_extract(module, '([^.]+)$', 1) where coalesce(a.path, b.path) is not null and coalesce(a.path, b.path) <> imports.path"""))
-def _(spark, d):
-    p = table(spark, d, "part")
-    name = lambda k: F.concat(F.lit("src/m"), k.cast("string"), F.lit(".py"))
-    k = F.col("p_partkey")
-    files = p.where("p_partkey <= 40").select(name(k).alias("path"))
-    module = F.when(k % 2 == 0, F.concat(F.lit("src.m"), (k + 1).cast("string"))).otherwise(F.concat(F.lit("m"), (k + 2).cast("string")))
-    return G.import_files(p.where("p_partkey <= 60").select(name(k).alias("path"), module.alias("module")), files)
-
-
-@query("import_files_all", oracle("""with files as (select 'src/m' || p_partkey || '.py' as path from part where p_partkey % 3 <> 0), imports as (select 'src/m' || p_partkey || '.py' as path, case when p_partkey % 2 = 0 then 'src.m' || (p_partkey + 1) else 'm' || (p_partkey + 2) end as module from part)
+@query("import_files", oracle("""with files as (select 'src/m' || p_partkey || '.py' as path from part where p_partkey % 3 <> 0), imports as (select 'src/m' || p_partkey || '.py' as path, case when p_partkey % 2 = 0 then 'src.m' || (p_partkey + 1) else 'm' || (p_partkey + 2) end as module from part)
 select imports.path, module, coalesce(a.path, b.path) as target from imports left join files a on replace(replace(a.path, '.py', ''), '/', '.') = module
 left join files b on regexp_extract(b.path, '([^/]+)\\.py$', 1) = regexp_extract(module, '([^.]+)$', 1) where coalesce(a.path, b.path) is not null and coalesce(a.path, b.path) <> imports.path"""))
 def _(spark, d):
@@ -197,7 +185,7 @@ def _(spark, d):
     return G.import_files(p.select(name(k).alias("path"), module.alias("module")), p.where("p_partkey % 3 <> 0").select(name(k).alias("path")))
 
 
-@query("outline", oracle("with p as (select 'r' || n_regionkey as path from nation union select 'r' || n_regionkey || '/n' || n_nationkey from nation) select string_agg(repeat('  ', len(string_split(path, '/')) - 1) || string_split(path, '/')[-1], chr(10) order by path) as outline from p"))
+@query("outline", oracle("with p as (select 'r' || n_regionkey as path from nation union select 'r' || n_regionkey || '/n' || n_nationkey from nation) select path, repeat('  ', len(string_split(path, '/')) - 1) || string_split(path, '/')[-1] as line from p"))
 def _(spark, d):
     n = table(spark, d, "nation")
     r = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))

@@ -98,7 +98,7 @@ def _(spark, d):
     return M.gauges(rows, ["service", "kind"])
 
 
-@query("tuning_running_total", oracle("select query_id, round(sum(case feedback when 'useful' then 1.0 when 'not_useful' then -1.0 else 0.0 end) over (partition by project order by ts, query_id rows unbounded preceding), 6) as total from metrics", "metrics"))
+@query("tuning_running_total", oracle("select query_id, round(sum(case feedback when 'useful' then 1.0::double when 'not_useful' then -1.0::double else 0.0::double end) over (partition by project order by ts, query_id rows unbounded preceding), 6) as total from metrics", "metrics"))
 def _(spark, d):
     rows = metrics(spark, d).withColumn("delta", F.when(F.col("feedback") == "useful", 1.0).when(F.col("feedback") == "not_useful", -1.0))
     return M.running_total(rows, "delta", "project", ["ts", "query_id"]).select("query_id", F.round("total", 6).alias("total"))

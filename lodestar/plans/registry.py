@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from . import graph, metrics, rules, search, sources, streams, text, tracking, windows  # noqa: F401
+    from . import graph, metrics, rules, search, sources, streams, text, tracking, windows, work  # noqa: F401
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

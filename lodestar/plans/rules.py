@@ -128,7 +128,10 @@ def _(spark, d):
     return nodes(spark, d).groupBy(T.by_label(labels, ("Capability", "Code")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("hash_embeddings")
+@query("hash_embeddings", oracle("""with w as (select doc_id, sha256(unnest(list_filter(regexp_split_to_array('search_document: ' || lower(text), '\\s+'), lambda x: x <> ''))) as h from documents where text is not null),
+v as (select doc_id, (strpos('0123456789abcdef', substr(h, 1, 1)) - 1) % 4 * 16 + strpos('0123456789abcdef', substr(h, 2, 1)) - 1 as place, sum(case when strpos('13579bdf', substr(h, 10, 1)) > 0 then 1 else -1 end)::double as x from w group by all),
+n as (select doc_id, sqrt(sum(x * x)) as n from v group by doc_id) select doc_id, place::int as place, round(x / n, 4) as value from v join n using (doc_id) where x <> 0"""))
 def _(spark, d):
-    vectors = table(spark, d, "documents").select("doc_id", embed(F.col("text"), hashing(64), 64).alias("embedding"))
-    return vectors.select("doc_id", F.size("embedding").alias("dimension"), F.round(F.get("embedding", F.lit(0)), 4).alias("first"))
+    """All components that are not zero."""
+    vectors = table(spark, d, "documents").select("doc_id", F.posexplode(embed(F.col("text"), hashing(64), 64)).alias("place", "value"))
+    return vectors.where("value <> 0").select("doc_id", "place", F.round(F.col("value").cast("double"), 4).alias("value"))

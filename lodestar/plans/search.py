@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import search as S
 from lodestar.operators import trust as T
+from lodestar.operators.graph import cut
 
 from .registry import query
-from .views import AS_OF_EPOCH, evidence, evidence_edges, oracle, table
+from .views import AS_OF_EPOCH, evidence, evidence_edges, evidence_nodes, evidence_vectors, oracle, table
 
 TEXT = "the and tion"
 
 
 def _vector(spark, d, vec_id: int = 0) -> list[float]:
-    return list(table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first()["embedding"])
+    """A stored vector as the query; a vector of zeros, which is like nothing, where it is missing."""
+    found = table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).first()
+    return list(found["embedding"]) if found else [0.0]
 
 
 _DOT = "list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = {0}))"
@@ -54,13 +57,12 @@ total as (select count(*) as faults, greatest(0.0::double, 100.0::double - coale
 
 
 def _hits(spark, d, **options):
-    nodes, edges = evidence(spark, d), evidence_edges(spark, d)
-    return S.hybrid(nodes, edges, _vector(spark, d), TEXT, **options)
+    return S.hybrid(evidence_nodes(spark, d), evidence_edges(spark, d), _vector(spark, d), TEXT, vectors=evidence_vectors(spark, d), **options)
 
 
 @query("vector_topk", oracle(f"select uid, round({_DOT.format(0)}, 6) as score from evidence where embedding is not null order by {_DOT.format(0)} desc, uid limit 50", "evidence"))
 def _(spark, d):
-    return S.vector_topk(evidence(spark, d), _vector(spark, d), 50).select("uid", F.round("score", 6).alias("score"))
+    return S.vector_topk(evidence_vectors(spark, d), _vector(spark, d), 50).select("uid", F.round("score", 6).alias("score"))
 
 
 @query("vector_threshold", oracle(f"select uid, project, round({_DOT.format(3)}, 6) as score from evidence where embedding is not null and project = 'en' and {_DOT.format(3)} >= 0.1 order by {_DOT.format(3)} desc, uid limit 30", "evidence"))
@@ -76,7 +78,7 @@ def _(spark, d):
 
 @query("bm25_topk", oracle(f"with {bm25_sql()} select uid, round(score, 6) as score from keyword", "evidence"))
 def _(spark, d):
-    return S.bm25(evidence(spark, d), TEXT, 100).select("uid", F.round("score", 6).alias("score"))
+    return S.bm25(evidence_nodes(spark, d), TEXT, 100).select("uid", F.round("score", 6).alias("score"))
 
 
 @query("hybrid_search", oracle(f"{_FUSED}, {_FAULTS}, own as (select uid, string_agg(type, ',' order by type) as faults from f where uid is not null group by uid) select hits.uid, round(score, 6) as score, sources, project, path, label, len(neighbors) as n_neighbors, coalesce(own.faults, '') as faults, confidence from hits left join own on own.uid = hits.uid, total", "evidence", "evidence_edges"))
@@ -94,8 +96,8 @@ def _(spark, d):
 r as (select uid, 1.0::double / (60 + row_number() over (order by score desc, uid)) as part from vector union all select uid, 1.0::double / (60 + row_number() over (order by score desc, uid)) from keyword)
 select uid, round(sum(part), 9) as score from r group by uid order by sum(part) desc, uid limit 50""", "evidence"))
 def _(spark, d):
-    nodes = evidence(spark, d)
-    out = S.fuse_rrf({"vector": S.vector_topk(nodes, _vector(spark, d)).select("uid", "score"), "keyword": S.bm25(nodes, TEXT)})
+    vectors = evidence_vectors(spark, d)
+    out = S.fuse_rrf({"vector": S.vector_topk(vectors, _vector(spark, d)).select("uid", "score"), "keyword": S.bm25(evidence_nodes(spark, d), TEXT)})
     return out.orderBy(F.desc("score"), "uid").limit(50).select("uid", F.round("score", 9).alias("score"))
 
 
@@ -104,8 +106,7 @@ a as (select uid, 0.7::double * case when (select max(score) > min(score) from v
 b as (select uid, 0.3::double * case when (select max(score) > min(score) from keyword) then (score - (select min(score) from keyword)) / (select max(score) - min(score) from keyword) else 1 end as part from keyword)
 select uid, round(sum(part), 6) as score from (select * from a union all select * from b) group by uid""", "evidence"))
 def _(spark, d):
-    nodes = evidence(spark, d)
-    hits = {"vector": S.vector_topk(nodes, _vector(spark, d)).select("uid", "score"), "keyword": S.bm25(nodes, TEXT)}
+    hits = {"vector": cut(S.vector_topk(evidence_vectors(spark, d), _vector(spark, d)).select("uid", "score")), "keyword": cut(S.bm25(evidence_nodes(spark, d), TEXT))}
     return S.fuse_minmax(hits, {"vector": 0.7, "keyword": 0.3}).select("uid", F.round("score", 6).alias("score"))
 
 

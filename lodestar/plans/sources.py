@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
-from lodestar.operators.graph import cut
-from lodestar.sources import code, feeds
+from lodestar.operators.graph import cut, shared_folder
+from lodestar.sources import code, feeds, files
 
 from .registry import query
-from .views import oracle, table
+from .views import oracle, table, values
 
 MAIN = '''"""Entry."""
 from .utils import helper
@@ -48,33 +50,140 @@ def read_item(id: int) -> dict:
 FILES = [
     ("src/main.py", MAIN),
     ("src/utils.py", "def helper(x):\n    return x  # FIXME: slow\n\n\ndef total(xs):\n    return sum(xs)\n"),
-    ("src/app.ts", "export class Box {\n}\n// opens it\nexport function open(a) {\n  console.log(a)\n}\nconst shut = (b) => { try { b() } catch (e) {} }\n"),
+    ("src/app.ts", "export class Box {\n}\n// opens it\nexport function open(a) {\n  console.log(a)\n}\nconst shut = (b) => { try { b() } catch (e) {\n  // nothing\n} }\nconst later = () => {\n}\nfunction soon() {\n  throw new Error('not implemented yet')\n}\n"),
     ("src/svc.go", "type Server struct {\n}\nfunc (s *Server) Start() error {\n\treturn nil\n}\n"),
     ("api/users.proto", "message User {\n}\nservice Users {\n  rpc Get (User) returns (User);\n}\n"),
+    ("api/admin.yaml", "openapi: 3.0.0\npaths:\n  /jobs:\n    get:\n      summary: List jobs\n      parameters:\n        - name: q\n          in: query\n    delete:  # all\n      operationId: clear\n  '/jobs/{id}':\n    put:\n      tags: [x]\ncomponents:\n  get: {}\n"),
     ("api/openapi.json", json.dumps({"paths": {"/users": {"get": {"summary": "List users"}, "post": {"operationId": "create"}}}})),
 ]
 
 
+#: What the sources must give for FILES, read off the files by hand: columns and rows. A line with docstring quotes
+#: opens or closes a docstring, one that has both too, so what follows it counts as inside until the next such line.
+EXPECTED = {
+    "python_symbols": (
+        "path, uid, label, name, parent, start_line, end_line, is_async, docstring, signature",
+        [
+            ('src/main.py', 'src/main.py.Application', 'Class', 'Application', 'src/main.py', 9, 19, False, 'Runs it.', 'class Application()'),
+            ('src/main.py', 'src/main.py.Application.__init__', 'Function', '__init__', 'src/main.py.Application', 12, 13, False, None, '__init__(self, name: str) -> None'),
+            ('src/main.py', 'src/main.py.Application.run', 'Function', 'run', 'src/main.py.Application', 15, 16, False, None, 'run(self)'),
+            ('src/main.py', 'src/main.py.Application.status', 'Function', 'status', 'src/main.py.Application', 18, 19, True, None, 'status(self)'),
+            ('src/main.py', 'src/main.py.process', 'Function', 'process', 'src/main.py', 22, 26, False, None, 'process(data)'),
+            ('src/main.py', 'src/main.py.read_item', 'Function', 'read_item', 'src/main.py', 30, 32, False, 'TODO: describe', 'read_item(id: int) -> dict'),
+            ('src/utils.py', 'src/utils.py.helper', 'Function', 'helper', 'src/utils.py', 1, 2, False, None, 'helper(x)'),
+            ('src/utils.py', 'src/utils.py.total', 'Function', 'total', 'src/utils.py', 5, 6, False, None, 'total(xs)'),
+        ],
+    ),
+    "python_edges": (
+        "path, src, target, type",
+        [
+            ('src/main.py', 'src/main.py', '.utils', 'DEPENDS_ON'),
+            ('src/main.py', 'src/main.py', 'config', 'DEPENDS_ON'),
+            ('src/main.py', 'src/main.py', 'src/main.py.Application', 'DEFINES'),
+            ('src/main.py', 'src/main.py.Application', 'src/main.py.Application.__init__', 'DEFINES'),
+            ('src/main.py', 'src/main.py.Application', 'src/main.py.Application.run', 'DEFINES'),
+            ('src/main.py', 'src/main.py.Application.run', 'process', 'CALLS'),
+            ('src/main.py', 'src/main.py.Application', 'src/main.py.Application.status', 'DEFINES'),
+            ('src/main.py', 'src/main.py', 'src/main.py.process', 'DEFINES'),
+            ('src/main.py', 'src/main.py.process', 'helper', 'CALLS'),
+            ('src/main.py', 'src/main.py', 'src/main.py.read_item', 'DEFINES'),
+            ('src/main.py', 'src/main.py.read_item', 'get', 'CALLS'),
+            ('src/utils.py', 'src/utils.py', 'src/utils.py.helper', 'DEFINES'),
+            ('src/utils.py', 'src/utils.py', 'src/utils.py.total', 'DEFINES'),
+            ('src/utils.py', 'src/utils.py.total', 'sum', 'CALLS'),
+        ],
+    ),
+    "pattern_symbols": (
+        "path, label, name, line",
+        [
+            ('src/main.py', 'Class', 'Application', 9),
+            ('src/main.py', 'Function', '__init__', 12),
+            ('src/main.py', 'Function', 'run', 15),
+            ('src/main.py', 'Function', 'status', 18),
+            ('src/main.py', 'Function', 'process', 22),
+            ('src/main.py', 'Function', 'read_item', 30),
+            ('src/utils.py', 'Function', 'helper', 1),
+            ('src/utils.py', 'Function', 'total', 5),
+            ('src/app.ts', 'Class', 'Box', 1),
+            ('src/app.ts', 'Function', 'open', 4),
+            ('src/app.ts', 'Function', 'shut', 7),
+            ('src/app.ts', 'Function', 'later', 10),
+            ('src/app.ts', 'Function', 'soon', 12),
+            ('src/svc.go', 'Class', 'Server', 1),
+            ('src/svc.go', 'Function', 'Start', 3),
+        ],
+    ),
+    "comments_above": (
+        "path, line, text, comment",
+        [
+            ('src/app.ts', 4, 'export function open(a) {', 'opens it'),
+            ('src/app.ts', 9, '} }', 'nothing'),
+            ('src/main.py', 6, 'VERSION = "1.0"', 'TODO: split this up'),
+        ],
+    ),
+    "todo_scan_code": (
+        "path, line, type, message, confidence",
+        [
+            ('src/main.py', 5, 'TODO', 'split this up', 'MEDIUM'),
+            ('src/utils.py', 2, 'FIXME', 'slow', 'HIGH'),
+        ],
+    ),
+    "api_taxonomy": (
+        "path, kind, name",
+        [
+            ('api/admin.yaml', 'endpoint', 'DELETE /jobs'),
+            ('api/admin.yaml', 'endpoint', 'GET /jobs'),
+            ('api/openapi.json', 'endpoint', 'GET /users'),
+            ('api/openapi.json', 'endpoint', 'POST /users'),
+            ('api/admin.yaml', 'endpoint', 'PUT /jobs/{id}'),
+            ('api/users.proto', 'message', 'User'),
+            ('src/main.py', 'route', 'GET /items/{id}'),
+            ('api/users.proto', 'rpc', 'Get'),
+            ('api/users.proto', 'service', 'Users'),
+        ],
+    ),
+    "code_issues": (
+        "path, line, type, message, confidence",
+        [
+            ('src/app.ts', 5, 'ERROR_PATTERN', 'console.log', 'MEDIUM'),
+            ('src/app.ts', 7, 'ERROR_PATTERN', 'empty catch', 'MEDIUM'),
+            ('src/app.ts', 1, 'INCOMPLETE', 'class Box is empty', 'MEDIUM'),
+            ('src/app.ts', 10, 'INCOMPLETE', 'later is empty', 'HIGH'),
+            ('src/app.ts', 13, 'INCOMPLETE', 'not implemented', 'HIGH'),
+            ('src/main.py', 18, 'INCOMPLETE', 'status is empty', 'HIGH'),
+            ('src/main.py', 25, 'ERROR_PATTERN', 'bare except', 'HIGH'),
+            ('src/main.py', 25, 'ERROR_PATTERN', 'empty except', 'HIGH'),
+            ('src/main.py', 30, 'INCOMPLETE', 'read_item is not implemented', 'HIGH'),
+        ],
+    ),
+}
+
+
+def _expected(name: str) -> str:
+    columns, rows = EXPECTED[name]
+    return f"(select * from {values(rows)} as t({columns}))"
+
+
 def _files(spark):
     return spark.createDataFrame(FILES, "path string, text string")
 
 
-@query("python_symbols")
+@query("python_symbols", oracle(f"select * from {_expected('python_symbols')}"))
 def _(spark, d):
     return code.python_symbols(_files(spark).where("path like '%.py'"))
 
 
-@query("python_edges")
+@query("python_edges", oracle(f"select * from {_expected('python_edges')}"))
 def _(spark, d):
     return code.python_edges(_files(spark).where("path like '%.py'"))
 
 
-@query("pattern_symbols")
+@query("pattern_symbols", oracle(f"select path || ':' || name || case when label = 'Class' then '' else ':' || line end as uid, path, label, name, line from {_expected('pattern_symbols')}"))
 def _(spark, d):
     return code.pattern_symbols(_files(spark))
 
 
-@query("comments_above")
+@query("comments_above", oracle(f"select * from {_expected('comments_above')}"))
 def _(spark, d):
     return code.comments_above(_files(spark)).where("comment is not null")
 
@@ -90,32 +199,30 @@ def _(spark, d):
     return code.todos(docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.array_join(marked, "\n").alias("text")))
 
 
-@query("todo_scan_code")
+@query("todo_scan_code", oracle(f"select * from {_expected('todo_scan_code')}"))
 def _(spark, d):
     return code.todos(_files(spark))
 
 
-@query("code_issues")
+@query("code_issues", oracle(f"select * from {_expected('code_issues')}"))
 def _(spark, d):
     return code.issues(_files(spark))
 
 
-@query("issue_summary")
+@query("issue_summary", oracle(f"select type, confidence, count(*) as n from {_expected('code_issues')} group by all"))
 def _(spark, d):
     return code.issues(_files(spark)).groupBy("type", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("api_taxonomy")
+@query("api_taxonomy", oracle(f"select * from {_expected('api_taxonomy')}"))
 def _(spark, d):
     return code.taxonomy(_files(spark))
 
 
 def _log(spark, d):
     lines = table(spark, d, "orders").select(F.concat_ws("|", F.concat(F.lit("h"), F.col("o_orderkey").cast("string")), F.col("o_custkey").cast("string"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).cast("string"), F.when(F.col("o_orderkey") % 4 == 0, "Merge branch").otherwise("fix: order"), F.lit("a.py,b.py")).alias("value"))
-    from lodestar.operators.graph import shared_folder
-
-    path = f"{shared_folder(spark)}/lodestar-log-{abs(hash(d)) % 10**8}"
-    lines.write.mode("overwrite").text(path)
+    path = f"{shared_folder(spark)}/lodestar-log-{uuid.uuid4().hex}"
+    lines.write.text(path)
     return path
 
 
@@ -160,16 +267,56 @@ def _(spark, d):
     return table(spark, d, "part").where(feeds.watched(path, ["*.py", "*.md"], ["node_modules", ".git"])).select("p_partkey")
 
 
-@query("file_discovery")
+def _written(spark, files) -> str:
+    """The files (path, text) under a new folder of the shared file system, which all executors can read."""
+    root = f"{shared_folder(spark)}/lodestar-files-{uuid.uuid4().hex}"
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for path, text in files:
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{root}/{path}"))
+        out.write(bytearray(text.encode()))
+        out.close()
+    return root
+
+
+TREE = [*FILES, (".gitignore", "# local\n\nscratch/\n*.tmp\n"), (".git/config", "x"), ("build/out.log", "y"), ("data/blob.dat", "a\x00b"), ("scratch/try.py", "x = 1\n"), ("notes.tmp", "z"), ("docs/ARCH.md", "# Parts\n"), ("docs/guide.md", "# Use\n\nstart\n")]
+
+
+def _sha1_sql(text: str) -> str:
+    return hashlib.sha1(text.encode()).hexdigest()
+
+
+_SEEN = {p: t for p, t in TREE if p not in (".gitignore", ".git/config", "build/out.log", "scratch/try.py", "notes.tmp")}
+_KINDS = {".py": ("Code", "text/x-python"), ".ts": ("Code", "application/octet-stream"), ".go": ("Code", "application/octet-stream"), ".proto": ("Text", "application/octet-stream"), ".json": ("Config", "application/json"), ".yaml": ("Config", "application/octet-stream"), ".md": ("Documentation", "text/markdown")}
+
+
+def _found(path: str, text: str) -> tuple:
+    """What discovery must say of a file, worked out from its name and text."""
+    ext = "." + path.rsplit(".", 1)[1]
+    category, mime = _KINDS.get(ext, ("Unknown", "application/octet-stream"))
+    if path == "data/blob.dat":
+        category = "Binary"
+    if ext == ".proto":
+        category = "Unknown"
+    return path, category, len(text.encode()), _sha1_sql(text), None if category == "Binary" else text.count("\n") + 1, mime
+
+
+@query("file_discovery", oracle("select * from " + values([_found(p, t) for p, t in _SEEN.items()]) + " as t(path, category, size, sha1, lines, mime)"))
 def _(spark, d):
     """The literal files written out and found again, with their metadata."""
-    import pathlib
-    import tempfile
+    return cut(files.metadata(files.in_project(spark, _written(spark, TREE))).select("path", "category", "size", "sha1", "lines", "mime"))
 
-    from lodestar.sources import files
 
-    root = pathlib.Path(tempfile.mkdtemp(prefix="lodestar-files-"))
-    for path, text in [*FILES, (".git/config", "x"), ("build/out.log", "y"), ("data/blob.dat", "a\x00b")]:
-        (root / path).parent.mkdir(parents=True, exist_ok=True)
-        (root / path).write_text(text)
-    return cut(files.metadata(files.discover(spark, str(root))).select("path", "category", "size", "sha1", "lines", "mime"))
+@query("code_and_documents", oracle("select * from (values ('docs/ARCH.md', 'ARCHITECTURE'), ('docs/guide.md', 'DOC'), ('src/app.ts', 'code'), ('src/main.py', 'code'), ('src/svc.go', 'code'), ('src/utils.py', 'code'), ('scratch/try.py', 'code')) as t(path, kind)"))
+def _(spark, d):
+    paths = spark.createDataFrame([(p,) for p, _ in [*TREE, ("venv/a.py", ""), ("web/node_modules/b.js", "")]], "path string")
+    return files.documents(paths).withColumnRenamed("doc_type", "kind").unionByName(files.code_files(paths).select("path", F.lit("code").alias("kind")))
+
+
+@query("hierarchy", oracle("""with p as (select string_split('r' || n_regionkey || '/n' || n_nationkey || '/c' || c_custkey || '/x.py', '/') as s from customer join nation on n_nationkey = c_nationkey)
+select distinct 'p:cap:' || s[1] as uid, 'Capability' as label, s[1] as path, null as parent from p union select distinct 'p:feat:' || s[1] || '/' || s[2], 'Feature', s[1] || '/' || s[2], 'p:cap:' || s[1] from p
+union select distinct 'p:comp:' || s[1] || '/' || s[2] || '/' || s[3], 'Component', s[1] || '/' || s[2] || '/' || s[3], 'p:feat:' || s[1] || '/' || s[2] from p"""))
+def _(spark, d):
+    c = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    path = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/n"), F.col("n_nationkey").cast("string"), F.lit("/c"), F.col("c_custkey").cast("string"), F.lit("/x.py"))
+    return files.hierarchy(c.select(path.alias("path")), "p")

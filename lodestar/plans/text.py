@@ -73,8 +73,8 @@ def _(spark, d):
 
 
 QUESTIONS = [
-    ("Show me the AuthService class",), ("How does it work?",), ("Tell me something about authentication",), ("Show me everything",), ("Tell me something about that thing",), ("Show me the authentication code",),
-    ("What depends on the parser",), ("Where is the config loaded",), ("Find the handler",), ("Explain why they fail",), ("",), ("which modules are used by billing",), ("all of those things",),
+    ("Show me the router module",), ("Where does it start?",), ("Tell me anything about caching",), ("List everything",), ("Say something about all of those things",), ("Show me the scheduler code",),
+    ("What depends on the tokenizer",), ("Where is the cache filled",), ("locate the worker",), ("Explain why they crash",), ("",), ("which modules are used by the loader",), ("any of these",),
 ]
 _Q = _values(QUESTIONS)
 
@@ -111,17 +111,20 @@ def _(spark, d):
 
 
 COMMITS = [
-    ("feat: add user authentication",), ("fix(auth): resolve token validation bug",), ("feat!: redesign API endpoints",), ("Updated the readme file",), ("perf(db)!: faster joins #12\n\nCloses #7 and fixes #9\n\nRefs #12",),
-    ("docs: describe the urgent hotfix",), ("revert: undo #3",), ("chore: minor cleanup",), ("Merge branch x",),
+    ("feat: let users export their boards",), ("fix(cache): keep pinned rows",), ("feat!: drop the old wire format",), ("Reworded the guide",), ("perf(index)!: faster merges #12\n\nCloses #7 and fixes #9\n\nRefs #12",),
+    ("docs: describe the urgent hotfix",), ("revert: undo #3",), ("chore: minor cleanup",), ("Merge branch x",), ("wip: half done: later",), ("fix(): no scope",), ("Test(unit): Hotfix #4, resolved  #5",),
 ]
 _C = "(values " + ", ".join("('" + m.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for (m,) in COMMITS) + ")"
-_HEAD = "(?i)^(feat|fix|docs|style|refactor|perf|test|build|ci|chore|revert)(\\(([^)]+)\\))?(!)?:\\s*(.+)$"
 _TYPES = " ".join(f"when '{k}' then '{v}'" for k, v in X.COMMIT_TYPES.items())
 
 
-@query("commit_parse", oracle(f"""with m as (select m, trim(string_split(m, chr(10) || chr(10))[1]) as h from {_C} as t(m)), p as (select *, lower(regexp_extract(h, '{_HEAD}', 1)) as k from m)
-select m as message, nullif(k, '') as type, nullif(regexp_extract(h, '{_HEAD}', 3), '') as scope, regexp_extract(h, '{_HEAD}', 4) = '!' as breaking, case when k <> '' then regexp_extract(h, '{_HEAD}', 5) else h end as description,
-case when k = '' then 'chore' else case k {_TYPES} end end as work_type, array_to_string(list_sort(list_distinct(regexp_extract_all(m, '(#\\d+)', 1))), ',') as refs from p"""))
+@query("commit_parse", oracle(f"""with m as (select m, trim(string_split(m, chr(10) || chr(10))[1]) as h from {_C} as t(m)),
+a as (select m, h, strpos(h, ':') as c, string_split(h, ':')[1] as head, trim(h[strpos(h, ':') + 1:]) as rest from m),
+b as (select *, suffix(head, '!') as bang, case when suffix(head, '!') then head[:-2] else head end as name from a),
+e as (select *, case when suffix(name, ')') and strpos(name, '(') > 0 then name[strpos(name, '(') + 1:-2] end as scope, lower(case when suffix(name, ')') then string_split(name, '(')[1] else name end) as k from b),
+p as (select *, c > 0 and rest <> '' and coalesce(scope <> '', true) and k in ({", ".join(f"'{k}'" for k in X.COMMIT_TYPES)}) as known from e)
+select m as message, case when known then k end as type, case when known then scope end as scope, known and bang as breaking, case when known then rest else h end as description,
+case when known then case k {_TYPES} end else 'chore' end as work_type, array_to_string(list_sort(list_distinct(regexp_extract_all(m, '(#\\d+)', 1))), ',') as refs from p"""))
 def _(spark, d):
     return _literal(spark, COMMITS, "message string").select("message", X.commit(F.col("message")).alias("c")).select("message", "c.type", "c.scope", "c.breaking", "c.description", "c.work_type", F.array_join("c.refs", ",").alias("refs"))
 
@@ -132,7 +135,11 @@ def _(spark, d):
     return _literal(spark, COMMITS, "message string").select("message", X.priority(F.col("message")).alias("priority"))
 
 
-@query("issue_refs", oracle(f"""with r as (select m, unnest(regexp_extract_all(m, '(?i)(?:fix(?:es)?|close[sd]?|resolve[sd]?)\\s+#(\\d+)', 1))::int as ref from {_C} as t(m)) select m as message, ref, title, status from r join work_items on uid = ref""", "work_items"))
+_ENDS = " or ".join(f"suffix(w[i], '{x}')" for x in X.CLOSING)
+
+
+@query("issue_refs", oracle(f"""with t as (select m, regexp_split_to_array(lower(m), '\\s+') as w from {_C} as t(m)), r as (select m, regexp_extract(w[i + 1], '^#(\\d+)', 1)::int as ref from t, unnest(range(1, len(w))) as u(i) where regexp_matches(w[i + 1], '^#\\d') and ({_ENDS}))
+select m as message, ref, title, status from r join work_items on uid = ref""", "work_items"))
 def _(spark, d):
     refs = _literal(spark, COMMITS, "message string").select("message", F.explode(X.closing_refs(F.col("message"))).alias("ref"))
     return refs.join(work_items(spark, d), F.col("ref") == F.col("uid")).select("message", "ref", "title", "status")
@@ -153,18 +160,7 @@ def _(spark, d):
     return work_items(spark, d).select("uid", X.from_labels(labels, LABELS, "task").alias("work_type"))
 
 
-ITEMS = [(1, "JWT authentication", "Implement user authentication with tokens", "feature", "high"), (2, "Parser memory leak", "Fix the parser memory bug from issue", "bug", "critical"), (3, "Readme cleanup", "Minor docs cleanup", "docs", "low")]
-
-
-@query("commit_link")
-def _(spark, d):
-    """Best item for each commit: the items are a short list, kept as an array beside each commit, so no pairs are joined."""
-    items = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("uid", "title", "description", "work_type", "priority"), r, strict=True)]) for r in ITEMS])
-    c = _literal(spark, COMMITS, "message string").withColumn("c", X.commit(F.col("message"))).select("message", "c.work_type", F.explode(items).alias("i"))
-    words = X.keyword_matches(F.col("message"), F.col("i.title"), F.col("i.description"))
-    score = X.link_confidence(X.similarity(F.col("message"), F.col("i.title"), F.col("i.description")), F.col("work_type") == F.col("i.work_type"), F.size(words), X.priority(F.col("message")) == F.col("i.priority"))
-    best = c.withColumn("score", score).groupBy("message").agg(F.max_by(F.struct(F.col("i.uid").alias("uid"), "score"), F.struct("score", -F.col("i.uid"))).alias("b"))
-    return best.select("message", "b.uid", "b.score", (F.col("b.score") >= 0.7).alias("auto_link"))
+ITEMS = [(1, "Board export", "Let users export their boards as tables", "feature", "high"), (2, "Cache loses rows", "Pinned rows of the cache are evicted", "bug", "critical"), (3, "Guide cleanup", "Minor docs cleanup", "docs", "low")]
 
 
 @query("keyword_matches", oracle(f"""with p as (select m, i, t || ' ' || x as w from {_C} as c(m), {_values([(r[0], r[1], r[2]) for r in ITEMS])} as v(i, t, x))
@@ -270,18 +266,25 @@ def _(spark, d):
     return _literal(spark, PROJECTS, "name string").select("name", F.array_join(X.project_errors(F.col("name")), ",").alias("errors"))
 
 
-@query("point_ids")
+@query("point_ids", oracle("""with h as (select doc_id, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || ('doc:' || doc_id)::blob) as h from documents)
+select doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) as point_id from h"""))
 def _(spark, d):
     return _docs(spark, d).select("doc_id", X.point_id(F.concat(F.lit("doc:"), F.col("doc_id").cast("string"))).alias("point_id"))
 
 
-@query("webhook_signatures", None)
+#: A published HMAC-SHA256 value: of this text with the key "key".
+_SIGNED = ("The quick brown fox jumps over the lazy dog", "sha256=f7bc83f430538424b13298e6aa6fb143ef4d59a14946175997479dbc2d1a3cd8")
+
+
+@query("webhook_signatures", oracle("select event_id, event_id % 3 = 0 as ok from events"))
 def _(spark, d):
-    rows = table(spark, d, "events").select("event_id", F.col("props").alias("payload"))
-    return rows.select("event_id", X.signature_ok(F.col("payload"), F.lit("sha256=0"), F.lit("key")).alias("ok"))
+    """Every third event is signed well; of the others the text or the signature is another."""
+    k = F.col("event_id") % 3
+    payload = F.when(k == 1, F.col("props")).otherwise(_SIGNED[0])
+    return table(spark, d, "events").select("event_id", X.signature_ok(payload, F.when(k == 2, F.lit("sha256=0")).otherwise(_SIGNED[1]), F.lit("key")).alias("ok"))
 
 
-@query("packet_hashes")
+@query("packet_hashes", oracle("select event_id, sha256('{\"k\":' || regexp_extract(props, '\\d+') || '}') as hash from events"))
 def _(spark, d):
     return table(spark, d, "events").select("event_id", X.packet_hash(F.col("props")).alias("hash"))
 

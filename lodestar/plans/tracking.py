@@ -217,8 +217,7 @@ def _(spark, d):
     return K.vector_points(evidence(spark, d), 64).select("uid", "project", "text")
 
 
-@query("tree_fingerprint", oracle("""with p as (select substr(sha256(doc_id::varchar), 1, 3) as b, doc_id || ':' || n_chars as line from documents), h as (select b, sha256(string_agg(line, chr(10) order by line)) as h from p group by b)
-select sha256(string_agg(h, chr(10) order by b)) as fingerprint from h"""))
+@query("tree_fingerprint", oracle("select sha256(string_agg(doc_id || ':' || n_chars, chr(10) order by doc_id || ':' || n_chars)) as fingerprint from documents"))
 def _(spark, d):
     return K.fingerprint(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "n_chars"), "doc_id", "n_chars")
 

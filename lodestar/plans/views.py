@@ -64,9 +64,20 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """uid, doc_id, project, path, name, docstring, label, last_modified, embedding (null without a vector)."""
-    docs, vectors = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return docs.join(vectors, F.col("doc_id") == F.col("vec_id"), "left").select(
+    """The columns of evidence_nodes() and embedding (null without a vector)."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return evidence_nodes(spark, sf_dir).join(vectors, F.col("doc_id") == F.col("vec_id"), "left").drop("vec_id")
+
+
+def evidence_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uid, embedding of the documents that have a vector."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return vectors.join(table(spark, sf_dir, "documents").select("doc_id"), "doc_id", "left_semi").select(_uid("doc", "doc_id").alias("uid"), "embedding")
+
+
+def evidence_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """uid, doc_id, project, path, name, docstring, label, last_modified."""
+    return table(spark, sf_dir, "documents").select(
         _uid("doc", "doc_id").alias("uid"),
         "doc_id",
         F.col("lang").alias("project"),
@@ -75,7 +86,6 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("docstring"),
         F.when(F.col("doc_id") % 2 == 0, "Document").otherwise("Code").alias("label"),
         (F.lit(AS_OF_EPOCH) - (F.col("doc_id") % 200) * 86400.0).alias("last_modified"),
-        "embedding",
     )
 
 
@@ -192,3 +202,9 @@ def oracle(body: str, *views: str) -> str:
     if body.lower().startswith("with"):
         body = ", " + body[len("with recursive" if recursive else "with") :].strip()
     return f"with {'recursive ' if recursive else ''}{ctes} {body}"
+
+
+def values(rows) -> str:
+    """Rows as an SQL list of values."""
+    cell = lambda v: "null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int | float) else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+    return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"

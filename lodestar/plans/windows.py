@@ -134,7 +134,10 @@ def _(spark, d):
 _TIMED = f"t as (select service, {_S}::double as t, seq, ok, row_number() over (partition by service order by {_S}, seq) as n from health)"
 
 
-@query("circuit_breaker", oracle(f"""with recursive {_TIMED},
+def breaker_sql(more: str = "") -> str:
+    """The breaker as a recursion over each service's events; more: further columns of the events."""
+    more = "".join(f"t.{c}, " for c in more.split(", ") if c)
+    return oracle(f"""with recursive {_TIMED},
 b(service, n, state, failures, successes, opened, rejected) as (
   select distinct service, 0::bigint, 'closed', 0, 0, 0.0::double, false from t
   union all
@@ -146,7 +149,10 @@ b(service, n, state, failures, successes, opened, rejected) as (
     case when x.rej then x.opened when x.ok then x.opened when x.mid = 'half_open' or x.failures + 1 >= 2 then x.t else x.opened end, x.rej
   from (select t.service, t.n, t.t, t.ok, b.failures, b.successes, b.opened, b.state = 'open' and t.t - b.opened < 43200 as rej,
       case when b.state = 'open' then 'half_open' else b.state end as mid, case when b.state = 'open' then 0 else b.successes end as succ from b join t on t.service = b.service and t.n = b.n + 1) x)
-select t.service, t.seq, b.state, b.rejected from b join t on t.service = b.service and t.n = b.n""", "health"))
+select t.service, t.seq, {more}b.state, b.rejected from b join t on t.service = b.service and t.n = b.n""", "health")
+
+
+@query("circuit_breaker", breaker_sql())
 def _(spark, d):
     return Z.circuit_breaker(_timed(spark, d), failure=2, success=1, reset=43200.0).select("service", "seq", "state", "rejected")
 
@@ -159,12 +165,21 @@ def _(spark, d):
     return Z.cooldown(_timed(spark, d).where(~F.col("ok")), "service", 43200.0).select("service", "seq", "sent")
 
 
-@query("recovery_limit", None)
+@query("recovery_limit", oracle(f"""with recursive a as (select service, {_S}::double as t, seq, row_number() over (partition by service order by {_S}, seq) as n from health where not ok),
+r(service, n, done, allowed) as (select distinct service, 0::bigint, []::double[], false from a union all
+  select x.service, x.n, case when x.go then list_append(x.held, x.t) else x.held end, x.go from (
+    select y.*, (len(held) = 0 or t - held[-1] >= 7200) and len(held) < 5 as go from (select a.service, a.n, a.t, list_filter(r.done, lambda z: a.t - z < 3600) as held from r join a on a.service = r.service and a.n = r.n + 1) y) x)
+select a.service, a.seq, r.allowed from r join a on a.service = r.service and a.n = r.n""", "health"))
 def _(spark, d):
     return Z.recovery_limit(_timed(spark, d).where(~F.col("ok")), "service", 7200.0, 5).select("service", "seq", "allowed")
 
 
-@query("provider_fallback", None)
+@query("provider_fallback", oracle(f"""with recursive a as (select service, {_S}::double as t, seq, ok as first, seq % 3 > 0 as second, row_number() over (partition by service order by {_S}, seq) as n from health),
+r(service, n, f1, u1, f2, u2, provider) as (select distinct service, 0::bigint, 0, -1e18::double, 0, -1e18::double, '' from a union all
+  select service, n, case when got1 then 0 when try1 and f1 + 1 >= 2 then 0 when try1 then f1 + 1 else f1 end, case when try1 and not got1 and f1 + 1 >= 2 then t + 43200 else u1 end,
+    case when got2 then 0 when try2 and f2 + 1 >= 2 then 0 when try2 then f2 + 1 else f2 end, case when try2 and not got2 and f2 + 1 >= 2 then t + 43200 else u2 end, case when got1 then 'first' when got2 then 'second' else 'third' end
+  from (select x.*, try2 and second as got2 from (select w.*, not got1 and t >= u2 as try2 from (select v.*, try1 and first as got1 from (select a.*, r.f1, r.u1, r.f2, r.u2, a.t >= r.u1 as try1 from r join a on a.service = r.service and a.n = r.n + 1) v) w) x) z)
+select a.service, a.t, a.seq, r.provider from r join a on a.service = r.service and a.n = r.n""", "health"))
 def _(spark, d):
     rows = _timed(spark, d).withColumn("first", F.col("ok")).withColumn("second", F.col("seq") % 3 > 0).withColumn("third", F.lit(True))
     return Z.fallback(rows.select("service", "t", "seq", "first", "second", "third"), "service", ["first", "second", "third"], 2, 43200.0)

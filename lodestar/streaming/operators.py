@@ -55,7 +55,12 @@ def circuit_breaker(events: DataFrame, key: str, failure: int = 5, success: int
         b = Breaker(failure, success, reset, *held)
         frame = pd.concat(list(frames)).sort_values(["t", "seq"], kind="stable")
         steps = [b.step(t, ok) for t, ok in zip(frame["t"], frame["ok"], strict=True)]
-        state.update(b.saved())
+        # A breaker as it was at first needs no state, so only keys with failures hold any.
+        if b.saved() == Breaker().saved():
+            if state.exists:
+                state.remove()
+        else:
+            state.update(b.saved())
         frame["state"] = [s for s, _ in steps]
         frame["rejected"] = [r for _, r in steps]
         yield frame[[key, "t", "seq", "ok", "state", "rejected"]]
@@ -65,11 +70,39 @@ def circuit_breaker(events: DataFrame, key: str, failure: int = 5, success: int
     )
 
 
-def to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all that is there, and returns its result."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def new_commits(log: DataFrame, late: str) -> DataFrame:
+    """A stream of commits (commit_hash, ts, ...), each hash once, however often the log is read again within the watermark."""
+    return log.withWatermark("ts", late).dropDuplicatesWithinWatermark(["commit_hash"])
+
+
+def health_samples(samples: DataFrame, width: str, late: str) -> DataFrame:
+    """service, start, checks, healthy, latency of each window of health samples (service, ts, ok, latency)."""
+    w = F.window("ts", width)
+    out = samples.withWatermark("ts", late).groupBy("service", w.alias("w")).agg(F.count(F.lit(1)).alias("checks"), F.avg(F.col("ok").cast("double")).alias("healthy"), F.max("latency").alias("latency"))
+    return out.select("service", F.col("w.start").alias("start"), "checks", "healthy", "latency")
+
+
+def run(df: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Runs a stream over all that is there, with its checkpoint in folder, and returns its result, which lies there too.
+
+    Each micro-batch writes a folder of its own, over what a lost run of it has left, so rows come out once. In complete
+    mode the last batch is the whole result.
+    """
+    spark = df.sparkSession
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = df.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/rows")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return spark.createDataFrame([], df.schema)
+    out = spark.read.option("basePath", f"{folder}/rows").schema(df.schema.add("batch", "long")).parquet(f"{folder}/rows")
+    if mode == "complete":
+        last = out.agg(F.max("batch").alias("last"))
+        out = out.join(F.broadcast(last), F.col("batch") == F.col("last")).drop("last")
+    return out.drop("batch")
 
 
 def to_folder(df: DataFrame, folder: str, checkpoint: str, mode: str = "append") -> None:

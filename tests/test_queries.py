@@ -58,7 +58,7 @@ def test_query_without_sql_runs(spark, name):
 def test_import_files_reads_every_part(spark):
     keys = {r["p_partkey"] for r in spark.read.parquet(str(SF / "part.parquet")).select("p_partkey").collect()}
     wanted = {f"src/m{k}.py": k + 1 if k % 2 == 0 else k + 2 for k in keys}
-    got = {r["path"]: r["target"] for r in QUERIES["import_files_all"](spark, str(SF)).collect()}
+    got = {r["path"]: r["target"] for r in QUERIES["import_files"](spark, str(SF)).collect()}
     assert got == {path: f"src/m{t}.py" for path, t in wanted.items() if t in keys and t % 3}
 
 

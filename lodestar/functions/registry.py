@@ -7,17 +7,21 @@ import difflib
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StringType, StructType
 
 from . import chunking
 
+_CHUNKS = StructType().add("chunk_index", IntegerType()).add("content", StringType())
+_SYMBOLS = StructType().add("uid", StringType()).add("label", StringType()).add("name", StringType()).add("start_line", IntegerType()).add("end_line", IntegerType())
 
-@F.pandas_udf("double")
+
+@F.pandas_udf(DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """How alike two texts are, by matching blocks; null counts as empty."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a.fillna(""), b.fillna(""), strict=True)])
 
 
-@F.udtf(returnType="chunk_index int, content string")
+@F.udtf(returnType=_CHUNKS)
 class ChunkText:
     """chunk_text(text, size): whole lines packed into chunks of at most size characters, a longer line alone."""
 
@@ -26,7 +30,7 @@ class ChunkText:
             yield i, piece
 
 
-@F.udtf(returnType="uid string, label string, name string, start_line int, end_line int")
+@F.udtf(returnType=_SYMBOLS)
 class ParseSource:
     """parse_source(path, text): classes and functions of a Python file."""
 

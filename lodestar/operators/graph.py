@@ -39,7 +39,18 @@ def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back, which ends its lineage."""
     path = f"{shared_folder(df.sparkSession)}/lodestar-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodestar_path = path
+    return out
+
+
+def forget(*frames: DataFrame | None) -> None:
+    """Deletes what cut() wrote, once nothing reads it any more."""
+    for df in frames:
+        path = getattr(df, "_lodestar_path", None)
+        if path:
+            jpath = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
 def resolve(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -136,17 +147,20 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     out = e.groupBy("src").agg(F.count(F.lit(1)).alias("out"))
     e = cut(e.join(out, "src").groupBy("src", "dst", "out").agg(F.count(F.lit(1)).alias("m")))
     base = (1 - damping) / n
-    ranks = cut(nodes.select("uid", F.lit(1.0 / n).alias("rank")))
+    ranks = held = cut(nodes.select("uid", F.lit(1.0 / n).alias("rank")))
     for i in range(1, rounds + 1):
         given = e.join(ranks, e["src"] == ranks["uid"]).groupBy("dst").agg(F.sum(F.col("rank") * F.col("m") / F.col("out")).alias("got"))
         fresh = ranks.select("uid", F.col("rank").alias("old")).join(given, F.col("uid") == F.col("dst"), "left")
         fresh = fresh.select("uid", "old", (F.lit(base) + damping * F.coalesce("got", F.lit(0.0))).alias("rank"))
         if i % every == 0 or i == rounds:
             fresh = cut(fresh)
+            forget(held)
+            held = fresh
             if stop and fresh.agg(F.sum(F.abs(F.col("rank") - F.col("old"))).alias("d")).first()["d"] < stop:
                 ranks = fresh.select("uid", "rank")
                 break
         ranks = fresh.select("uid", "rank")
+    forget(e)
     top = ranks.agg(F.max("rank").alias("m")).first()["m"]
     return ranks.select("uid", (F.col("rank") / F.lit(top)).alias("rank"))
 

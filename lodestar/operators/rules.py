@@ -70,6 +70,15 @@ def cited(citations: DataFrame, hits: DataFrame) -> DataFrame:
     return citations.join(best, ["answer_id", "path"], "left")
 
 
+def excerpts(citations: DataFrame, nodes: DataFrame, most: int = 200) -> DataFrame:
+    """citations (answer_id, path) with the first node (answer_id, rank, uid, path, text) whose path contains theirs and
+    the beginning of its text; each path counts once an answer, those without a node are left out."""
+    asked = citations.select("answer_id", "path").distinct()
+    found = nodes.select("answer_id", "rank", "uid", F.col("path").alias("node_path"), F.substring("text", 1, most).alias("excerpt"))
+    both = asked.join(found, "answer_id").where(F.contains("node_path", "path"))
+    return both.groupBy("answer_id", "path").agg(F.min_by(F.struct("uid", "excerpt"), "rank").alias("x")).select("answer_id", "path", "x.uid", "x.excerpt")
+
+
 def guarded(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose ends exist in the edge's own project."""
     own = nodes.select("uid", "project")

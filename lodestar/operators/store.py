@@ -74,7 +74,8 @@ def fingerprint(rows: DataFrame, path: str, version: str) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array([state.hexdigest()])], names=["fingerprint"])
 
     line = F.concat_ws(":", F.col(path), F.col(version).cast("string")).alias("line")
-    return rows.select(line).orderBy("line").coalesce(1).mapInArrow(digest, "fingerprint string")
+    made = rows.select(line).orderBy("line").coalesce(1).mapInArrow(digest, "fingerprint string")
+    return made.agg(F.coalesce(F.max("fingerprint"), F.lit(hashlib.sha256().hexdigest())).alias("fingerprint"))
 
 
 def append_log(rows: DataFrame, folder: str, ts: str = "ts") -> None:

@@ -11,11 +11,12 @@ from lodestar.operators import graph as G
 from lodestar.operators import linking as L
 from lodestar.operators import metrics as M
 from lodestar.operators import packet as P
+from lodestar.operators import rules as R
 from lodestar.operators import stateful as Z
 from lodestar.operators import store as K
 from lodestar.operators import tracking as W
 from lodestar.operators import windows as N
-from lodestar.sources import code
+from lodestar.sources import code, files
 from lodestar.tools import Toolbox
 
 from .registry import query
@@ -409,3 +410,37 @@ def _(spark, d):
     box = _toolbox(spark, d)
     first = table(spark, d, "conversations").agg(F.min("conv_id").alias("c")).first()["c"]
     return box.call("get_conversation_history", session_id=str(first))
+
+
+@query("citation_excerpts", oracle("""with c as (select distinct doc_id % 10 as answer_id, left(source, 3) as path from documents where source is not null), n as (select doc_id % 10 as answer_id, doc_id as rank, 'doc:' || doc_id as uid, source, substr(text, 1, 200) as excerpt from documents)
+select c.answer_id, c.path, arg_min(uid, rank) as uid, arg_min(sha256(coalesce(excerpt, '')), rank) as excerpt from c join n on n.answer_id = c.answer_id and contains(n.source, c.path) group by 1, 2"""))
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    answer = (F.col("doc_id") % 10).alias("answer_id")
+    asked = docs.where("source is not null").select(answer, F.substring("source", 1, 3).alias("path"))
+    found = docs.select(answer, F.col("doc_id").alias("rank"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("uid"), F.col("source").alias("path"), "text")
+    return R.excerpts(asked, found).select("answer_id", "path", "uid", F.sha2(F.coalesce("excerpt", F.lit("")), 256).alias("excerpt"))
+
+
+@query("truncated_text", oracle("select doc_id, length(text) > 500 as cut, case when length(text) > 500 then length(substr(text, 1, 500) || chr(10) || '... [truncated]') else length(text) end as chars from documents where text is not null"))
+def _(spark, d):
+    docs = table(spark, d, "documents").where("text is not null")
+    return docs.select("doc_id", (F.length("text") > 500).alias("cut"), F.length(files.cut_short(F.col("text"), 500)).cast("long").alias("chars"))
+
+
+@query("vector_store", oracle("""with now as (select vec_id, label, 0 as version from embeddings where vec_id % 3 <> 0), new as (select vec_id, label + 100 as label, 1 as version from embeddings where vec_id % 2 = 0),
+merged as (select * from now where vec_id not in (select vec_id from new) union all select * from new) select label, version, count(*) as n from merged where vec_id % 5 <> 0 group by all"""))
+def _(spark, d):
+    """Vectors upserted by id, some deleted, the rest counted."""
+    e = table(spark, d, "embeddings")
+    now = e.where("vec_id % 3 <> 0").select("vec_id", "label", F.lit(0).alias("version"), "embedding")
+    new = e.where("vec_id % 2 = 0").select("vec_id", (F.col("label") + 100).alias("label"), F.lit(1).alias("version"), "embedding")
+    left = K.without(K.upsert(now, new, ["vec_id"]), e.where("vec_id % 5 = 0").select("vec_id"), ["vec_id"])
+    return left.groupBy("label", "version").agg(_n())
+
+
+@query("packet_problems", oracle("select 'missing status,unknown version' as problems from (select 1) union all select ''"))
+def _(spark, d):
+    good = P.assemble(_hits(spark, d), TEXT, "en", AS_OF)
+    bad = good.withColumn("status", F.lit(None).cast("string")).withColumn("meta", F.col("meta").withField("schema_version", F.lit("0")))
+    return P.problems(good).unionByName(P.problems(bad)).select(F.array_join("problems", ",").alias("problems"))

@@ -73,6 +73,11 @@ def is_binary(content: Column, sample: int = 8192) -> Column:
     return pairs.contains("00 ") | ~valid
 
 
+def cut_short(text: Column, most: int) -> Column:
+    """Text of `most` characters at most, a longer one with a marker at its end."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(MARKER))).otherwise(text)
+
+
 def metadata(files: DataFrame, truncate: int = 1 << 20) -> DataFrame:
     """files with category, binary, mime, sha1, text (LF not changed, long ones cut with a marker) and lines."""
     binary = F.when(file_category(F.col("name")) == "Unknown", is_binary(F.col("content"))).otherwise(file_category(F.col("name")) == "Binary")
@@ -80,7 +85,7 @@ def metadata(files: DataFrame, truncate: int = 1 << 20) -> DataFrame:
     text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.decode("content", "ISO-8859-1"))
     out = files.withColumn("binary", binary).withColumn("category", F.when(F.col("binary"), "Binary").otherwise(file_category(F.col("name"))))
     out = out.withColumn("mime", mime).withColumn("sha1", F.sha1("content")).withColumn("encoding", F.when(F.is_valid_utf8("content"), "utf-8").otherwise("latin-1"))
-    out = out.withColumn("text", F.when(~F.col("binary"), F.when(F.length(text) > truncate, F.concat(F.substring(text, 1, truncate), F.lit(MARKER))).otherwise(text)))
+    out = out.withColumn("text", F.when(~F.col("binary"), cut_short(text, truncate)))
     return out.withColumn("lines", F.size(F.split("text", "\n"))).drop("content")
 
 

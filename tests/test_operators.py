@@ -260,7 +260,7 @@ def test_script_issues_and_yaml_endpoints():
     found = [(x[1], x[3]) for x in code._script_issues("a.ts", "class A extends B {\n}\nfunction f(a) {\n  // later\n}\nconst g = async (x) => {}\nfunction h() { return 1 }\ntry { h() } catch {\n}\nthrow new Error('Not yet implemented: x')\n// console.log(1)\n")]
     assert found == [(1, "class A is empty"), (3, "f is empty"), (6, "g is empty"), (8, "empty catch"), (10, "not implemented")]
     text = "paths:\n  /a:\n    get:\n      operationId: one\n      summary: 'Two'\n    parameters:\n      - name: x\n  /b:\n    post: {}\n    trace:\n      summary: no\nother:\n  /c:\n    get:\n"
-    assert code._yaml_endpoints(text) == [("/a", "GET", "Two")]
+    assert code._yaml_endpoints(text) == [("/a", "GET", "Two"), ("/b", "POST", None)]
 
 
 def test_paths_stay_inside():

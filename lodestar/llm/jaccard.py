@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import discard, key_filter, map_arrow, maybe_in, prepare, staged
+from .shared import discard, give_back, key_filter, map_arrow, maybe_in, prepare, staged
 from .textcore import FOLD, SPACE_SEP, U64, mix64, ngrams, scan, slices
 
 SHINGLE = 5
@@ -105,16 +105,17 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 bits = [pa.array(x) for x in parities(sets).T.copy()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(n), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *bits, pa.nulls(len(part), pa.binary())], names=names)
         one, task = pa.array([0], pa.int64()), pa.array([TaskContext.get().partitionId()], pa.int64())
+        table = packed_counts(np.arange(256))
         for i, part in enumerate(np.split(sketch, SEGMENTS)):
             if part.any():
-                packed = zlib.compress(packed_counts(part).tobytes(), 1)
+                packed = zlib.compress(table[part].tobytes(), 1)
                 yield pa.RecordBatch.from_arrays([one, task, pa.array([-1 - i], pa.int64()), *[one] * 6, pa.array([packed], pa.binary())], names=names)
 
     return map_arrow(docs, run, ", ".join([*(f"{c} long" for c in names[:-1]), "sketch binary"]))
 
 
-def _sketch(parts: DataFrame) -> np.ndarray:
-    """The sum of all tasks' sketches (task, segment, sketch): sixteen tasks' parts at a time are added up on the
+def _sketch(parts: DataFrame) -> tuple[np.ndarray, float]:
+    """The sum of all tasks' sketches (task, segment, sketch), and its median count: sixteen tasks' parts at a time are added up on the
     executors until one of each segment is left, so the driver gets 32 MB at most."""
 
     def add(table: pa.Table) -> pa.Table:
@@ -133,10 +134,11 @@ def _sketch(parts: DataFrame) -> np.ndarray:
         if tasks == 0:
             break
     total = np.zeros((SEGMENTS, SKETCH // SEGMENTS), np.uint8)
-    for r in parts.collect():
+    for r in parts.toLocalIterator():
         total[r["segment"]] = np.frombuffer(zlib.decompress(bytes(r["sketch"])), np.uint8)
     discard(*made)
-    return total.reshape(-1)
+    often = sum(np.bincount(part, minlength=256) for part in total.reshape(SEGMENTS * 8, -1))
+    return total.reshape(-1), float(COUNTS[np.searchsorted(np.cumsum(often), SKETCH // 2)])
 
 
 def _prefixes(s: np.ndarray, counts: np.ndarray, base: float, percent: int) -> tuple[np.ndarray, int, float]:
@@ -202,7 +204,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     def run(batches):
         held: dict[int, np.ndarray] = {}
         for batch in batches:
-            for part in slices(batch, "ta", 1 << 20):
+            for part in slices(batch, "ta"):
                 a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
                 held = {k: held[k] for k in {*a, *b} & held.keys()}
                 for ids, column in ((a, "ta"), (b, "tb")):
@@ -324,9 +326,9 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tupl
     prepare(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
     signed = staged(_signatures(docs), "signatures")
-    table = _sketch(signed.where("n < 0").select(F.col("key").alias("task"), (-1 - F.col("n")).alias("segment"), "sketch"))
-    base = float(np.median(COUNTS[table]))
+    table, base = _sketch(signed.where("n < 0").select(F.col("key").alias("task"), (-1 - F.col("n")).alias("segment"), "sketch"))
     sketch = spark.sparkContext.broadcast(table)
+    del table
     rows = signed.where("n >= 0").select("doc_id", "key", "n", "h1", "h2")
     low = F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "key"))).alias("low")
     classes = signed.where("n > 0").groupBy("h1", "h2", "n").agg(low, *[F.max(p).alias(p) for p in PARITY])
@@ -342,8 +344,9 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tupl
     entries = entries.groupBy("token", "node").agg(*[F.max(c).alias(c) for c in ("n", "pos", "ell", "pop")])
     entries = staged(entries, "entries")
     discard(shared)
-    for b in (sketch, keys):
-        b.unpersist()
+    for b in (sketch, keys):  # nothing that reads them is run again
+        b.destroy()
+    give_back()
     return rows, classes, entries, texts
 
 

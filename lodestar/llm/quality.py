@@ -16,12 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare
+from .shared import give_back, map_arrow, prepare
 from .textcore import FOLD, SPACE_SEP, U64, mix64, ngrams, scan, slices
 
 BITS = 18
-#: Most labelled documents that the model is fitted on, and most features of one of them.
-SAMPLE = 8000
+#: Most labelled documents that the model is fitted on, and most bytes of their texts: what the driver gets and fits
+#: has these bounds.
+SAMPLE, SAMPLE_BYTES = 8000, 48 << 20
 
 _CLASS = np.zeros((4, 256), dtype=np.int64)  # upper, lower or other letters, digits, signs
 _CLASS[0, 65:91] = 1
@@ -110,16 +111,14 @@ def log_count_ratios(rows: list[np.ndarray], y: np.ndarray, size: int, smoothing
 def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratios: np.ndarray, c: float = 1.0, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:
     """Hinge loss with L2 penalty, one dual variable at a time; the last weight is the bias (a constant feature)."""
     w, bias, alpha = np.zeros(len(ratios)), 0.0, np.zeros(len(rows))
-    values = []
-    for r in rows:
-        x = ratios[r]
-        values.append(x / max(1e-12, np.sqrt(x @ x)))
+    scale = [1 / max(1e-12, float(np.sqrt(ratios[r] @ ratios[r]))) for r in rows]
     share = {s: len(y) / (2 * max(1, int((y == s).sum()))) for s in (-1, 1)}
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         worst = 0.0
         for i in order.permutation(len(rows)):
-            r, x, cap = rows[i], values[i], c * share[int(y[i])]
+            r, cap = rows[i], c * share[int(y[i])]
+            x = ratios[r] * scale[i]
             gradient = y[i] * (w[r] @ x + bias) - 1
             step = min(max(alpha[i] - gradient / (float(x @ x) + 1), 0.0), cap) - alpha[i]
             if step:
@@ -171,14 +170,29 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> Model:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, bits: int = BITS) -> Model:
-    """Fits on labelled rows whose crc32(id as text) mod 4 is not 2: on all, or, beyond `sample`, on those with the
-    smallest hashes of their ids. Rows without id or label are left out; of rows with one id, each counts."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, bits: int = BITS) -> Model:
+    """Fits on labelled rows whose crc32(id as text) mod 4 is not 2: on all, or, beyond `sample` rows or `sample_bytes`
+    of text, on those with the smallest hashes of their ids.
+
+    Rows without id or label are left out, also those with a label other than 0 and 1; of rows with one id, texts or
+    labels, each counts. Null and empty texts are rows without features. The bytes are a bound on whole texts: the one
+    that passes it still counts, if it is the first. Other columns of either table are ignored.
+    """
     prepare(docs.sparkSession)
     own = F.crc32(F.col("k").cast("string")) % 4 != 2
     chosen = labels.select(F.col(id_col).cast("long").alias("k"), F.col(label_col).cast("int").alias("y")).where(F.col("k").isNotNull() & F.col("y").isNotNull() & own)
-    chosen = chosen.orderBy(F.xxhash64("k"), "k", "y").limit(sample)
-    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "k")
+    chosen = chosen.where("y in (0, 1)").withColumn("h", F.xxhash64("k")).orderBy("h", "k", "y").limit(sample)
+    texts = docs.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("text"))
+    sizes = texts.join(F.broadcast(chosen), "k").groupBy("h", "k").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).alias("b"))
+    total, last = 0, None
+    for r in sizes.orderBy("h", "k").collect():  # `sample` rows at most
+        total += r["b"]
+        if last is not None and total > sample_bytes:
+            break
+        last = (r["h"], r["k"])
+    if last is not None:
+        chosen = chosen.where((F.col("h") < last[0]) | ((F.col("h") == last[0]) & (F.col("k") <= last[1])))
+    texts = texts.join(F.broadcast(chosen.drop("h")), "k")
 
     def rows(batches):
         for batch in batches:
@@ -188,9 +202,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
                 lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(feature, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("y"), lists], names=["k", "y", "f"])
 
-    got = texts.select("k", "y", "text").mapInArrow(rows, "k long, y int, f array<int>").toArrow()
+    got = map_arrow(texts.select("k", "y", "text"), rows, "k long, y int, f array<int>").toArrow()
     order = sorted(range(len(got)), key=lambda i: (got["k"][i].as_py() * 2654435761 % (1 << 32), got["k"][i].as_py(), got["y"][i].as_py()))
-    return fit([np.asarray(got["f"][i].values, np.int64) for i in order], np.array([got["y"][i].as_py() for i in order]), bits)
+    model = fit([got["f"][i].values.to_numpy() for i in order], np.array([got["y"][i].as_py() for i in order]), bits)
+    del got
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", column: str = "score", carry: list[str] | None = None) -> DataFrame:
@@ -209,4 +226,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", column: str = "
             for part in slices(batch, text_col):
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in kept], pa.array(shared.value.scores(part.column(text_col)))], names=[*kept, column])
 
-    return docs.select(*dict.fromkeys([*kept, text_col])).mapInArrow(run, schema)
+    return map_arrow(docs.select(*dict.fromkeys([*kept, text_col])), run, schema)

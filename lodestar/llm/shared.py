@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Most bits of a broadcast key filter: 2**27 bits are 16 MB, whatever the input.
 MAX_FILTER_BITS = 27
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,17 +37,22 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def give_back() -> None:
+    """This process's free memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, run, schema: str) -> DataFrame:
-    """df.mapInArrow; at a task's end the worker, which later tasks use again, gives its free memory back to the system."""
+    """df.mapInArrow; at a task's end the worker, which later tasks use again, gives its free memory back."""
 
     def whole(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
+            give_back()
 
     return df.mapInArrow(whole, schema)
 

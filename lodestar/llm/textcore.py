@@ -43,20 +43,21 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 _BYTE_VALUE = mix64(np.arange(1, 257, dtype=U64) * U64(_BASE))
-_powers: list[np.ndarray] = []
+_BYTE_VALUE2 = mix64(np.arange(1, 257, dtype=U64) * U64(_BASE2))
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _pow_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
+def _pow_tables(n: int, base: int = _BASE) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse."""
+    if base not in _powers or len(_powers[base][0]) < n:
         size = max(n, _BLOCK + 1)
-        inverse = pow(_BASE, -1, 1 << 64)
         tables = []
-        for base in (_BASE, inverse):
-            t = np.full(size, base, dtype=U64)
+        for b in (base, pow(base, -1, 1 << 64)):
+            t = np.full(size, b, dtype=U64)
             t[0] = 1
             tables.append(np.multiply.accumulate(t))
-        _powers[:] = tables
-    return _powers[0], _powers[1]
+        _powers[base] = (tables[0], tables[1])
+    return _powers[base]
 
 
 @dataclass
@@ -78,6 +79,21 @@ class Words:
         return np.repeat(self.first[1:], np.diff(self.first)) - np.arange(len(self.starts))
 
 
+def second_hashes(w: Words, fold: np.ndarray = KEEP) -> np.ndarray:
+    """64-bit hashes of the words that have nothing in common with those of scan()."""
+    out, value = np.empty(len(w.starts), U64), _BYTE_VALUE2[fold]
+    cuts = np.flatnonzero(np.diff(w.starts // _BLOCK)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(w.starts)], strict=True):
+        if hi > lo:
+            at, end = int(w.starts[lo]), int(w.ends[hi - 1])
+            power, inverse = _pow_tables(end - at + 1, _BASE2)
+            total = np.zeros(end - at + 1, dtype=U64)
+            np.cumsum(value[w.buf[at:end]] * power[: end - at], out=total[1:])
+            s, e = w.starts[lo:hi] - at, w.ends[lo:hi] - at
+            out[lo:hi] = mix64((total[e] - total[s]) * inverse[s] + (e - s).astype(U64))
+    return out
+
+
 def utf8(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and document offsets of a string column; null counts as empty."""
     if isinstance(arr, pa.ChunkedArray):
@@ -106,12 +122,12 @@ def scan(arr: pa.Array, sep: np.ndarray = SPACE_SEP, fold: np.ndarray = KEEP, cu
     while at < n:
         end = min(n, at + _BLOCK)
         if end < n and not brk[end] and not sep[buf[end]]:
-            cuts = np.flatnonzero(sep[buf[at:end]])
-            while not len(cuts) and end < n:
+            gaps = np.flatnonzero(sep[buf[at:end]])
+            while not len(gaps) and end < n:
                 to = min(n, end + _BLOCK)
-                cuts = np.flatnonzero(sep[buf[end:to]]) + (end - at)
+                gaps = np.flatnonzero(sep[buf[end:to]]) + (end - at)
                 end = to
-            end = at + int(cuts[-1]) + 1 if len(cuts) and (end < n or sep[buf[end - 1]]) else end
+            end = at + int(gaps[-1]) + 1 if len(gaps) and (end < n or sep[buf[end - 1]]) else end
         part = buf[at:end]
         inside = ~sep[part]
         m = len(part)
@@ -152,7 +168,7 @@ def ngrams(h: np.ndarray, k: int, base: int = _BASE) -> np.ndarray:
     return mix64(out[: len(h) - k + 1])
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int = 1 << 20):
     """Parts of a batch with about limit bytes of text, one row at least."""
     arr = batch.column(column)
     if len(arr) == 0:

@@ -3,11 +3,13 @@
 Both vocabularies used here split a text at white space, and between a letter and a sign after it, before
 they merge anything. So a text's ids are those of such pieces, each with the space before it where the
 vocabulary keeps spaces. A batch is cut into pieces by array operations; pieces not met lately go to the
-library together, the others come from a dict of LIMIT pieces at most, and a second one of older pieces.
+library together, the others come from sorted arrays of LIMIT pieces, some 22 MB a worker, which begin
+anew when they are full.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -16,7 +18,9 @@ import pyarrow as pa
 
 from .textcore import FOLD, KEEP, SPACE_SEP, U64, mix64, scan
 
-LIMIT = 500_000
+LIMIT = 600_000
+#: Bytes of text to be encoded at a time: more of it shares more pieces, and takes more memory.
+SLICE = 2 << 20
 BYTE_LEVEL, WORD_ENDS = "byte_bpe_50k.json", "word_bpe_49k.json"
 _RUNS = re.compile(r"\S+|\s+")
 #: str.split() and \s take these as white space, the vocabularies' own rule does not.
@@ -53,7 +57,33 @@ def _after_letters(buf: np.ndarray) -> np.ndarray:
     return at[ascii_ | latin]
 
 
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Two tables (keys, starts, sizes) as one, in order of key."""
+    keys = np.concatenate([a[0], b[0]])
+    order = np.argsort(keys, kind="stable")
+    return keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
+
+
+def _in_pieces(file: dict) -> bool:
+    """Whether a vocabulary file is known to cut texts as said above, by its normaliser and its pre-tokenizer."""
+    if not all(t["special"] for t in file.get("added_tokens") or []) or file["model"]["type"] != "BPE":
+        return False
+    steps = (file.get("normalizer") or {}).get("normalizers", [])
+    cuts = file.get("pre_tokenizer") or {}
+    level = lambda x, own: x.get("type") == "ByteLevel" and not x["add_prefix_space"] and x["use_regex"] == own
+    if file.get("normalizer") is None:
+        return level(cuts, True)
+    parts = cuts.get("pretokenizers", [])
+    words = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    return (
+        [x["type"] for x in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": "\\s+"} and len(parts) == 2
+        and parts[0].get("pattern") == {"Regex": words} and parts[0]["behavior"] == "Removed" and parts[0]["invert"] and level(parts[1], False)
+    )
+
+
 class WordEncoder:
+    """For vocabulary files that do not cut texts as said above, which is seen on loading, the library gets whole texts."""
+
     def __init__(self, path: str, limit: int = LIMIT) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -67,57 +97,78 @@ class WordEncoder:
         self.mark = "\n" if self.spaces else "\x01"
         ids = np.frombuffer(self.whole(self.mark), "<u4")
         self.mark_id = int(ids[0]) if len(ids) == 1 else None
-        self.newline = self.whole("\n")
-        self.known: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
+        self.newline = np.frombuffer(self.whole("\n"), "<u4")
+        with open(path, encoding="utf-8") as f:
+            self.in_pieces = _in_pieces(json.load(f))
+        self._forget()
 
     def whole(self, text: str) -> bytes:
         """The library's own ids of a text, as little-endian unsigned 32-bit integers."""
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(text).tobytes()
 
-    def _learn(self, pieces: list[str]) -> list[bytes]:
-        """Ids of new pieces: many are joined by a mark that is one id and in no piece."""
-        if self.mark_id is None:
-            return [self.whole(x) for x in pieces]
-        glue = self.mark if self.spaces else f" {self.mark} "
-        out: list[bytes] = []
-        for i in range(0, len(pieces), 20_000):
-            part = pieces[i : i + 20_000]
-            joined = glue.join(part)
-            ids = np.array(self.tokenizer.encode(joined, add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            if len(cuts) != len(part) - 1 or joined.count(self.mark) != len(part) - 1:
-                out += [self.whole(x) for x in part]
-                continue
-            data = ids.tobytes()
-            lo = np.concatenate([[0], 4 * (cuts + 1)]).tolist()
-            hi = np.append(4 * cuts, len(data)).tolist()
-            out += [data[a:b] for a, b in zip(lo, hi, strict=True)]
-        return out
+    def _ids(self, text: str) -> np.ndarray:
+        # The batch call finds the same ids without their places in the text.
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _values(self, keys: list[int], at: np.ndarray, kind: np.ndarray, w) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.older, self.known = self.known, {}
-        known, older = self.known, self.older
-        missing = []
-        for i, k in enumerate(keys):
-            if k not in known:
-                if k in older:
-                    known[k] = older[k]
-                else:
-                    missing.append(i)
-        if missing:
-            p = at[missing]
-            data = w.buf.tobytes()
-            kinds = kind[p].tolist()
-            raw = [data[a:b].decode() for a, b in zip(w.starts[p].tolist(), w.ends[p].tolist(), strict=True)]
-            pieces = [" " + x if f == 1 else x for x, f in zip(raw, kinds, strict=True)]
-            for i, f, ids in zip(missing, kinds, self._learn(pieces), strict=True):
-                known[keys[i]] = self.newline + ids if f == 2 else ids
-        return [known[k] for k in keys]
+    def _forget(self) -> None:
+        """pool has the ids of all known pieces; a table has keys in order and where each one's ids lie. New pieces go to
+        the small table, which is merged into the large one now and then."""
+        self.pool = np.zeros(0, "<u4")
+        none = (np.zeros(0, U64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+        self.large, self.small = none, none
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces, one after another, and how many each has: many are joined by a mark that is one id and in no piece."""
+        glue = self.mark if self.spaces else f" {self.mark} "
+        data: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        for i in range(0, len(pieces), 5_000):
+            part = pieces[i : i + 5_000]
+            if self.mark_id is not None:
+                joined = glue.join(part)
+                ids = self._ids(joined)
+                cuts = np.flatnonzero(ids == self.mark_id)
+                if len(cuts) == len(part) - 1 and joined.count(self.mark) == len(part) - 1:
+                    data.append(ids[ids != self.mark_id])
+                    sizes.append(np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1)
+                    continue
+            each = [np.frombuffer(self.whole(x), "<u4") for x in part]
+            data += each
+            sizes.append(np.array([len(x) for x in each], np.int64))
+        return np.concatenate(data), np.concatenate(sizes)
+
+    def _places(self, keys: np.ndarray, at: np.ndarray, kind: np.ndarray, w) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of the keys' pieces begin in the pool, and how many they are; pieces not known yet are learned."""
+        begin, size = np.zeros(len(keys), np.int32), np.full(len(keys), -1, np.int32)
+        if len(self.large[0]) > self.limit:
+            self._forget()
+        for known, starts, sizes in (self.large, self.small):
+            if len(known):
+                i = np.searchsorted(known, keys)
+                i[i == len(known)] = 0
+                hit = known[i] == keys
+                begin[hit], size[hit] = starts[i[hit]], sizes[i[hit]]
+        new = np.flatnonzero(size < 0)
+        if len(new):
+            p = at[new]
+            raw, kinds = w.buf.tobytes(), kind[p]
+            words = [raw[a:b].decode() for a, b in zip(w.starts[p].tolist(), w.ends[p].tolist(), strict=True)]
+            ids, n = self._learn([" " + x if f == 1 else x for x, f in zip(words, kinds.tolist(), strict=True)])
+            if len(self.newline) and (kinds == 2).any():
+                after = (np.cumsum(n) - n)[kinds == 2]
+                ids = np.insert(ids, np.repeat(after, len(self.newline)), np.tile(self.newline, len(after)))
+                n = n + (kinds == 2) * len(self.newline)
+            begin[new], size[new] = len(self.pool) + np.cumsum(n) - n, n
+            self.pool = np.concatenate([self.pool, ids])
+            self.small = _merged(self.small, (keys[new], begin[new], size[new]))
+            if len(self.small[0]) > self.limit // 8:
+                self.large, self.small = _merged(self.large, self.small), tuple(x[:0] for x in self.small)
+        return begin.astype(np.int64), size.astype(np.int64)
 
     def encode_column(self, arr: pa.Array) -> list[np.ndarray]:
         """The ids of each text of an Arrow string column; null counts as empty."""
+        if not self.in_pieces:
+            return [np.frombuffer(self.whole(x or ""), "<u4") for x in arr.to_pylist()]
         w = scan(arr, SPACE_SEP, self.fold, _after_letters)
         n_docs, sizes = len(w.off) - 1, np.diff(w.first)
         kind = np.zeros(len(w.starts), np.uint8)
@@ -133,14 +184,14 @@ class WordEncoder:
         if slow.any():
             back = np.flatnonzero(np.repeat(~slow, sizes))
             keys = keys[back]
-        uniq, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        values = self._values(uniq.tolist(), at if back is None else back[at], kind, w)
-        lengths = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        pool = np.frombuffer(b"".join(values), "<u4")
-        begin = np.cumsum(lengths) - lengths
+        coded = pa.array(keys.view(np.int64)).dictionary_encode()
+        uniq, inverse = coded.dictionary.to_numpy().view(U64), coded.indices.to_numpy()
+        at = np.zeros(len(uniq), np.int64)
+        at[inverse] = np.arange(len(inverse))
+        begin, lengths = self._places(uniq, at if back is None else back[at], kind, w)
         each = lengths[inverse]
         ends = np.cumsum(each)
-        ids = pool[np.repeat(begin[inverse] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
+        ids = self.pool[np.repeat(begin[inverse] - (ends - each), each) + np.arange(ends[-1] if len(ends) else 0)]
         cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(np.where(slow, 0, sizes))])]
         out = [ids[cut[d] : cut[d + 1]] for d in range(n_docs)]
         for d in np.flatnonzero(slow):

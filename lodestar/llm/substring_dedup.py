@@ -3,8 +3,8 @@
 Every window of 35 words holds one selected fingerprint at least: the hashes of runs of K words are
 sampled by the smallest of SPREAD neighbours (winnowing), and K + SPREAD - 1 <= window. Batches of
 documents enter the index one after another. A batch's fingerprints become an immutable run, sorted by
-fingerprint; before that they are merge-joined with each run there is, and what occurs twice, in the
-batch or in history, is noted. Runs are merged when there are more than FANOUT.
+fingerprint, which is merge-joined with each run there is; what occurs twice, in the batch or in history,
+is noted. Runs are merged when there are more than FANOUT. The index stays in its folder for later batches.
 
 A window that holds a fingerprint seen once in all batches is unique. The others are verified by
 two independent hashes of all their words: first whole blocks of neighbouring windows, then, where a
@@ -13,13 +13,16 @@ block has no equal, window by window.
 
 from __future__ import annotations
 
+import re
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import discard, key_filter, new_folder, prepare, staged
-from .textcore import U64, cover, mix64, ngrams, scan, slices
+from .shared import complete_folders, delete_folder, discard, flag_maybe_in, key_filter, map_arrow, new_folder, prepare, staged
+from .textcore import U64, cover, mix64, ngrams, scan, second_hashes, slices
 
 WINDOW, K, SPREAD, FANOUT = 35, 8, 20, 2
 _BASE_B = 0xD6E8FEB86659FD93
@@ -78,9 +81,9 @@ class _Blocks:
 
     def __init__(self, w, known) -> None:
         self.starts, nxt = _candidates(w, known)
-        h = ngrams(w.hashes, WINDOW)
-        self.a = h[self.starts] if len(self.starts) else np.zeros(0, U64)
-        self.b = ngrams(w.hashes, WINDOW, _BASE_B)[self.starts] if len(self.starts) else np.zeros(0, U64)
+        # Two hashes of a window from two hashes of its words, 128 bits in all.
+        self.a = ngrams(w.hashes, WINDOW)[self.starts] if len(self.starts) else np.zeros(0, U64)
+        self.b = ngrams(second_hashes(w), WINDOW, _BASE_B)[self.starts] if len(self.starts) else np.zeros(0, U64)
         new = np.ones(len(self.starts), dtype=bool)
         new[1:] = (np.diff(self.starts) != 1) | (np.diff(nxt) != 0)
         self.head = np.flatnonzero(new)
@@ -88,54 +91,87 @@ class _Blocks:
         tail = self.head + self.size - 1
         # The first and the last window cover all words of a block, as it has fewer windows than a window has words.
         extra = self.size.astype(U64) * U64(0x9E3779B97F4A7C15)
-        key = mix64(self.a[self.head] + extra) * U64(3) + mix64(self.a[tail])
-        check = mix64(self.b[self.head] + extra) * U64(5) + mix64(self.b[tail])
-        self.key = mix64(key ^ (check << U64(1)))
+        self.key = mix64(mix64(self.a[self.head] + extra) * U64(3) + mix64(self.a[tail]))
+        self.check = mix64(mix64(self.b[self.head] + extra) * U64(5) + mix64(self.b[tail]))
 
 
 class FingerprintIndex:
-    """Runs of (fp, n), each a folder of Parquet sorted by fp; repeated holds the fingerprints found twice."""
-
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
-        self.spark, self.fanout, self.runs, self.found = spark, fanout, [], []
-        self.folder = new_folder(spark, "fingerprint_index")
-        self._made = 0
-
-    def _write(self, df: DataFrame, kind: str, order: str | None = "fp") -> DataFrame:
-        path = f"{self.folder}/{kind}-{self._made:04d}"
-        self._made += 1
-        (df.sortWithinPartitions(order) if order else df).write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._lodestar_path = path
-        return out
-
-    def append(self, prints: DataFrame) -> DataFrame:
-        """Takes a batch's fingerprints (fp, n). Returns those that this batch shows to be repeated."""
-        run = self._write(prints.groupBy("fp").agg(F.sum("n").alias("n")), "run")
-        hits = run.where("n > 1").select("fp")
+    """Immutable runs of (fp, n) in a folder, and the fingerprints found twice.
+
+    A run is a folder run-FIRST-LAST-BUCKETS of Parquet for the batches FIRST to LAST, cut into buckets by fp and sorted
+    by fp in each, so a new batch is joined to it bucket by bucket and history is neither shuffled nor written again
+    before it is compacted. A folder can be opened again: a run counts once it is complete, and runs that a wider one
+    covers do not, so a job that is lost while it appends or compacts leaves a whole index behind. found-BATCH holds
+    what a batch showed to be repeated. One job at a time may append.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str | None = None, fanout: int = FANOUT, buckets: int | None = None) -> None:
+        self.spark, self.fanout, self._names = spark, fanout, []
+        self.folder = folder or new_folder(spark, "fingerprint_index")
+        names = complete_folders(spark, self.folder)
+        found = [re.fullmatch(r"run-(\d+)-(\d+)-(\d+)", x) for x in names]
+        spans = [(int(m[1]), int(m[2]), int(m[3])) for m in found if m]
+        self.runs = sorted(x for x in spans if not any((y[0] <= x[0] and x[1] <= y[1]) and y[:2] != x[:2] for y in spans))
+        self.batches = max((hi for _, hi, _ in self.runs), default=0)
+        self.noted = sorted(x for x in names if x.startswith("found-") and int(x.split("-")[1]) <= self.batches)
+        self.buckets = self.runs[0][2] if self.runs else buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _path(self, run: tuple[int, int, int]) -> str:
+        return f"{self.folder}/run-{run[0]:06d}-{run[1]:06d}-{run[2]}"
+
+    def _name(self) -> str:
+        self._names.append(f"lodestar_run_{uuid.uuid4().hex}")
+        return self._names[-1]
+
+    def _forget(self) -> None:
+        """Takes the runs' names out of the catalog; the files stay."""
+        for name in self._names:
+            self.spark.sql(f"drop table if exists {name}")
+        self._names = []
+
+    def _open(self, run: tuple[int, int, int]) -> DataFrame:
+        name = self._name()
+        self.spark.sql(f"create table {name} (fp bigint, n bigint) using parquet clustered by (fp) sorted by (fp) into {run[2]} buckets location '{self._path(run)}'")
+        return self.spark.table(name)
+
+    def _write(self, prints: DataFrame, run: tuple[int, int, int]) -> DataFrame:
+        name = self._name()
+        summed = prints.repartition(run[2], "fp").groupBy("fp").agg(F.sum("n").alias("n"))
+        summed.write.format("parquet").bucketBy(run[2], "fp").sortBy("fp").option("path", self._path(run)).saveAsTable(name)
+        return self.spark.table(name)
+
+    def append(self, prints: DataFrame) -> None:
+        """Takes a batch's fingerprints (fp, n), and notes those that this batch shows to be repeated."""
+        batch = self.batches + 1
+        run = (batch, batch, self.buckets)
+        fresh = self._write(prints.select("fp", "n"), run)
+        hits = fresh.where("n > 1").select("fp")
         for old in self.runs:
-            hits = hits.unionByName(run.select("fp").hint("merge").join(old.select("fp"), "fp"))
-        found = self._write(hits, "found", None)
-        self.found.append(found)
+            hits = hits.unionByName(fresh.select("fp").hint("merge").join(self._open(old).select("fp"), "fp"))
+        hits.write.parquet(f"{self.folder}/found-{batch:06d}")
+        self.noted.append(f"found-{batch:06d}")
         self.runs.append(run)
+        self.batches = batch
+        self._forget()
         if len(self.runs) > self.fanout:
             self.compact()
-        return found
 
     def compact(self) -> None:
         """Merges all runs into one."""
-        union = self.runs[0]
-        for r in self.runs[1:]:
-            union = union.unionByName(r)
-        merged = self._write(union.groupBy("fp").agg(F.sum("n").alias("n")), "run")
-        discard(*self.runs)
+        # As plain files: a union of bucketed tables is summed bucket by bucket and table by table, that is not at all.
+        union = self.spark.read.schema("fp long, n long").parquet(*[self._path(r) for r in self.runs])
+        merged, old = (self.runs[0][0], self.runs[-1][1], self.buckets), self.runs
+        self._write(union, merged)
         self.runs = [merged]
+        self._forget()
+        for r in old:
+            if r != merged:
+                delete_folder(self.spark, self._path(r))
 
     def repeated(self) -> DataFrame:
-        out = self.found[0]
-        for f in self.found[1:]:
-            out = out.unionByName(f)
-        return out.distinct()
+        """The fingerprints (fp) that occur twice in all batches."""
+        paths = [f"{self.folder}/{x}" for x in self.noted]
+        return self.spark.read.schema("fp long").parquet(*paths).distinct() if paths else self.spark.createDataFrame([], "fp long")
 
 
 def fingerprints(rows: DataFrame, batches: int) -> DataFrame:
@@ -151,7 +187,7 @@ def fingerprints(rows: DataFrame, batches: int) -> DataFrame:
                     keys, n = np.unique(fp[which == b], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["batch", "fp", "n"])
 
-    return rows.select("text", "_batch").mapInArrow(emit, "batch int, fp long, n long")
+    return map_arrow(rows.select("text", "_batch"), emit, "batch int, fp long, n long")
 
 
 def _emit(rows: DataFrame, make, schema: str) -> DataFrame:
@@ -163,39 +199,57 @@ def _emit(rows: DataFrame, make, schema: str) -> DataFrame:
                 columns = make(part, scan(part.column("text")))
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3, index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """doc_id, n_words, n_removed, text: without each word of a window whose words also start anywhere else.
 
     Words are runs of anything but ASCII white space, unchanged; a window is WINDOW consecutive words of one
     document, and all its occurrences go, judged on the input. The documents enter the index in the given
     number of batches, as a corpus that grows would; the result does not depend on how many.
 
+    With an index, docs are a further batch of a corpus: they are appended to it, and their windows are judged
+    against themselves and the documents that it has from before. These are given as history, since windows are
+    verified by their words; they are not judged again and not in the result. Without one, an index is made for
+    this call and deleted.
+
     Null or empty texts have no words and give an empty text; texts under WINDOW words have no window. Rows that
-    repeat an id are separate documents (equal rows repeat each other). Other columns are ignored.
+    repeat an id are separate documents (equal rows repeat each other), also those without id. An empty table gives
+    an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     prepare(spark)
     broadcast = spark.sparkContext.broadcast
+    if index is not None and index.runs and history is None:
+        raise ValueError("an index with batches needs the documents that are in it as history")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    tagged = rows.withColumn("_row", F.xxhash64("doc_id", "text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.lit(True).alias("own"))
+    tagged = rows.withColumn("row", F.xxhash64("doc_id", "text"))
+    everything = tagged
+    if history is not None:
+        everything = everything.unionByName(history.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), F.lit(False).alias("own"), F.lit(0).cast("long").alias("row")))
 
     prints = staged(fingerprints(rows.withColumn("_batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), batches), "fingerprints")
-    index = FingerprintIndex(spark)
+    own_index = index or FingerprintIndex(spark)
     for b in range(batches):
-        index.append(prints.where(F.col("batch") == b).select("fp", "n"))
-    repeated = staged(index.repeated(), "repeated")
+        own_index.append(prints.where(F.col("batch") == b).select("fp", "n"))
+    repeated = staged(own_index.repeated(), "repeated")
     known = broadcast(key_filter(repeated, "fp", repeated.count()))
-    discard(prints, *index.runs, *index.found, repeated)
+    discard(prints, repeated)
+    if index is None:
+        delete_folder(spark, own_index.folder)
 
     def count_blocks(part, w):
-        keys, n = np.unique(_Blocks(w, known.value).key, return_counts=True)
-        return keys.view(np.int64), n.astype(np.int64)
-
-    blocks = _emit(rows.select("text"), count_blocks, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        x = _Blocks(w, known.value)
+        order = np.lexsort((x.check, x.key))
+        key, check = x.key[order], x.check[order]
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (check[1:] != check[:-1])
+        head = np.flatnonzero(new)
+        return key[head].view(np.int64), check[head].view(np.int64), np.diff(np.append(head, len(order)))
+
+    blocks = _emit(everything.select("text"), count_blocks, "key long, check long, n long").groupBy("key", "check").agg(F.sum("n").alias("n"))
     single = staged(blocks.where("n = 1").select("key"), "single_blocks")
     lone = broadcast(key_filter(single, "key", single.count()))
     discard(single)
@@ -206,9 +260,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         at = np.flatnonzero(np.repeat(lone.value.test(x.key), x.size))
         doc = np.searchsorted(w.first, x.starts[at], side="right") - 1
         own = lambda c: part.column(c).take(pa.array(doc))
-        return own("doc_id"), own("_row"), (x.starts[at] - w.first[doc]).astype(np.int64), x.a[at].view(np.int64), x.b[at].view(np.int64)
+        return own("own"), own("doc_id"), own("row"), (x.starts[at] - w.first[doc]).astype(np.int64), x.a[at].view(np.int64), x.b[at].view(np.int64)
 
-    open_ = staged(_emit(tagged, windows, "doc_id long, _row long, start long, a long, b long"), "open_windows")
+    open_ = staged(_emit(everything, windows, "own boolean, doc_id long, row long, start long, a long, b long"), "open_windows")
     asked = broadcast(key_filter(open_, "a", open_.count()))
 
     def others(part, w):
@@ -219,12 +273,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         _, first = np.unique(x.a[at], return_index=True)
         return x.a[at[first]].view(np.int64), x.b[at[first]].view(np.int64), np.full(len(first), 2, np.int64)
 
-    seen = open_.select("a", "b", F.lit(1).cast("long").alias("n")).unionByName(_emit(rows.select("text"), others, "a long, b long, n long"))
+    seen = open_.select("a", "b", F.lit(1).cast("long").alias("n")).unionByName(_emit(everything.select("text"), others, "a long, b long, n long"))
     again = staged(seen.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1"), "repeated_windows")
-    marks = open_.join(again.select("a", "b"), ["a", "b"], "left_semi")
-    marks = marks.groupBy("doc_id", "_row").agg(F.collect_set("start").alias("marks"))
-    marks = marks.select(F.col("doc_id").alias("_d"), F.col("_row").alias("_r"), "marks")
-    joined = tagged.join(marks, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_row") == F.col("_r")), "left").select("doc_id", "text", "marks")
+    marks = open_.where("own").join(again.select("a", "b"), ["a", "b"], "left_semi")
+    marks = staged(marks.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.collect_set("start").alias("marks")), "marks")
+    discard(open_, again)
+    # Only documents with marks are shuffled to meet them.
+    flagged = flag_maybe_in(tagged, F.col("row"), marks.select(F.col("_r").alias("key")), marks.count(), "marked")
+    met = flagged.where("marked").join(marks, (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("doc_id", "text", "marks")
+    joined = flagged.where("not marked").select("doc_id", "text", F.lit(None).cast("array<long>").alias("marks")).unionByName(met)
 
     def clean(part, w):
         x = _Blocks(w, known.value)

@@ -105,6 +105,8 @@ def bfs(edges: DataFrame, starts: Sequence[str], depth: int = 2, types: Sequence
     step = e.select(F.col("src").alias("uid"), F.col("dst").alias("to"), w.alias("w"))
     if not directed:
         step = step.unionByName(e.select(F.col("dst").alias("uid"), F.col("src").alias("to"), w.alias("w")))
+    if depth > 1:
+        step = cut(step)  # once, not for each level
     spark = edges.sparkSession
     seen = spark.createDataFrame([(s, 0, 1.0) for s in starts], "uid string, depth int, strength double")
     frontier = seen
@@ -113,6 +115,7 @@ def bfs(edges: DataFrame, starts: Sequence[str], depth: int = 2, types: Sequence
         reached = reached.groupBy("uid").agg(F.max("strength").alias("strength")).join(seen, "uid", "left_anti")
         frontier = cut(reached.select("uid", F.lit(d).alias("depth"), "strength"))
         seen = seen.unionByName(frontier)
+    forget(step)
     return seen if strength else seen.drop("strength")
 
 

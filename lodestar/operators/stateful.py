@@ -74,6 +74,28 @@ class Breaker:
         return d["state"], d["failures"], d["successes"], d["opened_at"]
 
 
+class Rejected(RuntimeError):
+    """The breaker is open: the call was not made."""
+
+
+def protected(call: Callable, breaker: Breaker, clock: Callable[[], float]) -> Callable:
+    """call behind a breaker: its errors count as failures and are passed on; while the breaker is open it is not made."""
+
+    def guarded(*args, **kwargs):
+        now = clock()
+        if breaker.state == "open" and now - breaker.opened_at < breaker.reset:
+            raise Rejected(f"open since {breaker.opened_at}")
+        try:
+            out = call(*args, **kwargs)
+        except Exception:
+            breaker.step(now, False)
+            raise
+        breaker.step(now, True)
+        return out
+
+    return guarded
+
+
 def circuit_breaker(events: DataFrame, key: str = "service", failure: int = 5, success: int = 3, reset: float = 30.0) -> DataFrame:
     """events (key, t seconds, seq, ok) as key, t, seq, state, rejected."""
     return walked(events, key, ["ok"], lambda: Breaker(failure, success, reset).step, "state string, rejected boolean")

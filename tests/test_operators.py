@@ -99,6 +99,26 @@ def test_circuit_breaker(spark):
     assert [r["rejected"] for r in got] == [False, False, True, True, False, False, True]
 
 
+def test_calls_behind_a_breaker():
+    now, made = [0.0], []
+
+    def call(good):
+        made.append(good)
+        if not good:
+            raise ValueError("down")
+        return "up"
+
+    guarded = stateful.protected(call, stateful.Breaker(2, 1, 30.0), lambda: now[0])
+    assert guarded(True) == "up"
+    for _ in range(2):
+        with pytest.raises(ValueError):
+            guarded(False)
+    with pytest.raises(stateful.Rejected):
+        guarded(True)
+    now[0] = 31.0
+    assert guarded(True) == "up" and guarded(True) == "up" and made == [True, False, False, True, True]
+
+
 def test_cooldown_and_recovery(spark):
     df = spark.createDataFrame([("s", float(t), t) for t in (0, 100, 299, 300, 650)], "service string, t double, seq long")
     assert [r["sent"] for r in stateful.cooldown(df, "service").orderBy("seq").collect()] == [True, False, False, True, True]

@@ -159,33 +159,56 @@ EXPECTED = {
 }
 
 
-def _expected(name: str) -> str:
+#: The same for the files that are made of the tables, a Python file for each part and a .proto file for each supplier.
+_GENERATED = {
+    "python_symbols": """select p, p || '.C' || k, 'Class', 'C' || k, p, 4, 6, false, null, 'class C' || k || '(Base)' from g union all select p, p || '.C' || k || '.run', 'Function', 'run', p || '.C' || k, 5, 6, false, null, 'run(self)' from g
+union all select p, p || '.empty' || k, 'Function', 'empty' || k, p, 9, 10, false, null, 'empty' || k || '()' from g""",
+    "python_edges": """select p, p, 'm' || k, 'DEPENDS_ON' from g union all select p, p, p || '.C' || k, 'DEFINES' from g union all select p, p || '.C' || k, 'Base', 'EXTENDS' from g
+union all select p, p || '.C' || k, p || '.C' || k || '.run', 'DEFINES' from g union all select p, p || '.C' || k || '.run', 'call' || k, 'CALLS' from g union all select p, p, p || '.empty' || k, 'DEFINES' from g""",
+    "pattern_symbols": "select p, 'Class', 'C' || k, 4 from g union all select p, 'Function', 'run', 5 from g union all select p, 'Function', 'empty' || k, 9 from g",
+    "comments_above": "select p, 9, 'def empty' || k || '():', 'part ' || k from g",
+    "todo_scan_code": "select p, 10, 'TODO', 'fill ' || k, 'HIGH' from g",
+    "code_issues": "select p, 9, 'INCOMPLETE', 'empty' || k || ' is empty', 'HIGH' from g",
+    "api_taxonomy": "select 'gen/s' || s_suppkey || '.proto', 'message', 'M' || s_suppkey from supplier union all select 'gen/s' || s_suppkey || '.proto', 'service', 'S' || s_suppkey from supplier",
+}
+
+
+def expected(name: str) -> str:
     columns, rows = EXPECTED[name]
-    return f"(select * from {values(rows)} as t({columns}))"
+    return f"(with g as (select 'gen/p' || p_partkey || '.py' as p, p_partkey as k from part), t({columns}) as (select * from {values(rows)} union all {_GENERATED[name]}) select * from t)"
 
 
-def _files(spark):
-    return spark.createDataFrame(FILES, "path string, text string")
+def _files(spark, d):
+    """FILES and the files made of the tables."""
+    part = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"))
+    text = F.concat(
+        F.lit("import m"), "k", F.lit("\n\n\nclass C"), "k", F.lit("(Base):\n    def run(self):\n        return call"), "k", F.lit("(1)\n\n# part "), "k",
+        F.lit("\ndef empty"), "k", F.lit("():\n    pass  # TODO: fill "), "k", F.lit("\n"),
+    )
+    made = part.select(F.concat(F.lit("gen/p"), "k", F.lit(".py")).alias("path"), text.alias("text"))
+    api = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("k"))
+    made = made.unionByName(api.select(F.concat(F.lit("gen/s"), "k", F.lit(".proto")).alias("path"), F.concat(F.lit("message M"), "k", F.lit(" {\n}\nservice S"), "k", F.lit(" {\n}\n")).alias("text")))
+    return spark.createDataFrame(FILES, "path string, text string").unionByName(made)
 
 
-@query("python_symbols", oracle(f"select * from {_expected('python_symbols')}"))
+@query("python_symbols", oracle(f"select * from {expected('python_symbols')}"))
 def _(spark, d):
-    return code.python_symbols(_files(spark).where("path like '%.py'"))
+    return code.python_symbols(_files(spark, d).where("path like '%.py'"))
 
 
-@query("python_edges", oracle(f"select * from {_expected('python_edges')}"))
+@query("python_edges", oracle(f"select * from {expected('python_edges')}"))
 def _(spark, d):
-    return code.python_edges(_files(spark).where("path like '%.py'"))
+    return code.python_edges(_files(spark, d).where("path like '%.py'"))
 
 
-@query("pattern_symbols", oracle(f"select path || ':' || name || case when label = 'Class' then '' else ':' || line end as uid, path, label, name, line from {_expected('pattern_symbols')}"))
+@query("pattern_symbols", oracle(f"select path || ':' || name || case when label = 'Class' then '' else ':' || line end as uid, path, label, name, line from {expected('pattern_symbols')}"))
 def _(spark, d):
-    return code.pattern_symbols(_files(spark))
+    return code.pattern_symbols(_files(spark, d))
 
 
-@query("comments_above", oracle(f"select * from {_expected('comments_above')}"))
+@query("comments_above", oracle(f"select * from {expected('comments_above')}"))
 def _(spark, d):
-    return code.comments_above(_files(spark)).where("comment is not null")
+    return code.comments_above(_files(spark, d)).where("comment is not null")
 
 
 _TODO_DOCS = "with l as (select doc_id, u.i as line, string_split(text, chr(10))[u.i] as t from documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) as u(i))"
@@ -199,24 +222,24 @@ def _(spark, d):
     return code.todos(docs.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.array_join(marked, "\n").alias("text")))
 
 
-@query("todo_scan_code", oracle(f"select * from {_expected('todo_scan_code')}"))
+@query("todo_scan_code", oracle(f"select * from {expected('todo_scan_code')}"))
 def _(spark, d):
-    return code.todos(_files(spark))
+    return code.todos(_files(spark, d))
 
 
-@query("code_issues", oracle(f"select * from {_expected('code_issues')}"))
+@query("code_issues", oracle(f"select * from {expected('code_issues')}"))
 def _(spark, d):
-    return code.issues(_files(spark))
+    return code.issues(_files(spark, d))
 
 
-@query("issue_summary", oracle(f"select type, confidence, count(*) as n from {_expected('code_issues')} group by all"))
+@query("issue_summary", oracle(f"select type, confidence, count(*) as n from {expected('code_issues')} group by all"))
 def _(spark, d):
-    return code.issues(_files(spark)).groupBy("type", "confidence").agg(F.count(F.lit(1)).alias("n"))
+    return code.issues(_files(spark, d)).groupBy("type", "confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("api_taxonomy", oracle(f"select * from {_expected('api_taxonomy')}"))
+@query("api_taxonomy", oracle(f"select * from {expected('api_taxonomy')}"))
 def _(spark, d):
-    return code.taxonomy(_files(spark))
+    return code.taxonomy(_files(spark, d))
 
 
 def _log(spark, d):

@@ -77,6 +77,13 @@ QUESTIONS = [
     ("What depends on the tokenizer",), ("Where is the cache filled",), ("locate the worker",), ("Explain why they crash",), ("",), ("which modules are used by the loader",), ("any of these",),
 ]
 _Q = _values(QUESTIONS)
+#: The samples and the distinct questions of the conversations.
+_ASKED = f"(select * from {_Q} as s(q) union select distinct text from conversations where role = 'user' and text is not null)"
+
+
+def _asked(spark, d):
+    real = table(spark, d, "conversations").where("role = 'user' and text is not null").select(F.col("text").alias("question"))
+    return _literal(spark, QUESTIONS, "question string").unionByName(real).distinct()
 
 
 def _intent_sql(q: str) -> str:
@@ -96,18 +103,18 @@ _WORDS = "(values " + ", ".join(f"({i}, '{w}')" for i, w in enumerate((*X.PRONOU
 _CLEAR = " or ".join(f"lower(trim(q)) like '{s}%'" for s in X.CLEAR_STARTS)
 
 
-@query("query_clarity", oracle(f"""with q as (select q from {_Q} as t(q)), a as (select q, count(w) as n, coalesce(string_agg(w, ',' order by i), '') as words from q left join {_WORDS} as v(i, w) on regexp_matches(lower(trim(q)), '\\b' || w || '\\b') group by q)
+@query("query_clarity", oracle(f"""with q as (select q from {_ASKED} as t(q)), a as (select q, count(w) as n, coalesce(string_agg(w, ',' order by i), '') as words from q left join {_WORDS} as v(i, w) on regexp_matches(lower(trim(q)), '\\b' || w || '\\b') group by q)
 select q as question, words, case when q = '' then 'requires_context' when n = 0 then 'clear' when n <= 2 then 'ambiguous' else 'requires_context' end as clarity,
 case when q = '' then 0.1 when n = 0 then case when {_CLEAR} then 0.9 else 0.8 end when n <= 2 then case when {_CLEAR} then 0.7 else 0.6 end else 0.3 end::double as confidence,
 case when n = 0 and q <> '' then 'one-shot' else 'conversational' end as mode from a"""))
 def _(spark, d):
-    return _literal(spark, QUESTIONS, "question string").select("question", F.array_join(X.ambiguity(F.col("question")), ",").alias("words"), X.clarity(F.col("question")).alias("c")).select("question", "words", "c.*")
+    return _asked(spark, d).select("question", F.array_join(X.ambiguity(F.col("question")), ",").alias("words"), X.clarity(F.col("question")).alias("c")).select("question", "words", "c.*")
 
 
 @query("clarification_questions", oracle(f"""select q as question, len(string_split(trim(concat_ws('|', case when {' or '.join(f"' ' || lower(q) || ' ' like '% {w} %'" for w in X.PRONOUNS)} then 'p' end, case when {' or '.join(f"' ' || lower(q) || ' ' like '% {w} %'" for w in X.VAGUE)} then 'v' end,
-case when {' or '.join(f"' ' || lower(q) || ' ' like '% {w} %'" for w in X.BROAD)} then 'b' end)), '|')) - case when {' or '.join(f"' ' || lower(q) || ' ' like '% {w} %'" for w in (*X.PRONOUNS, *X.VAGUE, *X.BROAD))} then 0 else 1 end as n from {_Q} as t(q)"""))
+case when {' or '.join(f"' ' || lower(q) || ' ' like '% {w} %'" for w in X.BROAD)} then 'b' end)), '|')) - case when {' or '.join(f"' ' || lower(q) || ' ' like '% {w} %'" for w in (*X.PRONOUNS, *X.VAGUE, *X.BROAD))} then 0 else 1 end as n from {_ASKED} as t(q)"""))
 def _(spark, d):
-    return _literal(spark, QUESTIONS, "question string").select("question", F.size(X.clarifications(F.col("question"), F.lit(1))).cast("long").alias("n"))
+    return _asked(spark, d).select("question", F.size(X.clarifications(F.col("question"), F.lit(1))).cast("long").alias("n"))
 
 
 COMMITS = [
@@ -115,33 +122,48 @@ COMMITS = [
     ("docs: describe the urgent hotfix",), ("revert: undo #3",), ("chore: minor cleanup",), ("Merge branch x",), ("wip: half done: later",), ("fix(): no scope",), ("Test(unit): Hotfix #4, resolved  #5",),
 ]
 _C = "(values " + ", ".join("('" + m.replace("'", "''").replace("\n", "' || chr(10) || '") + "')" for (m,) in COMMITS) + ")"
+#: The samples and a message for each order.
+_SAID = f"""(select m from {_C} as s(m) union all select case o_orderkey % 4 when 0 then 'feat(c' || o_custkey || '): add ' || o_orderkey when 1 then 'fix!: stop' || chr(10) || chr(10) || 'closes #' || o_orderkey
+when 2 then 'docs(a)(b): minor ' || o_orderkey else 'Order ' || o_orderkey || ' fixes #' || (o_orderkey + 1) end from orders)"""
+
+
+def _said(spark, d):
+    k, c = F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string")
+    kind = F.col("o_orderkey") % 4
+    message = (
+        F.when(kind == 0, F.concat(F.lit("feat(c"), c, F.lit("): add "), k)).when(kind == 1, F.concat(F.lit("fix!: stop\n\ncloses #"), k)).when(kind == 2, F.concat(F.lit("docs(a)(b): minor "), k))
+        .otherwise(F.concat(F.lit("Order "), k, F.lit(" fixes #"), (F.col("o_orderkey") + 1).cast("string")))
+    )
+    return _literal(spark, COMMITS, "message string").unionByName(table(spark, d, "orders").select(message.alias("message")))
+
+
 _TYPES = " ".join(f"when '{k}' then '{v}'" for k, v in X.COMMIT_TYPES.items())
 
 
-@query("commit_parse", oracle(f"""with m as (select m, trim(string_split(m, chr(10) || chr(10))[1]) as h from {_C} as t(m)),
+@query("commit_parse", oracle(f"""with m as (select m, trim(string_split(m, chr(10) || chr(10))[1]) as h from {_SAID} as t(m)),
 a as (select m, h, strpos(h, ':') as c, string_split(h, ':')[1] as head, trim(h[strpos(h, ':') + 1:]) as rest from m),
 b as (select *, suffix(head, '!') as bang, case when suffix(head, '!') then head[:-2] else head end as name from a),
 e as (select *, case when suffix(name, ')') and strpos(name, '(') > 0 then name[strpos(name, '(') + 1:-2] end as scope, lower(case when suffix(name, ')') then string_split(name, '(')[1] else name end) as k from b),
-p as (select *, c > 0 and rest <> '' and coalesce(scope <> '', true) and k in ({", ".join(f"'{k}'" for k in X.COMMIT_TYPES)}) as known from e)
+p as (select *, c > 0 and rest <> '' and coalesce(scope <> '' and not contains(scope, ')'), true) and k in ({", ".join(f"'{k}'" for k in X.COMMIT_TYPES)}) as known from e)
 select m as message, case when known then k end as type, case when known then scope end as scope, known and bang as breaking, case when known then rest else h end as description,
 case when known then case k {_TYPES} end else 'chore' end as work_type, array_to_string(list_sort(list_distinct(regexp_extract_all(m, '(#\\d+)', 1))), ',') as refs from p"""))
 def _(spark, d):
-    return _literal(spark, COMMITS, "message string").select("message", X.commit(F.col("message")).alias("c")).select("message", "c.type", "c.scope", "c.breaking", "c.description", "c.work_type", F.array_join("c.refs", ",").alias("refs"))
+    return _said(spark, d).select("message", X.commit(F.col("message")).alias("c")).select("message", "c.type", "c.scope", "c.breaking", "c.description", "c.work_type", F.array_join("c.refs", ",").alias("refs"))
 
 
 @query("infer_priority", oracle(f"""select m as message, case when regexp_matches(lower(m), 'critical|urgent|hotfix|emergency') then 'critical' when regexp_matches(lower(m), 'high|important|major|bug|fix|error|fail') then 'high'
-when regexp_matches(lower(m), 'medium|feature|enhancement|improve') then 'medium' when regexp_matches(lower(m), 'low|minor|cleanup|refactor|style|docs') then 'low' else 'medium' end as priority from {_C} as t(m)"""))
+when regexp_matches(lower(m), 'medium|feature|enhancement|improve') then 'medium' when regexp_matches(lower(m), 'low|minor|cleanup|refactor|style|docs') then 'low' else 'medium' end as priority from {_SAID} as t(m)"""))
 def _(spark, d):
-    return _literal(spark, COMMITS, "message string").select("message", X.priority(F.col("message")).alias("priority"))
+    return _said(spark, d).select("message", X.priority(F.col("message")).alias("priority"))
 
 
 _ENDS = " or ".join(f"suffix(w[i], '{x}')" for x in X.CLOSING)
 
 
-@query("issue_refs", oracle(f"""with t as (select m, regexp_split_to_array(lower(m), '\\s+') as w from {_C} as t(m)), r as (select m, regexp_extract(w[i + 1], '^#(\\d+)', 1)::int as ref from t, unnest(range(1, len(w))) as u(i) where regexp_matches(w[i + 1], '^#\\d') and ({_ENDS}))
+@query("issue_refs", oracle(f"""with t as (select m, regexp_split_to_array(lower(m), '\\s+') as w from {_SAID} as t(m)), r as (select m, regexp_extract(w[i + 1], '^#(\\d+)', 1)::int as ref from t, unnest(range(1, len(w))) as u(i) where regexp_matches(w[i + 1], '^#\\d') and ({_ENDS}))
 select m as message, ref, title, status from r join work_items on uid = ref""", "work_items"))
 def _(spark, d):
-    refs = _literal(spark, COMMITS, "message string").select("message", F.explode(X.closing_refs(F.col("message"))).alias("ref"))
+    refs = _said(spark, d).select("message", F.explode(X.closing_refs(F.col("message"))).alias("ref"))
     return refs.join(work_items(spark, d), F.col("ref") == F.col("uid")).select("message", "ref", "title", "status")
 
 

@@ -21,8 +21,8 @@ from lodestar.tools import Toolbox
 
 from .registry import query
 from .search import TEXT, _hits
-from .sources import EXPECTED, FILES, _files
-from .views import AS_OF, changes, edges, evidence_nodes, health, metrics, nodes, oracle, table, values, work_items
+from .sources import FILES, _files, expected
+from .views import AS_OF, changes, edges, evidence_nodes, health, metrics, nodes, oracle, table, work_items
 
 # Every second order is an item; every order has a commit whose message names its item or none.
 _ITEMS = """li as (select uid, project, 'order' || uid || ' totals' as title, 'repair cust' || (uid // 8) || ' ledger' as description, work_type, priority from work_items where uid % 2 = 0)"""
@@ -201,17 +201,14 @@ def _(spark, d):
     return out.select("uid", "depth", F.round("strength", 6).alias("strength"), F.array_join("path", ">").alias("path"), F.array_join("edges", ">").alias("edges"))
 
 
-_ISSUES = EXPECTED["code_issues"][1]
-
-
-@query("issues_by_severity", oracle(f"select path, line, message, case confidence when 'HIGH' then 0 when 'MEDIUM' then 1 else 2 end as rank from {values(_ISSUES)} as t(path, line, type, message, confidence)"))
+@query("issues_by_severity", oracle(f"select path, line, message, case confidence when 'HIGH' then 0 when 'MEDIUM' then 1 else 2 end as rank from {expected('code_issues')}"))
 def _(spark, d):
-    return code.by_severity(code.issues(_files(spark))).select("path", "line", "message", "rank")
+    return code.by_severity(code.issues(_files(spark, d))).select("path", "line", "message", "rank")
 
 
-@query("issues_by_file", oracle(f"select path, count(*)::int as n, min(line) as first, string_agg(message, ',' order by line, type, message) as messages from {values(_ISSUES)} as t(path, line, type, message, confidence) group by path"))
+@query("issues_by_file", oracle(f"select path, count(*)::int as n, min(line) as first, string_agg(message, ',' order by line, type, message) as messages from {expected('code_issues')} group by path"))
 def _(spark, d):
-    out = code.by_file(code.issues(_files(spark)))
+    out = code.by_file(code.issues(_files(spark, d)))
     return out.select("path", F.size("issues").alias("n"), F.get("issues", F.lit(0))["line"].alias("first"), F.array_join(F.transform("issues", lambda x: x["message"]), ",").alias("messages"))
 
 

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prepare
-from .tokens import WORD_ENDS, encoder, vocabulary
+from .shared import map_arrow, prepare
+from .tokens import SLICE, WORD_ENDS, encoder, vocabulary
 from .textcore import slices
 
 CAPACITY, END_ID = 4096, 2
@@ -73,7 +73,8 @@ def windows(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, in
 def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """Pieces of the documents' ids: whole windows of capacity from the start, then what is left.
 
-    doc_id, start, length, ids (little-endian unsigned 32-bit; null unless with_ids), ids_crc32, doc_tokens.
+    doc_id, start, length, ids (little-endian unsigned 32-bit; null unless with_ids), ids_crc32, doc_tokens, copy: the
+    task in its upper bits, and how many rows with the same id and ids that task has met before.
     """
     import zlib
 
@@ -81,12 +82,18 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     def cut(batches):
-        tokens = encoder(path)
+        from pyspark import TaskContext
+
+        tokens, task = encoder(path), TaskContext.get().partitionId() << 32
+        met: dict[int, int] = {}
         for batch in batches:
-            for part in slices(batch):
-                owner, start, length, data, crc, total = [], [], [], [], [], []
+            for part in slices(batch, limit=SLICE):
+                owner, start, length, data, crc, total, copy = [], [], [], [], [], [], []
+                doc_ids = part.column("doc_id").to_pylist()
                 for d, ids in enumerate(tokens.encode_column(part.column("text"))):
                     ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+                    own = hash((doc_ids[d], zlib.crc32(ids)))
+                    n = met[own] = met.get(own, -1) + 1
                     for s in range(0, len(ids), capacity):
                         piece = ids[s : s + capacity].tobytes()
                         owner.append(d)
@@ -95,21 +102,23 @@ def tokenized(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                         data.append(piece if with_ids else None)
                         crc.append(zlib.crc32(piece))
                         total.append(len(ids))
+                        copy.append(task + n)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary()), pa.array(crc, pa.int64()), pa.array(total, pa.int64())],
-                    names=["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens"],
+                    [part.column("doc_id").take(pa.array(owner, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(data, pa.binary()), pa.array(crc, pa.int64()), pa.array(total, pa.int64()), pa.array(copy, pa.int64())],
+                    names=["doc_id", "start", "length", "ids", "ids_crc32", "doc_tokens", "copy"],
                 )
 
-    return rows.mapInArrow(cut, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long")
+    return map_arrow(rows, cut, "doc_id long, start long, length long, ids binary, ids_crc32 long, doc_tokens long, copy long")
 
 
 def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset. Pieces of a document's full windows fill a sequence each; the others
     are dealt into groups by hash, and each group is packed by differencing. A sequence_id is the group's number
-    in its upper bits and the window's in the lower ones; sequences are gapless from offset 0.
+    in its upper bits and the window's in the lower ones; sequences are gapless from offset 0. Rows that repeat are
+    told apart by their copy, so that however many there are they are dealt into all groups.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    names = pieces.columns
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name != "copy")
+    names = [c for c in pieces.columns if c != "copy"]
 
     def fill(key, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["doc_id", "start", "ids_crc32"], kind="stable").reset_index(drop=True)
@@ -131,7 +140,7 @@ def pack(pieces: DataFrame, groups: int, capacity: int = CAPACITY) -> DataFrame:
         frame["offset"] = offset
         return frame[[*names, "sequence_id", "offset"]]
 
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32", "copy"), F.lit(groups))).drop("copy")
     return dealt.groupBy("_group").applyInPandas(lambda key, frame: fill(key, frame.drop(columns="_group")), f"{fields}, sequence_id long, offset long")
 
 
@@ -139,7 +148,7 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per piece: doc_id, start, length, ids, ids_crc32, doc_tokens, sequence_id, offset.
 
     Every document is its token ids and end_id; each id lies in exactly one piece. Null and empty texts are
-    the end id alone. Rows that repeat an id are packed one by one. Other columns are ignored. An empty table
+    the end id alone. Rows that repeat an id, or have none, are packed one by one. Other columns are ignored. An empty table
     gives no piece. The number of groups follows the number of documents, so a group has about `group`
     documents and their further pieces, whatever the size of the corpus.
     """

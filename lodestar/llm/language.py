@@ -17,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_text import main_text
-from .shared import prepare, staged
+from .shared import map_arrow, prepare, staged
 from .textcore import FOLD, U64, mix64, slices, utf8
 
 BITS = 14
-#: Most documents that the text models are fitted on.
-SAMPLE = 4000
+#: About how many documents of each language the text models are fitted on, and how many languages there are at most:
+#: the most frequent ones. Every row takes part in finding the languages.
+SAMPLE, LANGUAGES = 1500, 500
 #: Trigrams neighbour each other, so a text weighs like this many independent ones at most.
 EFFECTIVE = 60.0
 #: Pages by which a host leans on its suffix, and a suffix on the whole corpus.
@@ -63,11 +64,19 @@ def trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> TextModel:
-    """Trigram models of the languages that the documents name, from `sample` documents with the smallest id hashes."""
+    """Trigram models of the languages that the documents name.
+
+    Of each language those documents count whose hash of their id is low enough that about `sample` of them are; of a
+    language with fewer, all. Rows without id or language are left out, rows that repeat an id count alike, null texts
+    are empty. Without rows the model knows no language. Other columns are ignored.
+    """
     prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(lang_col).alias("lang")).where("lang is not null and k is not null")
-    chosen = rows.orderBy(F.xxhash64("k"), "k").limit(sample).distinct()
-    texts = docs.select(F.col(id_col).cast("string").alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).join(F.broadcast(chosen), ["k", "lang"])
+    rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and k is not null")
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not found:
+        return TextModel([], np.zeros((0, 1 << BITS)))
+    share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["n"])))])
+    texts = rows.where(F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < F.element_at(share, F.col("lang")) * (1 << 30))
 
     def count(batches):
         for batch in batches:
@@ -81,7 +90,7 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
                     at = np.flatnonzero(n)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "t", "n"])
 
-    got = texts.mapInArrow(count, "lang string, t long, n long").groupBy("lang", "t").agg(F.sum("n").alias("n")).toPandas()
+    got = map_arrow(texts, count, "lang string, t long, n long").groupBy("lang", "t").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(got["lang"].unique().tolist())
     logs = np.zeros((len(languages), 1 << BITS))
     for j, lang in enumerate(languages):
@@ -110,7 +119,7 @@ def _evidence(pages: DataFrame, model, url_col: str, html_col: str) -> DataFrame
                     names=["page_id", "url", "host", "suffix", "declared", "n_chars", "ll"],
                 )
 
-    return pages.mapInArrow(run, "page_id long, url string, host string, suffix string, declared int, n_chars long, ll array<double>")
+    return map_arrow(pages, run, "page_id long, url string, host string, suffix string, declared int, n_chars long, ll array<double>")
 
 
 def _normalised(logs, n: int):
@@ -127,8 +136,9 @@ def identify(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_co
     """One row per page: page_id, url, lang, probability, text_lang, declared_lang, n_chars.
 
     Null or empty html leaves the declaration out and the text mute, so the priors of host and suffix decide; a null
-    or odd url counts as the host ''. lang is null only if the model knows no language. Rows that repeat an id are
-    judged one by one.
+    or odd url counts as the host ''. lang is null only if the model knows no language. Of languages that are equally
+    likely the first by name is taken. Rows that repeat an id, or have none, are judged one by one; an empty table gives
+    an empty result. Other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     prepare(spark)

@@ -6,9 +6,9 @@ documents enter the index one after another. A batch's fingerprints become an im
 fingerprint, which is merge-joined with each run there is; what occurs twice, in the batch or in history,
 is noted. Runs are merged when there are more than FANOUT. The index stays in its folder for later batches.
 
-A window that holds a fingerprint seen once in all batches is unique. The others are verified by
-two independent hashes of all their words: first whole blocks of neighbouring windows, then, where a
-block has no equal, window by window.
+A window that holds a fingerprint seen once in all batches is unique. Documents without a repeated fingerprint
+have no other windows and are done. The windows left are verified by two independent hashes of all their
+words: first whole blocks of neighbouring windows, then, where a block has no equal, window by window.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import complete_folders, delete_folder, discard, flag_maybe_in, key_filter, map_arrow, new_folder, prepare, staged
+from .shared import complete_folders, delete_folder, discard, flag_maybe_in, key_filter, map_arrow, maybe_in, new_folder, prepare, staged
 from .textcore import U64, cover, mix64, ngrams, scan, second_hashes, slices
 
 WINDOW, K, SPREAD, FANOUT = 35, 8, 20, 2
@@ -174,20 +174,41 @@ class FingerprintIndex:
         return self.spark.read.schema("fp long").parquet(*paths).distinct() if paths else self.spark.createDataFrame([], "fp long")
 
 
-def fingerprints(rows: DataFrame, batches: int) -> DataFrame:
-    """(batch, fp, n) of rows with text and _batch."""
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """(batch, row, fp, n) of rows (text, row, batch): the fingerprints of each document, and how often it has each."""
 
     def emit(parts):
         for batch in parts:
             for part in slices(batch):
                 w = scan(part.column("text"))
                 at, fp = selected(w)
-                which = np.repeat(part.column("_batch").to_numpy(), np.diff(w.first))[at].astype(U64)
-                for b in range(batches):
-                    keys, n = np.unique(fp[which == b], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), b, np.int32)), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["batch", "fp", "n"])
+                doc = np.searchsorted(w.first, at, side="right") - 1
+                order = np.lexsort((fp, doc))
+                doc, fp = doc[order], fp[order]
+                new = np.ones(len(fp), dtype=bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (fp[1:] != fp[:-1])
+                head = np.flatnonzero(new)
+                own = pa.array(doc[head])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("batch").take(own), part.column("row").take(own), pa.array(fp[head].view(np.int64)), pa.array(np.diff(np.append(head, len(fp))), pa.int64())],
+                    names=["batch", "row", "fp", "n"],
+                )
 
-    return map_arrow(rows.select("text", "_batch"), emit, "batch int, fp long, n long")
+    return map_arrow(rows.select("text", "row", "batch"), emit, "batch int, row long, fp long, n long")
+
+
+class _Known:
+    """The repeated fingerprints of some documents (a list column); any others that they have are not repeated."""
+
+    def __init__(self, lists: pa.Array) -> None:
+        self.values = np.unique(lists.flatten().to_numpy(zero_copy_only=False).view(U64))
+
+    def test(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.values):
+            return np.zeros(len(keys), dtype=bool)
+        at = np.searchsorted(self.values, keys)
+        at[at == len(self.values)] = 0
+        return self.values[at] == keys
 
 
 def _emit(rows: DataFrame, make, schema: str) -> DataFrame:
@@ -225,23 +246,35 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("an index with batches needs the documents that are in it as history")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.lit(True).alias("own"))
-    tagged = rows.withColumn("row", F.xxhash64("doc_id", "text"))
-    everything = tagged
     if history is not None:
-        everything = everything.unionByName(history.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), F.lit(False).alias("own"), F.lit(0).cast("long").alias("row")))
+        rows = rows.unionByName(history.select(F.lit(None).cast("long").alias("doc_id"), text.alias("text"), F.lit(False).alias("own")))
+    rows = rows.withColumn("row", F.xxhash64("own", "doc_id", "text"))
 
-    prints = staged(fingerprints(rows.withColumn("_batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), batches), "fingerprints")
+    batch = F.when(F.col("own"), F.pmod(F.xxhash64("doc_id"), F.lit(batches))).otherwise(-1).cast("int")
+    prints = staged(fingerprints(rows.withColumn("batch", batch)), "fingerprints")
     own_index = index or FingerprintIndex(spark)
     for b in range(batches):
         own_index.append(prints.where(F.col("batch") == b).select("fp", "n"))
     repeated = staged(own_index.repeated(), "repeated")
-    known = broadcast(key_filter(repeated, "fp", repeated.count()))
+    # A bit array first takes out most fingerprints that are not repeated, then a join takes out all of them.
+    near = maybe_in(prints.select("fp", "row"), F.col("fp"), repeated.select(F.col("fp").alias("key")), repeated.count())
+    known = near.join(repeated, "fp", "left_semi").groupBy("row").agg(F.collect_set("fp").alias("fps"))
+    known = staged(known.select(F.col("row").alias("_row"), "fps"), "known")
     discard(prints, repeated)
     if index is None:
         delete_folder(spark, own_index.folder)
 
+    # Documents with a repeated fingerprint are written out with all that they have; no other is looked at again.
+    flagged = flag_maybe_in(rows, F.col("row"), known.select(F.col("_row").alias("key")), known.count(), "marked")
+    met = staged(flagged.where("marked").join(known, F.col("row") == F.col("_row"), "left").select("doc_id", "text", "own", "row", "fps"), "candidates")
+    some = met.where("fps is not null")
+    rest = flagged.where("own and not marked").select("doc_id", "text").unionByName(met.where("own and fps is null").select("doc_id", "text"))
+
+    def blocks_of(part, w):
+        return _Blocks(w, _Known(part.column("fps")))
+
     def count_blocks(part, w):
-        x = _Blocks(w, known.value)
+        x = blocks_of(part, w)
         order = np.lexsort((x.check, x.key))
         key, check = x.key[order], x.check[order]
         new = np.ones(len(order), dtype=bool)
@@ -249,42 +282,46 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         head = np.flatnonzero(new)
         return key[head].view(np.int64), check[head].view(np.int64), np.diff(np.append(head, len(order)))
 
-    blocks = _emit(everything.select("text"), count_blocks, "key long, check long, n long").groupBy("key", "check").agg(F.sum("n").alias("n"))
+    blocks = _emit(some.select("text", "fps"), count_blocks, "key long, check long, n long").groupBy("key", "check").agg(F.sum("n").alias("n"))
     single = staged(blocks.where("n = 1").select("key"), "single_blocks")
     lone = broadcast(key_filter(single, "key", single.count()))
     discard(single)
 
     def windows(part, w):
         """Each window of blocks that may have no equal."""
-        x = _Blocks(w, known.value)
+        x = blocks_of(part, w)
         at = np.flatnonzero(np.repeat(lone.value.test(x.key), x.size))
         doc = np.searchsorted(w.first, x.starts[at], side="right") - 1
         own = lambda c: part.column(c).take(pa.array(doc))
         return own("own"), own("doc_id"), own("row"), (x.starts[at] - w.first[doc]).astype(np.int64), x.a[at].view(np.int64), x.b[at].view(np.int64)
 
-    open_ = staged(_emit(everything, windows, "own boolean, doc_id long, row long, start long, a long, b long"), "open_windows")
+    open_ = staged(_emit(some, windows, "own boolean, doc_id long, row long, start long, a long, b long"), "open_windows")
     asked = broadcast(key_filter(open_, "a", open_.count()))
 
     def others(part, w):
         """Windows of blocks known to repeat, where an open window may equal them."""
-        x = _Blocks(w, known.value)
+        x = blocks_of(part, w)
         at = np.flatnonzero(~np.repeat(lone.value.test(x.key), x.size))
         at = at[asked.value.test(x.a[at])]
         _, first = np.unique(x.a[at], return_index=True)
         return x.a[at[first]].view(np.int64), x.b[at[first]].view(np.int64), np.full(len(first), 2, np.int64)
 
-    seen = open_.select("a", "b", F.lit(1).cast("long").alias("n")).unionByName(_emit(everything.select("text"), others, "a long, b long, n long"))
+    seen = open_.select("a", "b", F.lit(1).cast("long").alias("n")).unionByName(_emit(some.select("text", "fps"), others, "a long, b long, n long"))
     again = staged(seen.groupBy("a", "b").agg(F.sum("n").alias("n")).where("n > 1"), "repeated_windows")
     marks = open_.where("own").join(again.select("a", "b"), ["a", "b"], "left_semi")
     marks = staged(marks.groupBy(F.col("doc_id").alias("_d"), F.col("row").alias("_r")).agg(F.collect_set("start").alias("marks")), "marks")
     discard(open_, again)
     # Only documents with marks are shuffled to meet them.
-    flagged = flag_maybe_in(tagged, F.col("row"), marks.select(F.col("_r").alias("key")), marks.count(), "marked")
-    met = flagged.where("marked").join(marks, (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("doc_id", "text", "marks")
-    joined = flagged.where("not marked").select("doc_id", "text", F.lit(None).cast("array<long>").alias("marks")).unionByName(met)
+    own_some = flag_maybe_in(some.where("own"), F.col("row"), marks.select(F.col("_r").alias("key")), marks.count(), "marked")
+    joined = own_some.where("marked").join(marks, (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").select("doc_id", "text", "fps", "marks")
+    joined = own_some.where("not marked").select("doc_id", "text", "fps", F.lit(None).cast("array<long>").alias("marks")).unionByName(joined)
+
+    def whole(part, w):
+        none = np.zeros(len(part), np.int64)
+        return part.column("doc_id"), np.diff(w.first), none, pa.array(kept_texts(w, np.ones(len(w.starts), dtype=bool)), pa.string())
 
     def clean(part, w):
-        x = _Blocks(w, known.value)
+        x = blocks_of(part, w)
         starts = x.starts[~np.repeat(lone.value.test(x.key), x.size)]
         marked = part.column("marks")
         more = marked.flatten().to_numpy(zero_copy_only=False)
@@ -296,7 +333,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         np.cumsum(gone, out=total[1:])
         return part.column("doc_id"), np.diff(w.first), total[w.first[1:]] - total[w.first[:-1]], pa.array(kept_texts(w, ~gone), pa.string())
 
-    return _emit(joined, clean, "doc_id long, n_words long, n_removed long, text string")
+    schema = "doc_id long, n_words long, n_removed long, text string"
+    return _emit(joined, clean, schema).unionByName(_emit(rest, whole, schema))
 
 
 def kept_texts(w, keep: np.ndarray) -> list[str]:

@@ -31,7 +31,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Level 1 groups by byte length, level 2 the rows of lengths that occur twice by a hash of the first
     prefix_chars characters, level 3 hashes the whole content of the rows whose (length, prefix) occurs
     twice, and of no others (text_sha256 is null for these, unless digest_all). Texts never move: the
-    keys that survive level 2 come back to the scan as a bit array of fixed size (16 MB at most), which
+    keys that survive level 2 come back to the scan as a bit array of fixed size (64 MB at most), which
     may let some other rows through to level 3 but misses none. Groups are counted before they are
     shuffled, and the join back is one that adaptive execution splits if a group is hot.
 

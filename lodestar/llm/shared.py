@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most bits of a broadcast key filter: 2**27 bits are 16 MB, whatever the input.
-MAX_FILTER_BITS = 27
+#: Most bits of a broadcast key filter: 2**29 bits are 64 MB, whatever the input. It has 16 bits a key until then.
+MAX_FILTER_BITS = 29
 ARROW_ROWS = 1000
 
 
@@ -111,7 +111,7 @@ def discard(*frames: DataFrame) -> None:
 class KeyFilter:
     """A bit for each key's low bits: no key of the set is missed, others pass now and then.
 
-    The size is fixed by bits (MAX_FILTER_BITS at most, 16 MB), so the broadcast has a bound at any
+    The size is fixed by bits (MAX_FILTER_BITS at most, 64 MB), so the broadcast has a bound at any
     scale; a crowded filter lets more through, which costs work and never changes results.
     """
 

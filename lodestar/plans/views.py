@@ -59,8 +59,9 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.unionByName(edge(t("customer"), ("nation", "c_nationkey"), ("customer", "c_custkey"), "HAS_ASSET"))
     out = out.unionByName(edge(t("supplier"), ("nation", "s_nationkey"), ("supplier", "s_suppkey"), "HAS_ASSET"))
     out = out.unionByName(edge(t("orders"), ("customer", "o_custkey"), ("order", "o_orderkey"), "DEFINES"))
-    out = out.unionByName(edge(items, ("order", "l_orderkey"), ("part", "l_partkey"), "DEPENDS_ON").distinct())
-    return out.unionByName(edge(items, ("supplier", "l_suppkey"), ("part", "l_partkey"), "CALLS").distinct())
+    # Made distinct as numbers, which is less to hash and to move than as text.
+    out = out.unionByName(edge(items.select("l_orderkey", "l_partkey").distinct(), ("order", "l_orderkey"), ("part", "l_partkey"), "DEPENDS_ON"))
+    return out.unionByName(edge(items.select("l_suppkey", "l_partkey").distinct(), ("supplier", "l_suppkey"), ("part", "l_partkey"), "CALLS"))
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

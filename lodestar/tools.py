@@ -135,7 +135,7 @@ class Toolbox:
         return self.spark.createDataFrame([tuple(row.get(f.split()[0]) for f in schema.split(", "))], schema)
 
     def _query_codebase(self, project_name, question, max_results) -> DataFrame:
-        """An evidence packet with its veracity."""
+        """An evidence packet with the faults found in it and the confidence left."""
         nodes = self._own("nodes", project_name)
         own = nodes.select("uid")
         vectors = self._all("vectors").join(own, "uid", "left_semi")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_text, jaccard, language, line_dedup, packing, periodic, quality, substring_dedup, token_store
+from . import best_fit, decontaminate, exact_dedup, html_text, jaccard, language, line_dedup, packing, periodic, quality, substring_dedup, token_store
 from .shared import documents
 
 
@@ -69,6 +69,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), "contaminated")
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = best_fit.pack_best_fit(documents(spark, sf_dir), with_ids=False)
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = periodic.find_runs(periodic.with_periods(documents(spark, sf_dir).select(F.col("doc_id").cast("long"), "text")))
     longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_decontamination": op10_decontamination,
+    "op11_best_fit_packing": op11_best_fit_packing,
     "op12_periodic_runs": op12_periodic_runs,
 }
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import best_fit, decontaminate, exact_dedup, html_text, jaccard, language, line_dedup, packing, periodic, quality, substring_dedup, token_store
+from . import best_fit, decontaminate, exact_dedup, html_text, jaccard, language, line_dedup, packing, periodic, quality, substring_dedup, token_store, treaps
 from .shared import documents
 
 
@@ -91,6 +91,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
@@ -104,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
     "op11_best_fit_packing": op11_best_fit_packing,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -156,4 +161,15 @@ n as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct cas
 select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256,
   coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
 from d left join c on c.doc_id = d.doc_id left join n on n.doc_id = d.doc_id""",
+    "op13_ranked_search": rf"""
+with d as (select doc_id, unnest(regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
+p as (select doc_id, t, count(*) as tf from d group by all),
+n as (select doc_id, cast(sum(tf) as bigint) as n from p group by all),
+s as (select count(*) as cn, cast(sum(n) as bigint) as cl from n),
+f as (select t, cast(floor(1000 * ln(cast(2 * cn + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w from p, s group by t, cn),
+b as (select distinct item_id, unnest(regexp_extract_all({_FOLD}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark),
+c as (select item_id, p.doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * cn) // cl)))) as bigint) as score
+  from b join f using (t) join p using (t) join n on n.doc_id = p.doc_id, s group by all)
+select item_id, cast(rank as int) as rank, doc_id, score
+from (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from c where score > 0) where rank <= 50""",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lodestar.operators import search as S
 from lodestar.operators import trust as T
+from lodestar.operators import vector_index as V
 from lodestar.operators.graph import cut
 
 from .registry import query
@@ -76,6 +77,34 @@ def _(spark, d):
     return S.vector_topk(rows, _vector(spark, d), 10, key="vec_id").select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+def _vector_index(spark, d):
+    """An index of all vectors, the last quarter of which come as a second batch."""
+    rows = table(spark, d, "embeddings")
+    index = V.VectorIndex.create(rows.where("vec_id % 4 <> 3"), V.index_folder(spark), "vec_id", carry=["label"])
+    index.add(rows.where("vec_id % 4 = 3"))
+    return index
+
+
+def _asked(spark, d):
+    return table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+
+
+@query("vector_index_topk")
+def _(spark, d):
+    """The 50 nearest vectors of each vector whose id is divisible by 100, by an index that is asked for a recall of 0.95."""
+    index = _vector_index(spark, d)
+    probes = index.probes_for(_asked(spark, d), 50, 0.95)
+    return index.search(_asked(spark, d), 50, probes).select(F.col("query").alias("query_id"), "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
+@query("vector_index_filtered")
+def _(spark, d):
+    """The same among the vectors of one label, with a least score."""
+    index = _vector_index(spark, d)
+    found = index.search(_asked(spark, d), 10, len(index.model.cells), where="label = 3", minimum=0.1)
+    return found.select(F.col("query").alias("query_id"), "vec_id", "rank", F.round("score", 6).alias("score"))
+
+
 @query("bm25_topk", oracle(f"with {bm25_sql()} select uid, round(score, 6) as score from keyword", "evidence"))
 def _(spark, d):
     return S.bm25(evidence_nodes(spark, d), TEXT, 100).select("uid", F.round("score", 6).alias("score"))

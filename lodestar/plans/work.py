@@ -69,7 +69,7 @@ def _linked(spark, d):
 @query("commit_link")
 def _(spark, d):
     """The best item of each commit, over all commits and items."""
-    return L.best(L.scored(_commits(spark, d), _items(spark, d)))
+    return L.best_matches(_commits(spark, d), _items(spark, d))
 
 
 @query("auto_link")

@@ -4,7 +4,8 @@ Every window of 35 words holds one selected fingerprint at least: the hashes of
 sampled by the smallest of SPREAD neighbours (winnowing), and K + SPREAD - 1 <= window. Batches of
 documents enter the index one after another. A batch's fingerprints become an immutable run, sorted by
 fingerprint, which is merge-joined with each run there is; what occurs twice, in the batch or in history,
-is noted. Runs are merged when there are more than FANOUT. The index stays in its folder for later batches.
+is noted. FANOUT runs of one level are merged into one of the next, so a fingerprint is written about once a level, and
+levels grow with the logarithm of the number of batches. The index stays in its folder for later batches.
 
 A window that holds a fingerprint seen once in all batches is unique. Documents without a repeated fingerprint
 have no other windows and are done. The windows left are verified by two independent hashes of all their
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import complete_folders, delete_folder, discard, flag_maybe_in, key_filter, map_arrow, maybe_in, new_folder, prepare, staged
 from .textcore import U64, cover, mix64, ngrams, scan, second_hashes, slices
 
-WINDOW, K, SPREAD, FANOUT = 35, 8, 20, 2
+WINDOW, K, SPREAD, FANOUT = 35, 8, 20, 3
 _BASE_B = 0xD6E8FEB86659FD93
 
 
@@ -144,28 +145,38 @@ class FingerprintIndex:
         """Takes a batch's fingerprints (fp, n), and notes those that this batch shows to be repeated."""
         batch = self.batches + 1
         run = (batch, batch, self.buckets)
-        fresh = self._write(prints.select("fp", "n"), run)
-        hits = fresh.where("n > 1").select("fp")
-        for old in self.runs:
-            hits = hits.unionByName(fresh.select("fp").hint("merge").join(self._open(old).select("fp"), "fp"))
-        hits.write.parquet(f"{self.folder}/found-{batch:06d}")
+        try:
+            fresh = self._write(prints.select("fp", "n"), run)
+            hits = fresh.where("n > 1").select("fp")
+            for old in self.runs:
+                hits = hits.unionByName(fresh.select("fp").hint("merge").join(self._open(old).select("fp"), "fp"))
+            hits.write.parquet(f"{self.folder}/found-{batch:06d}")
+        finally:
+            self._forget()
         self.noted.append(f"found-{batch:06d}")
         self.runs.append(run)
         self.batches = batch
-        self._forget()
-        if len(self.runs) > self.fanout:
-            self.compact()
+        self.compact()
+
+    def _level(self, run: tuple[int, int, int]) -> int:
+        level, size = 0, run[1] - run[0] + 1
+        while size >= self.fanout:
+            level, size = level + 1, size // self.fanout
+        return level
 
     def compact(self) -> None:
-        """Merges all runs into one."""
-        # As plain files: a union of bucketed tables is summed bucket by bucket and table by table, that is not at all.
-        union = self.spark.read.schema("fp long, n long").parquet(*[self._path(r) for r in self.runs])
-        merged, old = (self.runs[0][0], self.runs[-1][1], self.buckets), self.runs
-        self._write(union, merged)
-        self.runs = [merged]
-        self._forget()
-        for r in old:
-            if r != merged:
+        """Merges the last FANOUT runs into one for as long as they are of one level."""
+        while len(self.runs) >= self.fanout and len({self._level(r) for r in self.runs[-self.fanout :]}) == 1:
+            old = self.runs[-self.fanout :]
+            # As plain files: a union of bucketed tables is summed bucket by bucket and table by table, that is not at all.
+            union = self.spark.read.schema("fp long, n long").parquet(*[self._path(r) for r in old])
+            merged = (old[0][0], old[-1][1], self.buckets)
+            try:
+                self._write(union, merged)
+            finally:
+                self._forget()
+            self.runs = [*self.runs[: -self.fanout], merged]
+            for r in old:
                 delete_folder(self.spark, self._path(r))
 
     def repeated(self) -> DataFrame:

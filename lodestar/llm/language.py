@@ -21,8 +21,8 @@ from .shared import map_arrow, prepare, staged
 from .textcore import FOLD, U64, mix64, slices, utf8
 
 BITS = 14
-#: About how many documents of each language the text models are fitted on, and how many languages there are at most:
-#: the most frequent ones. Every row takes part in finding the languages.
+#: About how many documents of each language the text models are fitted on, and how many languages a model may have (128 KB
+#: each); with more, training stops with an error. Every row takes part in finding the languages.
 SAMPLE, LANGUAGES = 1500, 500
 #: Trigrams neighbour each other, so a text weighs like this many independent ones at most.
 EFFECTIVE = 60.0
@@ -63,16 +63,19 @@ def trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return t, ok
 
 
-def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE) -> TextModel:
+def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", sample: int = SAMPLE, languages: int = LANGUAGES) -> TextModel:
     """Trigram models of the languages that the documents name.
 
     Of each language those documents count whose hash of their id is low enough that about `sample` of them are; of a
     language with fewer, all. Rows without id or language are left out, rows that repeat an id count alike, null texts
-    are empty. Without rows the model knows no language. Other columns are ignored.
+    are empty. Without rows the model knows no language. Other columns are ignored. No language is left out: where there are
+    more than `languages`, what is broadcast would have no bound, and that is a ValueError.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("string").alias("k"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and k is not null")
-    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    found = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(languages + 1).collect()
+    if len(found) > languages:
+        raise ValueError(f"the documents name more than {languages} languages")
     if not found:
         return TextModel([], np.zeros((0, 1 << BITS)))
     share = F.create_map(*[x for r in found for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["n"])))])
@@ -90,15 +93,15 @@ def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", id_co
                     at = np.flatnonzero(n)
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(n[at])], names=["lang", "t", "n"])
 
-    got = map_arrow(texts, count, "lang string, t long, n long").groupBy("lang", "t").agg(F.sum("n").alias("n")).toPandas()
-    languages = sorted(got["lang"].unique().tolist())
-    logs = np.zeros((len(languages), 1 << BITS))
-    for j, lang in enumerate(languages):
-        part = got[got["lang"] == lang]
+    def model(table: pa.Table) -> pa.Table:
         counts = np.full(1 << BITS, 0.5)
-        counts[part["t"].to_numpy()] += part["n"].to_numpy()
-        logs[j] = np.log(counts / counts.sum())
-    return TextModel(languages, logs)
+        counts[table.column("t").to_numpy()] += table.column("n").to_numpy()
+        return pa.table({"lang": table.column("lang").slice(0, 1), "logs": pa.array([np.log(counts / counts.sum()).tobytes()], pa.binary())})
+
+    sums = map_arrow(texts, count, "lang string, t long, n long").groupBy("lang", "t").agg(F.sum("n").alias("n"))
+    got = sorted((r["lang"], bytes(r["logs"])) for r in sums.groupBy("lang").applyInArrow(lambda t: model(t), "lang string, logs binary").toLocalIterator())
+    logs = np.array([np.frombuffer(x) for _, x in got]).reshape(-1, 1 << BITS)
+    return TextModel([lang for lang, _ in got], logs)
 
 
 def _evidence(pages: DataFrame, model, url_col: str, html_col: str) -> DataFrame:

@@ -49,3 +49,12 @@ def test_ratios_and_threshold_decide_on_given_pages(monkeypatch):
         assert changed() >= 5
     monkeypatch.setattr(html_text, "THRESHOLD", -1.0)
     assert changed() == len(pages)
+
+
+def test_no_language_is_left_out(spark):
+    from lodestar.llm import language
+
+    rows = spark.createDataFrame([(i, f"l{i % 30}", f"text of {i % 30}") for i in range(90)], "doc_id long, lang string, text string")
+    assert language.train(rows).languages == sorted(f"l{i}" for i in range(30))
+    with pytest.raises(ValueError, match="more than 29 languages"):
+        language.train(rows, languages=29)

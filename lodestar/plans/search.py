@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestar.operators import search as S
+from lodestar.operators import text_index as I
 from lodestar.operators import trust as T
 from lodestar.operators import vector_index as V
 from lodestar.operators.graph import cut
@@ -110,6 +111,19 @@ def _(spark, d):
     return S.bm25(evidence_nodes(spark, d), TEXT, 100).select("uid", F.round("score", 6).alias("score"))
 
 
+def _text_index(spark, d, batches: int = 3):
+    """An index of all texts that came in batches."""
+    index = I.TextIndex(spark)
+    for i in range(batches):
+        index.add(evidence_nodes(spark, d).where(F.col("doc_id") % batches == i))
+    return index
+
+
+@query("bm25_index_topk", oracle(f"with {bm25_sql()} select uid, round(score, 6) as score from keyword", "evidence"))
+def _(spark, d):
+    return _text_index(spark, d).search(TEXT, 100).select("uid", F.round("score", 6).alias("score"))
+
+
 @query("hybrid_search", oracle(f"{_FUSED}, {_FAULTS}, own as (select uid, string_agg(type, ',' order by type) as faults from f where uid is not null group by uid) select hits.uid, round(score, 6) as score, sources, project, path, label, len(neighbors) as n_neighbors, coalesce(own.faults, '') as faults, confidence from hits left join own on own.uid = hits.uid, total", "evidence", "evidence_edges"))
 def _(spark, d):
     out = T.assess(_hits(spark, d), AS_OF_EPOCH)

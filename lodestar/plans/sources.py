@@ -330,9 +330,14 @@ def _(spark, d):
     return cut(files.metadata(files.in_project(spark, _written(spark, TREE))).select("path", "category", "size", "sha1", "lines", "mime"))
 
 
-@query("code_and_documents", oracle("select * from (values ('docs/ARCH.md', 'ARCHITECTURE'), ('docs/guide.md', 'DOC'), ('src/app.ts', 'code'), ('src/main.py', 'code'), ('src/svc.go', 'code'), ('src/utils.py', 'code'), ('scratch/try.py', 'code')) as t(path, kind)"))
+_PLACES = [("docs/ARCH.md", "ARCHITECTURE"), ("docs/guide.md", "DOC"), ("src/app.ts", "code"), ("src/main.py", "code"), ("src/svc.go", "code"), ("scratch/try.py", "code"), ("venv/a.py", None), ("web/node_modules/b.js", None), ("data/x.bin", None)]
+
+
+@query("code_and_documents", oracle("with t as (select p_partkey, ([" + ", ".join(f"'{p}'" for p, _ in _PLACES) + f"])[p_partkey % {len(_PLACES)} + 1] as f, ([" + ", ".join(f"'{k}'" if k else "null" for _, k in _PLACES) + f"])[p_partkey % {len(_PLACES)} + 1] as kind from part) select 'm' || p_partkey || '/' || f as path, kind from t where kind is not null"))
 def _(spark, d):
-    paths = spark.createDataFrame([(p,) for p, _ in [*TREE, ("venv/a.py", ""), ("web/node_modules/b.js", "")]], "path string")
+    """Paths made of parts: code, documents and their kinds, and what lies in folders that are left out."""
+    place = F.element_at(F.array(*[F.lit(p) for p, _ in _PLACES]), (F.col("p_partkey") % len(_PLACES) + 1).cast("int"))
+    paths = table(spark, d, "part").select(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit("/"), place).alias("path"))
     return files.documents(paths).withColumnRenamed("doc_type", "kind").unionByName(files.code_files(paths).select("path", F.lit("code").alias("kind")))
 
 

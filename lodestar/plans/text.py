@@ -182,30 +182,46 @@ def _(spark, d):
     return work_items(spark, d).select("uid", X.from_labels(labels, LABELS, "task").alias("work_type"))
 
 
-ITEMS = [(1, "Board export", "Let users export their boards as tables", "feature", "high"), (2, "Cache loses rows", "Pinned rows of the cache are evicted", "bug", "critical"), (3, "Guide cleanup", "Minor docs cleanup", "docs", "low")]
+def _pick(literals, key: str):
+    """One of the literals by key."""
+    return F.element_at(F.array(*[F.lit(x) for x in literals]), (F.col(key) % len(literals) + 1).cast("int"))
 
 
-@query("keyword_matches", oracle(f"""with p as (select m, i, t || ' ' || x as w from {_C} as c(m), {_values([(r[0], r[1], r[2]) for r in ITEMS])} as v(i, t, x))
-select m as message, i as uid, array_to_string(list_slice(list_sort(list_filter(list_distinct(regexp_split_to_array(lower(w), '\\s+')), lambda z: length(z) > 3 and z not in ('with', 'from', 'that', 'this', 'will', 'should') and contains(lower(m), z))), 1, 5), ',') as words from p"""))
+def _pick_sql(literals, key: str) -> str:
+    quoted = ", ".join("'" + x.replace("'", "''") + "'" for x in literals)
+    return f"([{quoted}])[{key} % {len(literals)} + 1]"
+
+
+@query("keyword_matches", oracle("""with p as (select p_partkey, 'fix(' || p_brand || '): ' || p_name || case when p_partkey % 3 = 0 then ' with ' || p_type else '' end as m, p_name as t, 'Make it ' || p_type || ' from now' as x from part)
+select p_partkey as uid, array_to_string(list_slice(list_sort(list_filter(list_distinct(regexp_split_to_array(lower(t || ' ' || x), '\\s+')), lambda z: length(z) > 3 and z not in ('with', 'from', 'that', 'this', 'will', 'should') and contains(lower(m), z))), 1, 5), ',') as words from p"""))
 def _(spark, d):
-    items = F.array(*[F.struct(F.lit(r[0]).alias("uid"), F.lit(r[1]).alias("title"), F.lit(r[2]).alias("description")) for r in ITEMS])
-    c = _literal(spark, COMMITS, "message string").select("message", F.explode(items).alias("i"))
-    return c.select("message", "i.uid", F.array_join(X.keyword_matches(F.col("message"), F.col("i.title"), F.col("i.description")), ",").alias("words"))
+    more = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" with "), "p_type")).otherwise("")
+    message = F.concat(F.lit("fix("), "p_brand", F.lit("): "), "p_name", more)
+    words = X.keyword_matches(message, F.col("p_name"), F.concat(F.lit("Make it "), "p_type", F.lit(" from now")))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("uid"), F.array_join(words, ",").alias("words"))
+
+
+_ANSWER = """(select conv_id, turn, case turn % 3 when 0 then 'See [Source: src/m' || conv_id || '.py:' || turn || '-' || (turn + 9) || '] and [Graph: a -> b]. ' when 1 then 'Only [Source: docs/c' || conv_id || '.md] here. ' else '' end || coalesce(text, '')
+|| case when conv_id % 2 = 0 then chr(10) || '- m' || conv_id || '.login -> db.t' || turn || ' (CALLS)' || chr(10) || '- a -> b (DEFINES)' else '' end as a from conversations)"""
 
 
-ANSWERS = [("See [Source: src/auth.py:10-20] and [Graph: a -> b].",), ("Only [Source: docs/readme.md] here",), ("none",), ("- auth.login -> db.query (CALLS)\n- a -> b (DEFINES)\nConfidence: 85%",)]
-_A = "(values " + ", ".join("('" + a.replace("\n", "' || chr(10) || '") + "')" for (a,) in ANSWERS) + ")"
+def _answers(spark, d):
+    """The turns of conversations as answers that cite files and edges."""
+    c, t = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    cited = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("See [Source: src/m"), c, F.lit(".py:"), t, F.lit("-"), (F.col("turn") + 9).cast("string"), F.lit("] and [Graph: a -> b]. "))).when(F.col("turn") % 3 == 1, F.concat(F.lit("Only [Source: docs/c"), c, F.lit(".md] here. "))).otherwise("")
+    edges = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("\n- m"), c, F.lit(".login -> db.t"), t, F.lit(" (CALLS)\n- a -> b (DEFINES)"))).otherwise("")
+    return table(spark, d, "conversations").select("conv_id", "turn", F.concat(cited, F.coalesce("text", F.lit("")), edges).alias("answer"))
 
 
-@query("citations", oracle(f"""with c as (select a, unnest(regexp_extract_all(a, '\\[Source: ([^\\]]+)\\]', 1)) as c from {_A} as t(a))
-select a as answer, regexp_extract(c, '^([^:]+)', 1) as path, try_cast(nullif(regexp_extract(c, ':(\\d+)', 1), '') as int) as start, try_cast(nullif(regexp_extract(c, '-(\\d+)$', 1), '') as int) as "end" from c"""))
+@query("citations", oracle(f"""with c as (select conv_id, turn, unnest(regexp_extract_all(a, '\\[Source: ([^\\]]+)\\]', 1)) as c from {_ANSWER})
+select conv_id, turn, regexp_extract(c, '^([^:]+)', 1) as path, try_cast(nullif(regexp_extract(c, ':(\\d+)', 1), '') as int) as start, try_cast(nullif(regexp_extract(c, '-(\\d+)$', 1), '') as int) as "end" from c"""))
 def _(spark, d):
-    return _literal(spark, ANSWERS, "answer string").select("answer", F.explode(X.citations(F.col("answer"))).alias("c")).select("answer", "c.*")
+    return _answers(spark, d).select("conv_id", "turn", F.explode(X.citations(F.col("answer"))).alias("c")).select("conv_id", "turn", "c.*")
 
 
-@query("evidence_lines", oracle(f"""with c as (select a, unnest(regexp_extract_all(a, '(?m)^- (\\S+ -> \\S+ \\([^)]*\\))', 1)) as c from {_A} as t(a)) select regexp_extract(c, '^(\\S+)', 1) as src, regexp_extract(c, '-> (\\S+)', 1) as dst, regexp_extract(c, '\\(([^)]*)\\)', 1) as type from c"""))
+@query("evidence_lines", oracle(f"""with c as (select conv_id, turn, unnest(regexp_extract_all(a, '(?m)^- (\\S+ -> \\S+ \\([^)]*\\))', 1)) as c from {_ANSWER}) select conv_id, turn, regexp_extract(c, '^(\\S+)', 1) as src, regexp_extract(c, '-> (\\S+)', 1) as dst, regexp_extract(c, '\\(([^)]*)\\)', 1) as type from c"""))
 def _(spark, d):
-    return _literal(spark, ANSWERS, "answer string").select(F.explode(X.evidence_lines(F.col("answer"))).alias("c")).select("c.*")
+    return _answers(spark, d).select("conv_id", "turn", F.explode(X.evidence_lines(F.col("answer"))).alias("c")).select("conv_id", "turn", "c.*")
 
 
 @query("fault_types", oracle("select type, count(*) as n from (select case event_type when 'error' then 'STALE_DOC' when 'view' then 'ORPHANED_NODE' else 'UNKNOWN' end as type from events) group by type"))
@@ -225,7 +241,16 @@ def _(spark, d):
     )
 
 
-NAMES = [(n,) for n in ("main.py", "README.md", "config.yaml", "data.csv", "Dockerfile", "logo.png", "notes", "a.TF", "x.proto", "setup.py", "index.html", ".gitignore", "lib.so", "ARCH.md", "PRD.txt")]
+NAMES = ["main.py", "README.md", "config.yaml", "data.csv", "Dockerfile", "logo.png", "notes", "a.TF", "x.proto", "setup.py", "index.html", ".gitignore", "lib.so", "ARCH.md", "PRD.txt"]
+_NAMED = f"(select p_partkey, case when p_partkey % 2 = 0 then '' else 'm' || p_partkey || '_' end || {_pick_sql(NAMES, 'p_partkey')} as n from part)"
+
+
+def _names(spark, d):
+    """File names made of parts: known names as they are, and with a prefix that leaves their extension alone."""
+    prefix = F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit("_")))
+    return table(spark, d, "part").select("p_partkey", F.concat(prefix, _pick(NAMES, "p_partkey")).alias("name"))
+
+
 _EXT = "lower(regexp_extract(n, '.(\\.[^./]+)$', 1))"
 
 
@@ -233,18 +258,18 @@ def _in(values) -> str:
     return "(" + ", ".join(f"'{v}'" for v in values) + ")"
 
 
-@query("file_categories", oracle(f"""select n as name, case {' '.join(f"when n in {_in(v)} then '{k}'" for k, v in X.FILE_NAMES.items())} when {_EXT} in {_in(X.BINARY)} then 'Binary' {' '.join(f"when {_EXT} in {_in(v)} then '{k}'" for k, v in X.EXTENSIONS.items())} else 'Unknown' end as category from {_values(NAMES)} as t(n)"""))
+@query("file_categories", oracle(f"""select p_partkey, n as name, case {' '.join(f"when n in {_in(v)} then '{k}'" for k, v in X.FILE_NAMES.items())} when {_EXT} in {_in(X.BINARY)} then 'Binary' {' '.join(f"when {_EXT} in {_in(v)} then '{k}'" for k, v in X.EXTENSIONS.items())} else 'Unknown' end as category from {_NAMED}"""))
 def _(spark, d):
-    return _literal(spark, NAMES, "name string").select("name", X.file_category(F.col("name")).alias("category"))
+    return _names(spark, d).select("p_partkey", "name", X.file_category(F.col("name")).alias("category"))
 
 
-@query("asset_classes", oracle(f"""select n as name, case when {_EXT} in ('.py','.js','.jsx','.ts','.tsx','.go','.java','.cpp','.h','.rs') then 'Code' when n in ('Dockerfile','docker-compose.yml','Makefile') or {_EXT} in ('.tf','.env','.toml') then 'Infrastructure'
+@query("asset_classes", oracle(f"""select p_partkey, n as name, case when {_EXT} in ('.py','.js','.jsx','.ts','.tsx','.go','.java','.cpp','.h','.rs') then 'Code' when n in ('Dockerfile','docker-compose.yml','Makefile') or {_EXT} in ('.tf','.env','.toml') then 'Infrastructure'
 when {_EXT} in ('.md','.txt','.rst') then 'Documentation' when {_EXT} in ('.json','.yaml','.yml','.xml','.ini') then 'Config' else 'Data' end as class,
 case when n like '%.md' then 'MARKDOWN' when regexp_matches(n, '\\.(ts|js|tsx|jsx|py|go|rs)$') then 'CODE' else 'DOCUMENT' end as node_type,
-case when upper(n) like '%ARCH%' then 'ARCHITECTURE' when upper(n) like '%PRD%' then 'PRD' when upper(n) like '%SPEC%' then 'SPEC' when upper(n) like '%TODO%' then 'TODO' else 'DOC' end as doc_type from {_values(NAMES)} as t(n)"""))
+case when upper(n) like '%ARCH%' then 'ARCHITECTURE' when upper(n) like '%PRD%' then 'PRD' when upper(n) like '%SPEC%' then 'SPEC' when upper(n) like '%TODO%' then 'TODO' else 'DOC' end as doc_type from {_NAMED}"""))
 def _(spark, d):
     n = F.col("name")
-    return _literal(spark, NAMES, "name string").select("name", X.asset_class(n).alias("class"), X.node_type(n).alias("node_type"), X.doc_type(n).alias("doc_type"))
+    return _names(spark, d).select("p_partkey", "name", X.asset_class(n).alias("class"), X.node_type(n).alias("node_type"), X.doc_type(n).alias("doc_type"))
 
 
 @query("html_extract", oracle(r"""with m as (select page_id, html, regexp_extract(html, '(?is)<main[^>]*>(.*?)</main>', 1) as m from pages), a as (select page_id, html, case when m <> '' then m else html end as x from m),
@@ -255,21 +280,22 @@ def _(spark, d):
     return table(spark, d, "pages").select("page_id", X.page_title(F.col("html")).alias("title"), F.sha2(X.page_text(F.col("html")), 256).alias("text_hash"))
 
 
-ERRORS = [("Request timeout after 5s",), ("connect ECONNREFUSED 127.0.0.1",), ("model llama not found",), ("boom",), ("unknown model",)]
+ERRORS = ["Request timeout after 5s", "connect ECONNREFUSED 127.0.0.1", "model llama not found", "boom", "unknown model"]
 
 
-@query("failure_triggers", oracle(f"""select e as error, case when regexp_matches(e, 'timeout|ETIMEDOUT|ESOCKETTIMEDOUT') then 'timeout' when regexp_matches(e, 'ECONNREFUSED|ENOTFOUND|connect|Network error') then 'container_down'
-when e like '%model%' and regexp_matches(e, 'not found|does not exist|unknown') then 'model_not_found' else 'retry_exceeded' end as trigger from {_values(ERRORS)} as t(e)"""))
+@query("failure_triggers", oracle(f"""select event_id, case when regexp_matches(e, 'timeout|ETIMEDOUT|ESOCKETTIMEDOUT') then 'timeout' when regexp_matches(e, 'ECONNREFUSED|ENOTFOUND|connect|Network error') then 'container_down'
+when e like '%model%' and regexp_matches(e, 'not found|does not exist|unknown') then 'model_not_found' else 'retry_exceeded' end as trigger from (select event_id, event_type || ': ' || {_pick_sql(ERRORS, 'event_id')} as e from events)"""))
 def _(spark, d):
-    return _literal(spark, ERRORS, "error string").select("error", X.trigger(F.col("error")).alias("trigger"))
+    return table(spark, d, "events").select("event_id", X.trigger(F.concat("event_type", F.lit(": "), _pick(ERRORS, "event_id"))).alias("trigger"))
 
 
-WINDOWS = [("24h",), ("7d",), ("x",), ("12",)]
+UNITS = ["h", "d", "", "x"]
 
 
-@query("window_parse", oracle("select w as \"window\", case when regexp_matches(w, '^\\d+d$') then regexp_extract(w, '^(\\d+)', 1)::int * 24 when regexp_matches(w, '^\\d+h$') then regexp_extract(w, '^(\\d+)', 1)::int end as hours from " + _values(WINDOWS) + " as t(w)"))
+@query("window_parse", oracle("select p_partkey, w as \"window\", case when regexp_matches(w, '^\\d+d$') then regexp_extract(w, '^(\\d+)', 1)::int * 24 when regexp_matches(w, '^\\d+h$') then regexp_extract(w, '^(\\d+)', 1)::int end as hours from (select p_partkey, p_size || " + _pick_sql(UNITS, "p_partkey") + " as w from part)"))
 def _(spark, d):
-    return _literal(spark, WINDOWS, "window string").select("window", X.hours(F.col("window")).alias("hours"))
+    rows = table(spark, d, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), _pick(UNITS, "p_partkey")).alias("window"))
+    return rows.select("p_partkey", "window", X.hours(F.col("window")).alias("hours"))
 
 
 @query("provenance_validate", oracle("""select doc_id, concat_ws(',', case when doc_id % 3 = 0 then 'file hash' end, case when doc_id % 4 = 0 then 'text hash' end, case when doc_id % 10 - 2 < 0 then 'start' end, case when doc_id % 5 - 1 < doc_id % 10 - 2 then 'end' end) as errors from documents"""))
@@ -280,12 +306,13 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", F.array_join(X.provenance_errors(file_hash, full, i % 10 - 2, i % 5 - 1), ",").alias("errors"))
 
 
-PROJECTS = [("My-Project",), ("bad name",), ("a..b",), ("",), ("x" * 70,), ("ok_1",)]
+PROJECTS = ["My-Project", "bad name", "a..b", "", "x" * 70, "ok_1"]
 
 
-@query("project_names", oracle(f"""select p as name, concat_ws(',', case when lower(trim(p)) = '' then 'empty' end, case when length(trim(p)) > 64 then 'too long' end, case when lower(trim(p)) <> '' and not regexp_matches(lower(trim(p)), '^[a-z0-9][a-z0-9._-]*$') then 'bad characters' end, case when p like '%..%' then 'dots' end) as errors from {_values(PROJECTS)} as t(p)"""))
+@query("project_names", oracle(f"""select c_custkey, concat_ws(',', case when lower(trim(p)) = '' then 'empty' end, case when length(trim(p)) > 64 then 'too long' end, case when lower(trim(p)) <> '' and not regexp_matches(lower(trim(p)), '^[a-z0-9][a-z0-9._-]*$') then 'bad characters' end, case when p like '%..%' then 'dots' end) as errors from (select c_custkey, {_pick_sql(PROJECTS, 'c_custkey')} || case when c_custkey % 4 = 0 then c_name else '' end as p from customer)"""))
 def _(spark, d):
-    return _literal(spark, PROJECTS, "name string").select("name", F.array_join(X.project_errors(F.col("name")), ",").alias("errors"))
+    name = F.concat(_pick(PROJECTS, "c_custkey"), F.when(F.col("c_custkey") % 4 == 0, F.col("c_name")).otherwise(""))
+    return table(spark, d, "customer").select("c_custkey", F.array_join(X.project_errors(name), ",").alias("errors"))
 
 
 @query("point_ids", oracle("""with h as (select doc_id, sha1(from_hex('6ba7b8109dad11d180b400c04fd430c8') || ('doc:' || doc_id)::blob) as h from documents)

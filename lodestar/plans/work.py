@@ -340,19 +340,24 @@ def _(spark, d):
     return spark.read.schema("event_id long, ts string, event_type string, yyyymm string").json(folder).groupBy("yyyymm").agg(_n(), F.sum("event_id").alias("ids"))
 
 
-@query("packed_lines", oracle("select doc_id, 0 as chunk_index, length(text) as chars from documents where text is not null and length(text) <= 300 and length(text) > 0"))
+@query("packed_lines", oracle(r"select doc_id, length(regexp_replace(text, '\s', '', 'g')) as chars, true as fits from documents where length(regexp_replace(coalesce(text, ''), '\s', '', 'g')) > 0"))
 def _(spark, d):
-    """Texts that fit into one chunk by the UDTF; tests have the others."""
+    """All texts packed by the UDTF: no character but white space is lost, and only a line that is longer alone makes a longer chunk."""
     functions.register(spark)
-    table(spark, d, "documents").where("length(text) <= 300").createOrReplaceTempView("_short_documents")
-    return spark.sql("select doc_id, chunk_index, length(content) as chars from _short_documents, lateral chunk_text(text, 300)")
+    table(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView("_packed_documents")
+    return spark.sql(r"""select doc_id, sum(length(regexp_replace(content, r'\s', ''))) as chars, every(length(content) <= 300 or instr(content, '\n') = 0) as fits
+        from _packed_documents, lateral chunk_text(text, 300) group by doc_id having chars > 0""")
 
 
-@query("sql_functions", oracle("select uid, name from (values ('src/utils.py.helper', 'helper'), ('src/utils.py.total', 'total')) as t(uid, name)"))
+@query("sql_functions", oracle("""select 'm' || p_partkey || '.py.helper' || p_size as uid, 'helper' || p_size as name from part union all select 'm' || p_partkey || '.py.Box', 'Box' from part where p_partkey % 2 = 0"""))
 def _(spark, d):
+    """A Python file made of each part, parsed in SQL."""
     functions.register(spark)
-    text = dict(FILES)["src/utils.py"].replace("'", "\\'").replace("\n", "\\n")
-    return spark.sql(f"select uid, name from parse_source('src/utils.py', '{text}') where seq_ratio(name, name) = 1.0")
+    k = F.col("p_partkey").cast("string")
+    box = F.when(F.col("p_partkey") % 2 == 0, 'class Box:\n    size = "def not_one(): pass"\n').otherwise("")
+    text = F.concat(box, F.lit("@cached\nasync def helper"), F.col("p_size").cast("string"), F.lit('(x):\n    """def nor_this(): pass"""\n    return x\n'))
+    table(spark, d, "part").select(F.concat(F.lit("m"), k, F.lit(".py")).alias("path"), text.alias("text")).createOrReplaceTempView("_part_files")
+    return spark.sql("select uid, name from _part_files, lateral parse_source(path, text) where seq_ratio(name, name) = 1.0")
 
 
 @query("point_payloads", oracle("select doc_id, lang as project, case when doc_id % 2 = 0 then source end as path from documents"))

@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scans
+from .graph import cut
+
 
 def seconds(column: str = "ts") -> Column:
     return F.unix_seconds(F.col(column).cast("timestamp"))
@@ -54,9 +57,8 @@ def latency_spikes(rows: DataFrame, value: str, bounds: Sequence[float], short:
 
 
 def islands(rows: DataFrame, condition: Column, key: str, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
-    """Runs of rows on which the condition holds: key, start, end, rows."""
-    w = Window.partitionBy(key).orderBy(*order)
-    marked = rows.withColumn("_ok", condition).withColumn("_run", F.sum(F.when(F.col("_ok"), 0).otherwise(1)).over(w))
+    """Runs of rows on which the condition holds: key, start, end, rows. A key's rows are spread over tasks, see scans."""
+    marked = scans.running_sum(rows.withColumn("_ok", condition), F.when(F.col("_ok"), 0).otherwise(1), key, order, "_run")
     return marked.where("_ok").groupBy(key, "_run").agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("rows")).drop("_run")
 
 
@@ -68,23 +70,27 @@ def firing(rows: DataFrame, condition: Column, key: str, hold: int, order: Seque
 
 def run_lengths(rows: DataFrame, failed: Column, key: str, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """rows with the number of failures in a row up to each (0 on success)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    out = rows.withColumn("_failed", failed.cast("int")).withColumn("_run", F.sum(1 - F.col("_failed")).over(w))
-    inner = Window.partitionBy(key, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return out.withColumn("consecutive", F.sum("_failed").over(inner)).drop("_failed", "_run")
+    return scans.run_length(rows, failed, key, order, "consecutive")
 
 
 def count_over(rows: DataFrame, condition: Column, key: str, width: int) -> DataFrame:
     """rows with how many rows of the last `width` seconds, this one included, meet the condition."""
-    w = Window.partitionBy(key).orderBy("_s").rangeBetween(-width, 0)
-    return rows.withColumn("_s", seconds()).withColumn("count", F.sum(condition.cast("int")).over(w)).drop("_s")
+    timed = rows.withColumn("_s", seconds())
+    each = timed.groupBy(F.col(key).alias("_k"), F.col("_s").alias("_at")).agg(F.sum(condition.cast("int")).alias("_n"))
+    total = cut(scans.running_sum(each, F.coalesce("_n", F.lit(0)), "_k", ["_at"], "_sum").select("_k", "_at", "_sum"))
+    # What the sum was right before the window: the last one known there, found among both kinds of rows in one order.
+    asked = total.select("_k", (F.col("_at") - width).alias("_at"), F.lit(None).cast("long").alias("_sum"), F.col("_at").alias("_for"))
+    both = total.withColumn("_for", F.lit(None).cast("long")).unionByName(asked).withColumn("_old", F.col("_for").isNull().cast("int"))
+    old = scans.last_known(both, "_sum", "_k", ["_at", "_old"], "_was").where("_for is not null").select(F.col("_k").alias("_k2"), "_for", "_was")
+    found = total.join(old, F.col("_k").eqNullSafe(F.col("_k2")) & (F.col("_at") == F.col("_for"))).select("_k", "_at", (F.col("_sum") - F.coalesce("_was", F.lit(0))).alias("count"))
+    return timed.join(found, F.col(key).eqNullSafe(F.col("_k")) & F.col("_s").eqNullSafe(F.col("_at"))).drop("_s", "_k", "_at")
 
 
 def increase(rows: DataFrame, value: str, key: str, width: int, order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """Per window, how much a counter rose, a fall counting as a restart from zero."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(*order))
+    before = F.col("_before")
     delta = F.when(before.isNull(), 0.0).when(F.col(value) < before, F.col(value)).otherwise(F.col(value) - before)
-    return rows.withColumn("_d", delta).withColumn("window", bucket(width)).groupBy(key, "window").agg(F.sum("_d").alias("increase"))
+    return scans.previous(rows, value, key, order, "_before").withColumn("_d", delta).withColumn("window", bucket(width)).groupBy(key, "window").agg(F.sum("_d").alias("increase"))
 
 
 def severity(status: str = "status", failures: str = "consecutive") -> Column:
@@ -108,8 +114,7 @@ def as_of_join(events: DataFrame, versions: DataFrame, key: str, ts: str = "ts",
     """events with the value of the last version at or before them: one sort of both, no pairs."""
     both = events.withColumn("_v", F.lit(None).cast(versions.schema[value].dataType)).withColumn("_e", F.lit(1))
     old = versions.select(key, ts, *[F.lit(None).cast(events.schema[c].dataType).alias(c) for c in events.columns if c not in (key, ts)], F.col(value).alias("_v"), F.lit(0).alias("_e"))
-    w = Window.partitionBy(key).orderBy(ts, "_e").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.unionByName(old).withColumn("as_of_value", F.last("_v", ignorenulls=True).over(w))
+    filled = scans.last_known(both.unionByName(old), "_v", key, [ts, "_e"], "as_of_value")
     return filled.where("_e = 1").drop("_v", "_e")
 
 
@@ -151,5 +156,4 @@ def series(rows: DataFrame, value: str, label: str, bounds: Sequence[float], wid
 
 def head_changes(polls: DataFrame, key: str = "project", head: str = "head", order: Sequence[str] = ("ts", "seq")) -> DataFrame:
     """The polls at which a project's head differs from the poll before, with that one; the first poll is none."""
-    before = F.lag(head).over(Window.partitionBy(key).orderBy(*order))
-    return polls.withColumn("before", before).where(F.col("before").isNotNull() & (F.col("before") != F.col(head)))
+    return scans.previous(polls, head, key, order, "before").where(F.col("before").isNotNull() & (F.col("before") != F.col(head)))

@@ -159,10 +159,11 @@ def attempts(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
 
 def fit_budget(ranked: DataFrame, cost: str, budget: int, order: Sequence, group: str | None = None) -> DataFrame:
     """Ranked rows whose running cost stays within the budget, per group. Each row costs 1 at least, so without a group
-    only the first `budget` rows are looked at, which are found by a distributed sort."""
+    only the first `budget` rows are looked at, which are found by a distributed sort; there a smaller cost is an error."""
     from pyspark.sql import Window
 
     if group is None:
+        ranked = ranked.withColumn(cost, F.when(F.col(cost) < 1, F.raise_error(F.lit(f"{cost} is less than 1"))).otherwise(F.col(cost)))
         ranked = ranked.orderBy(*order).limit(budget)
     w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return ranked.withColumn("running", F.sum(cost).over(w)).where(F.col("running") <= budget)

@@ -57,6 +57,11 @@ def linked_commits(links: DataFrame, uid, limit: int = 20) -> DataFrame:
     return links.where(F.col("work_uid") == uid).select("commit_hash", "ts", "file_path").distinct().orderBy(F.desc("ts"), "commit_hash", "file_path").limit(limit)
 
 
+def deleted(items: DataFrame, uids: DataFrame) -> DataFrame:
+    """items without those that uids (uid) names; unknown and repeated uids change nothing."""
+    return items.join(uids.select("uid"), "uid", "left_anti")
+
+
 def board(items: DataFrame, links: DataFrame) -> DataFrame:
     """Items with the number of their linked commits and a sort position by priority."""
     n = links.groupBy("work_uid").agg(F.countDistinct("commit_hash").alias("n_commits"))

@@ -104,10 +104,12 @@ def sliding(events: DataFrame, width: str, step: str, by: Sequence[str] = ()) ->
 
 
 def duplicates(messages: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
-    """The first message of each key; messages without a key are never duplicates."""
-    first = F.row_number().over(Window.partitionBy("_k").orderBy(*order))
+    """The first message of each key, by a partial aggregate, so a key with many messages is no hot task; messages without a
+    key are never duplicates."""
     out = messages.withColumn("_k", key)
-    return out.where("_k is not null").withColumn("_n", first).where("_n = 1").drop("_n").unionByName(out.where("_k is null")).drop("_k")
+    first = F.min_by(F.struct(*messages.columns), F.struct(*order)).alias("_first")
+    kept = out.where("_k is not null").groupBy("_k").agg(first).select("_first.*")
+    return kept.unionByName(out.where("_k is null").drop("_k"))
 
 
 def as_of_join(events: DataFrame, versions: DataFrame, key: str, ts: str = "ts", value: str = "value") -> DataFrame:

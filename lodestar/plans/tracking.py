@@ -57,6 +57,13 @@ def _(spark, d):
     return W.linked_commits(_links(spark, d), 3)
 
 
+@query("board_delete", oracle("select project, status, count(*) as n from work_items where uid % 5 <> 0 group by 1, 2", "work_items"))
+def _(spark, d):
+    items = work_items(spark, d)
+    left = W.deleted(items, items.where("uid % 5 = 0").select("uid"))
+    return left.groupBy("project", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("kanban", oracle("""select uid, status, priority, case priority when 'critical' then 0 when 'high' then 1 when 'medium' then 2 else 3 end as position, count(distinct commit_hash) as n_commits
 from work_items left join changes on work_uid = uid and linked where project = 'p2' group by all""", "work_items", "changes"))
 def _(spark, d):

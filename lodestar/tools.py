@@ -140,7 +140,7 @@ class Toolbox:
         own = nodes.select("uid")
         vectors = self._all("vectors").join(own, "uid", "left_semi")
         hits = search.hybrid(nodes, self._all("edges"), self.embed(question) if self.embed else [0.0], question, k=max_results, vectors=vectors)
-        as_of = self.spark.sql(f"select unix_timestamp('{self.as_of}') as s").first()["s"]
+        as_of = self.spark.range(1).select(F.unix_timestamp(F.lit(self.as_of)).alias("s")).first()["s"]
         sure = trust.confidence(trust.faults(hits, float(as_of)))
         return with_totals(packet.assemble(hits, question, project_name, self.as_of, most=max_results), sure)
 

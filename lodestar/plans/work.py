@@ -398,7 +398,8 @@ def _(spark, d):
 select uid, (select string_agg(commit_hash, ',' order by t desc, commit_hash) from c) as commits, (select string_agg(distinct file_path, ',' order by file_path) from l) as files from work_items where uid = 3""", "work_items", "changes"))
 def _(spark, d):
     out = _toolbox(spark, d).call("get_work_context", work_item_uid="3")
-    return out.select(F.col("uid").cast("long").alias("uid"), F.array_join("commits", ",").alias("commits"), F.array_join("files", ",").alias("files"))
+    joined = lambda c: F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c)
+    return out.select(F.col("uid").cast("long").alias("uid"), joined("commits"), joined("files"))
 
 
 @query("tool_update_work_item", oracle("select uid, 'closed' as status, priority, 'done' as closure_reason from work_items where uid = 5", "work_items"))

@@ -104,7 +104,8 @@ def ring(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: int)
 def health_history(samples: DataFrame, as_of, last: int = 10, latest_seconds: int = 300, history_seconds: int = 3600) -> tuple[DataFrame, DataFrame]:
     """The newest sample (service, ts, seq) of each service if it is not older than latest_seconds, and its last ones within history_seconds."""
     age = F.unix_seconds(F.lit(as_of).cast("timestamp")) - F.unix_seconds(F.col("ts").cast("timestamp"))
-    kept = ring(samples.where((age >= 0) & (age <= history_seconds)), ["service"], ["ts", "seq"], last)
+    past = F.col("ts") <= F.lit(as_of).cast("timestamp_ntz")  # age is in whole seconds and would let the rest of as_of's second in
+    kept = ring(samples.where(past & (age <= history_seconds)), ["service"], ["ts", "seq"], last)
     return ring(kept.where(age <= latest_seconds), ["service"], ["ts", "seq"], 1), kept
 
 

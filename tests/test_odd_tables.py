@@ -40,3 +40,8 @@ def test_work_context_of_an_item_with_many_links(spark, tmp_path):
     many = "select * from lineitem where l_orderkey <> 3 union all select l.* replace (3 as l_orderkey, 'R' as l_returnflag, i as l_partkey, l_shipdate + to_days((i // 3)::int) as l_shipdate) from range(150) r(i), (from lineitem limit 1) l"
     got = same_as_sql(spark, tmp_path, "tool_work_context", lineitem=many)
     assert got[0][1].count(",") == 49 and got[0][2].count(",") == 149
+
+
+def test_health_history_ends_at_its_time_to_the_microsecond(spark, tmp_path):
+    late = "select * from events union all select e.* replace (event_id + 1000000 + i as event_id, timestamp '2024-01-15' + to_microseconds(i * 250000 - 250000) as ts) from range(5) r(i), (from events limit 1) e"
+    same_as_sql(spark, tmp_path, "health_history", events=late)

@@ -197,7 +197,12 @@ def within(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str = "
     """points with the first span of their keys that holds them (by start, then end), or none.
 
     Spans are cut into bins of width lines and joined by bin, so the join is an equi-join and long files don't make all pairs.
+    Of spans with the same keys, start and end only the least can be the first, so one of each goes into the join.
     """
+    told = [c for c in spans.columns if c not in (*keys, start, end)]
+    one = [F.min(told[0]).alias(told[0])] if len(told) == 1 else [F.min(F.struct(*told)).alias("_t")] if told else []
+    names, grouped = spans.columns, spans.groupBy(*keys, start, end)
+    spans = (grouped.agg(*one) if one else spans.select(*keys, start, end).distinct()).select(*[F.col(f"_t.{c}").alias(c) if c in told and len(told) > 1 else F.col(c) for c in names])
     cut_spans = spans.withColumn("_bin", F.explode(F.sequence((F.col(start) / width).cast("long"), (F.col(end) / width).cast("long"))))
     hits = points.withColumn("_bin", (F.col(at) / width).cast("long")).join(cut_spans, [*keys, "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(end)))
     rest = [c for c in spans.columns if c not in keys]

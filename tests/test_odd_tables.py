@@ -45,3 +45,14 @@ def test_work_context_of_an_item_with_many_links(spark, tmp_path):
 def test_health_history_ends_at_its_time_to_the_microsecond(spark, tmp_path):
     late = "select * from events union all select e.* replace (event_id + 1000000 + i as event_id, timestamp '2024-01-15' + to_microseconds(i * 250000 - 250000) as ts) from range(5) r(i), (from events limit 1) e"
     same_as_sql(spark, tmp_path, "health_history", events=late)
+
+
+def test_equal_spans_are_joined_once(spark):
+    from lodestar.operators import graph
+
+    spans = spark.createDataFrame([("a", 1, 9, i) for i in (None, 7, 5)] + [("a", 1, 9, 6)] * 50 + [("a", 0, None, 1), (None, 1, 9, 1), ("a", 2, 9, 2)], "file string, start_line int, end_line int, span_id int")
+    points = spark.createDataFrame([("a", 3), ("a", 30), ("b", 3)], "file string, line int")
+    assert sorted(graph.within(points, spans, ["file"]).select("file", "line", "span_id").collect()) == [("a", 3, 5), ("a", 30, None), ("b", 3, None)]
+    wide = spans.withColumn("name", spans["span_id"].cast("string"))
+    assert graph.within(points, wide.where("span_id is not null"), ["file"]).where("line = 3 and file = 'a'").first()["name"] == "5"
+    assert graph.within(points, spans.drop("span_id"), ["file"]).where("end_line = 9").count() == 1

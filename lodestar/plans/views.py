@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 AS_OF = "2024-02-01 00:00:00"
 AS_OF_EPOCH = 1706745600.0
+#: Line items that a task makes edges of.
+EDGES_A_TASK = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,9 +61,11 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = out.unionByName(edge(t("customer"), ("nation", "c_nationkey"), ("customer", "c_custkey"), "HAS_ASSET"))
     out = out.unionByName(edge(t("supplier"), ("nation", "s_nationkey"), ("supplier", "s_suppkey"), "HAS_ASSET"))
     out = out.unionByName(edge(t("orders"), ("customer", "o_custkey"), ("order", "o_orderkey"), "DEFINES"))
-    # Made distinct as numbers, which is less to hash and to move than as text.
-    out = out.unionByName(edge(items.select("l_orderkey", "l_partkey").distinct(), ("order", "l_orderkey"), ("part", "l_partkey"), "DEPENDS_ON"))
-    return out.unionByName(edge(items.select("l_suppkey", "l_partkey").distinct(), ("supplier", "l_suppkey"), ("part", "l_partkey"), "CALLS"))
+    # Made distinct as numbers, which is less to hash and to move than as text, in parts of bounded size (counted from the files' footers).
+    n = max(1, -(-items.count() // EDGES_A_TASK))
+    pairs = lambda a, b: items.select(a, b).repartition(n, a, b).distinct()
+    out = out.unionByName(edge(pairs("l_orderkey", "l_partkey"), ("order", "l_orderkey"), ("part", "l_partkey"), "DEPENDS_ON"))
+    return out.unionByName(edge(pairs("l_suppkey", "l_partkey"), ("supplier", "l_suppkey"), ("part", "l_partkey"), "CALLS"))
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:

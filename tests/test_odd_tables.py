@@ -56,3 +56,11 @@ def test_equal_spans_are_joined_once(spark):
     wide = spans.withColumn("name", spans["span_id"].cast("string"))
     assert graph.within(points, wide.where("span_id is not null"), ["file"]).where("line = 3 and file = 'a'").first()["name"] == "5"
     assert graph.within(points, spans.drop("span_id"), ["file"]).where("end_line = 9").count() == 1
+
+
+def test_edges_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
+    from lodestar.plans import views
+
+    monkeypatch.setattr(views, "EDGES_A_TASK", 500)
+    n = spark.read.parquet(str(SF / "lineitem.parquet")).count()
+    assert views.edges(spark, str(SF)).where("type = 'CALLS'").rdd.getNumPartitions() >= n // 500

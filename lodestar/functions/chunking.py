@@ -40,6 +40,8 @@ BY_EXTENSION = {
 }
 _ENDS = {"paragraph": re.compile(r"\n+"), "line": re.compile(r"\n"), "sentence": re.compile(r"[.!?]\s+")}
 TOLERANCE = 100
+#: Characters of chunks that a task gathers before it hands them on.
+HELD = 1 << 20
 
 
 def sizes_for(extension: str) -> Sizes:
@@ -79,16 +81,22 @@ def spans(text: str, s: Sizes) -> list[tuple[int, int]]:
 def chunk(docs: DataFrame, sizes: Sizes | None = None, path: str = "path", text: str = "text") -> DataFrame:
     """path, chunk_index, start, end, content, content_hash, chunk_id, lines; sizes by the path's extension unless given."""
 
+    names = ["path", "chunk_index", "start", "end", "content", "content_hash", "chunk_id", "lines"]
+
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
+            rows, held = [], 0
             for p, t in zip(frame["path"], frame["text"], strict=True):
                 ext = re.search(r"\.[^./]+$", p or "")
                 for i, (a, b) in enumerate(spans(t or "", (sizes or sizes_for(ext[0] if ext else "")).check())):
                     piece = t[a:b]
                     digest = hashlib.sha256(piece.encode()).hexdigest()
                     rows.append((p, i, a, b, piece, digest, hashlib.sha256(f"{p}:{i}:{digest}".encode()).hexdigest()[:16], piece.count("\n") + 1))
-            yield pd.DataFrame(rows, columns=["path", "chunk_index", "start", "end", "content", "content_hash", "chunk_id", "lines"])
+                    held += b - a
+                    if held > HELD:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows, held = [], 0
+            yield pd.DataFrame(rows, columns=names)
 
     return docs.select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(cut, "path string, chunk_index int, start long, end long, content string, content_hash string, chunk_id string, lines int")
 

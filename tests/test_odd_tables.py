@@ -64,3 +64,16 @@ def test_edges_are_made_in_tasks_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(views, "EDGES_A_TASK", 500)
     n = spark.read.parquet(str(SF / "lineitem.parquet")).count()
     assert views.edges(spark, str(SF)).where("type = 'CALLS'").rdd.getNumPartitions() >= n // 500
+
+
+def test_chunks_leave_a_task_in_small_frames(spark, monkeypatch):
+    from lodestar.functions import chunking
+
+    text = "a line of text\n" * 1000
+    docs = spark.createDataFrame([(f"d{i}.md", text) for i in range(5)], "path string, text string")
+    whole = sorted(map(tuple, chunking.chunk(docs).collect()))
+    monkeypatch.setattr(chunking, "HELD", 2000)
+    sizes = []
+    monkeypatch.setattr(type(docs), "mapInPandas", lambda self, f, schema: sizes.extend(len(x) for x in f(iter([self.toPandas()]))))
+    chunking.chunk(docs)
+    assert sum(sizes) == len(whole) and max(sizes) <= 2

@@ -11,7 +11,7 @@ from lodestar.operators.graph import cut, shared_folder
 from lodestar.sources import code, feeds, files
 
 from .registry import query
-from .views import oracle, table, values
+from .views import oracle, spread, table, values
 
 MAIN = '''"""Entry."""
 from .utils import helper
@@ -179,13 +179,13 @@ def expected(name: str) -> str:
 
 def _files(spark, d):
     """FILES and the files made of the tables."""
-    part = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("k"))
+    part = spread(table(spark, d, "part").select("p_partkey")).select(F.col("p_partkey").cast("string").alias("k"))
     text = F.concat(
         F.lit("import m"), "k", F.lit("\n\n\nclass C"), "k", F.lit("(Base):\n    def run(self):\n        return call"), "k", F.lit("(1)\n\n# part "), "k",
         F.lit("\ndef empty"), "k", F.lit("():\n    pass  # TODO: fill "), "k", F.lit("\n"),
     )
     made = part.select(F.concat(F.lit("gen/p"), "k", F.lit(".py")).alias("path"), text.alias("text"))
-    api = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("k"))
+    api = spread(table(spark, d, "supplier").select("s_suppkey")).select(F.col("s_suppkey").cast("string").alias("k"))
     made = made.unionByName(api.select(F.concat(F.lit("gen/s"), "k", F.lit(".proto")).alias("path"), F.concat(F.lit("message M"), "k", F.lit(" {\n}\nservice S"), "k", F.lit(" {\n}\n")).alias("text")))
     return spark.createDataFrame(FILES, "path string, text string").unionByName(made)
 

@@ -19,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """A small table's rows dealt out, so that costly work on each has a task for every `most` of them and not one for a whole file."""
+    return rows.repartition(max(1, -(-rows.count() // most)))
+
+
 def _uid(kind: str, key: str):
     return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
 

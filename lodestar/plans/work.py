@@ -22,7 +22,7 @@ from lodestar.tools import Toolbox
 from .registry import query
 from .search import TEXT, _hits
 from .sources import FILES, _files, expected
-from .views import AS_OF, changes, edges, evidence_nodes, health, metrics, nodes, oracle, table, work_items
+from .views import AS_OF, changes, edges, evidence_nodes, health, metrics, nodes, oracle, spread, table, work_items
 
 # Every second order is an item; every order has a commit whose message names its item or none.
 _ITEMS = """li as (select uid, project, 'order' || uid || ' totals' as title, 'repair cust' || (uid // 8) || ' ledger' as description, work_type, priority from work_items where uid % 2 = 0)"""
@@ -356,7 +356,7 @@ def _(spark, d):
     k = F.col("p_partkey").cast("string")
     box = F.when(F.col("p_partkey") % 2 == 0, 'class Box:\n    size = "def not_one(): pass"\n').otherwise("")
     text = F.concat(box, F.lit("@cached\nasync def helper"), F.col("p_size").cast("string"), F.lit('(x):\n    """def nor_this(): pass"""\n    return x\n'))
-    table(spark, d, "part").select(F.concat(F.lit("m"), k, F.lit(".py")).alias("path"), text.alias("text")).createOrReplaceTempView("_part_files")
+    spread(table(spark, d, "part").select("p_partkey", "p_size")).select(F.concat(F.lit("m"), k, F.lit(".py")).alias("path"), text.alias("text")).createOrReplaceTempView("_part_files")
     return spark.sql("select uid, name from _part_files, lateral parse_source(path, text) where seq_ratio(name, name) = 1.0")
 
 

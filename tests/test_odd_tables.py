@@ -77,3 +77,10 @@ def test_chunks_leave_a_task_in_small_frames(spark, monkeypatch):
     monkeypatch.setattr(type(docs), "mapInPandas", lambda self, f, schema: sizes.extend(len(x) for x in f(iter([self.toPandas()]))))
     chunking.chunk(docs)
     assert sum(sizes) == len(whole) and max(sizes) <= 2
+
+
+def test_files_are_read_by_many_tasks(spark, monkeypatch):
+    from lodestar.plans import sources, views
+
+    monkeypatch.setattr(views.spread, "__defaults__", (50,))
+    assert sources._files(spark, str(SF)).rdd.getNumPartitions() >= 4

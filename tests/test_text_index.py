@@ -6,6 +6,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.operators import search, text_index
 
@@ -65,3 +66,33 @@ def test_empty(spark, texts):
     assert index.search("w0").count() == 0
     index.add(texts.where("uid = '-'"))
     assert index.search("w0").count() == 0 and index.search(" ,").count() == 0
+
+
+def test_postings_are_made_in_blocks_within_a_task(spark, texts, monkeypatch):
+    """Blocks of 100 over frames of 7 rows and pieces of 50 characters hold each document's counts; no word by itself is shuffled."""
+    monkeypatch.setattr(text_index, "BLOCK", 100)
+    monkeypatch.setattr(text_index, "PIECE", 50)
+    monkeypatch.setattr(text_index, "HANDED", 3)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        index = text_index.TextIndex(spark)
+        index.add(texts)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    rows = index.postings(["w0", "w1", "w2", "w39"])
+    got = {r["term"]: (r["d"], r["n"], r["m"]) for r in rows.groupBy("term").agg(F.count("*").alias("d"), F.sum("n_docs").alias("n"), F.max("max_tf").alias("m")).collect()}
+    split = [re.findall("[a-z0-9]+", (r["docstring"] or "").lower()) for r in texts.collect()]
+    for w in ("w0", "w1", "w2", "w39"):
+        assert got[w][1:] == (sum(w in t for t in split), max(t.count(w) for t in split)) and got[w][0] <= 7
+    assert rounded(index.search("w1 w2", 30)) == rounded(search.bm25(texts, "w1 w2", 30))
+
+
+def test_equal_texts_are_ordered_by_key(spark):
+    """Scores are added up in the order of the terms, whatever order the rows come in, so copies tie to the last bit."""
+    rows = [(f"c{i:03d}", "w1 w2 w2 w3 w4 w4 w4 w5 w6 w7") for i in range(60)] + [(f"o{i:03d}", " ".join(f"w{j}" for j in range(1, 8) if i % (j + 1))) for i in range(200)]
+    index = text_index.TextIndex(spark)
+    for i in range(3):
+        index.add(spark.createDataFrame(rows[i::3], "uid string, docstring string").repartition(3))
+    found = [r for r in index.search("w7 w1 w4 w6 w2 w3 w5", 300).collect() if r["uid"] < "d"]
+    assert len({r["score"] for r in found}) == 1 and [r["uid"] for r in found] == [f"c{i:03d}" for i in range(60)]

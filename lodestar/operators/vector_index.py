@@ -3,8 +3,9 @@
 Vectors count by their direction. k-means cuts the sphere into cells, and in each of PARTS parts of the dimensions a
 second k-means gives CODES typical residuals, so that a vector is its cell and PARTS bytes. Both are fitted on a bounded
 sample in rounds of Spark jobs; all rows are indexed. The index is a folder: the model, and for each batch a table of
-codes and a table of vectors, both partitioned by cell. A search reads the codes of the cells nearest to a query, keeps
-the best by code, and fetches the vectors of these alone.
+codes and a table of vectors, both partitioned by groups of cells and sorted by cell, so files do not grow with cells. A search
+reads the codes of the cells nearest to a query, keeps the best by code in blocks of many cells, and fetches the vectors of
+these alone.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ from .search import dot
 #: Vectors to a cell and cells at most (for the default number of cells), and rows of the sample that is fitted on.
 PER_CELL, MAX_CELLS, SAMPLE = 64, 4096, 65_536
 PARTS, CODES, ROUNDS = 16, 256, 8
-#: Rows to a file of a cell, and rows and queries that a task compares at once.
-CHUNK, QUERY_CHUNK = 65_536, 1024
+#: Rows to a file of a group of cells and to a block, queries to a block, and blocks to have at least (if rows are enough).
+CHUNK, QUERY_CHUNK, BLOCKS = 65_536, 1024, 32
+#: Groups of cells (folders of a table) at most; distances that a task holds at once.
+GROUPS, HELD = 64, 1 << 22
 
 
 @dataclass
@@ -50,12 +53,9 @@ class Model:
         left = self.parts(x - self.cells[cell])
         return np.stack([((b**2).sum(1)[None, :] - 2 * p @ b.T).argmin(1) for p, b in zip(left, self.books, strict=True)], 1).astype(np.uint8)
 
-    def distances(self, query: np.ndarray, cell: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances from a query to what the codes of one cell stand for, by a table for each part."""
-        out = np.zeros(len(codes), np.float32)
-        for i, (p, b) in enumerate(zip(self.parts((query - self.cells[cell])[None, :]), self.books, strict=True)):
-            out += ((b - p) ** 2).sum(1)[codes[:, i]]
-        return out
+    def decode(self, cell: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """What the codes of some rows stand for."""
+        return self.cells[cell] + np.concatenate([b[codes[:, i]] for i, b in enumerate(self.books)], 1)
 
 
 def unit_rows(column: pa.Array) -> np.ndarray:
@@ -95,7 +95,7 @@ def _lloyd(sample: DataFrame, centres: np.ndarray, members, rounds: int) -> np.n
             np.add.at(s, at, np.stack(frame["s"]))
             return pd.DataFrame({"g": frame["g"].iloc[0], "c": c, "n": np.bincount(at, frame["n"]).astype(np.int64), "s": list(s)})
 
-        made = sample.mapInArrow(sums, "g long, c long, n long, s array<double>").groupBy("g").applyInPandas(add, "g long, c long, n long, s array<double>")
+        made = sample.mapInArrow(sums, "g long, c long, n long, s array<double>").groupBy("g", F.expr("c div 256")).applyInPandas(add, "g long, c long, n long, s array<double>")
         new, count = centres.copy(), np.zeros((groups, k), np.int64)
         for r in made.collect():
             new[r["g"], r["c"]], count[r["g"], r["c"]] = np.array(r["s"]) / r["n"], r["n"]
@@ -168,7 +168,7 @@ class VectorIndex:
     def add(self, vectors: DataFrame) -> None:
         """A further batch: its rows get cells and codes of the model there is; what is in the index is not touched.
 
-        Null and empty vectors are left out; a key that is there already is a further row. A cell's rows go to as many
+        Null and empty vectors are left out; a key that is there already is a further row. A group's rows go to as many
         files as they need, so a crowded cell is not one task.
         """
         if not len(self.model.cells):
@@ -186,38 +186,38 @@ class VectorIndex:
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int32)), pa.array(codes, pa.binary())], names=[*batch.schema.names, "cell", "code"])
 
         placed = cut(rows.mapInArrow(place, ", ".join([*kinds, "cell int", "code binary"])))
-        files = placed.groupBy(F.col("cell").alias("_c")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_files"))
-        dealt = placed.join(F.broadcast(files), F.col("cell") == F.col("_c")).withColumn("_file", F.pmod(F.xxhash64(self.key), F.col("_files")))
-        dealt = dealt.repartition("cell", "_file")
+        placed = placed.withColumn("part", F.col("cell") % GROUPS)
+        files = placed.groupBy(F.col("part").alias("_p")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("_files"))
+        dealt = placed.join(F.broadcast(files), F.col("part") == F.col("_p")).withColumn("_file", F.pmod(F.xxhash64(self.key), F.col("_files")))
+        dealt = dealt.repartition("part", "_file").sortWithinPartitions("part", "cell")
         path = f"{self.folder}/batch-{self._next:06d}"
-        dealt.select(self.key, "code", *self.carry, "cell").write.partitionBy("cell").parquet(f"{path}/codes")
-        dealt.select(self.key, self.column, "cell").write.partitionBy("cell").parquet(f"{path}/vectors")
+        dealt.select(self.key, "code", *self.carry, "cell", "part").write.partitionBy("part").parquet(f"{path}/codes")
+        dealt.select(self.key, self.column, "cell", "part").write.partitionBy("part").parquet(f"{path}/vectors")
         forget(placed)
         self.batches.append(path.rsplit("/", 1)[1])
         self._next += 1
 
     def _table(self, name: str, cells: Sequence[int]) -> DataFrame:
-        """One of the two tables, of the given cells: a partition filter, so other cells are not listed or read."""
-        parts = [self.spark.read.parquet(f"{self.folder}/{b}/{name}").where(F.col("cell").isin(*cells)) for b in self.batches]
+        """One of the two tables, of the given cells: a partition filter, so other groups are not listed or read, and one by cell, which
+        passes over the rest of a group by its files' statistics."""
+        asked = F.col("part").isin(*sorted({c % GROUPS for c in cells})) & F.col("cell").isin(*cells)
+        parts = [self.spark.read.parquet(f"{self.folder}/{b}/{name}").where(asked if len(cells) < len(self.model.cells) else F.lit(True)).drop("part") for b in self.batches]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
         return out
 
-    def probed(self, queries: DataFrame, probes: int) -> DataFrame:
-        """query, v, cell: each query with the cells it asks."""
+    def _asked(self, queries: DataFrame, probes: int) -> list[int]:
+        """The cells that any of the queries asks."""
+        if probes >= len(self.model.cells):
+            return list(range(len(self.model.cells)))
         model = self.spark.sparkContext.broadcast(self.model)
 
         def ask(batches):
-            for batch in batches:
-                if len(batch):
-                    x = unit_rows(batch.column("v"))
-                    cells = model.value.nearest(x, probes)
-                    at = np.repeat(np.arange(len(x)), cells.shape[1])
-                    yield pa.RecordBatch.from_arrays([batch.column("query").take(pa.array(at)), pa.array(list(x[at]), pa.list_(pa.float32())), pa.array(cells.reshape(-1).astype(np.int32))], names=["query", "v", "cell"])
+            cells = [np.unique(model.value.nearest(unit_rows(b.column("v")), probes)) for b in batches if len(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(cells)).astype(np.int32) if cells else [], pa.int32())], names=["cell"])
 
-        kind = queries.schema["query"].dataType.simpleString()
-        return queries.where("v is not null and size(v) > 0").select("query", "v").mapInArrow(ask, f"query {kind}, v array<float>, cell int")
+        return sorted(r["cell"] for r in queries.select("v").mapInArrow(ask, "cell int").distinct().toLocalIterator())
 
     def probes_for(self, queries: DataFrame, k: int = 50, recall: float = 0.9, most: int = 64) -> int:
         """The fewest cells to ask for a mean recall of the k nearest, measured on the first `most` of some queries (query, v)
@@ -242,48 +242,85 @@ class VectorIndex:
         found = self._search(queries, k, probes, refine or 8 * k, where, minimum)
         return found.select("query", F.col("_key").alias(self.key), "score", "rank")
 
+    @staticmethod
+    def _blocks(held: dict[int, int], queries: int) -> tuple[dict[int, tuple[int, int]], dict[int, np.ndarray]]:
+        """For each cell its first block and how many blocks its rows are dealt into, and these blocks. Small cells share a block."""
+        most = BLOCKS // max(1, -(-queries // QUERY_CHUNK))
+        size = min(CHUNK, max(1024, -(-sum(held.values()) // max(1, most))))
+        first, block, rows = {}, 0, 0
+        for c, n in sorted(held.items()):
+            if rows and rows + n > size:
+                block, rows = block + 1, 0
+            n_blocks = max(1, -(-n // size))
+            first[c], rows = (block, n_blocks), rows + n
+            if n_blocks > 1:
+                block, rows = block + n_blocks, 0
+        return first, {c: np.arange(b, b + n, dtype=np.int32) for c, (b, n) in first.items()}
+
     def _search(self, queries: DataFrame, k: int, probes: int, refine: int, where: Column | str | None = None, minimum: float | None = None) -> DataFrame:
         if not self.batches:
             kinds = [f"query {queries.schema['query'].dataType.simpleString()}", "_key string, score double, _cell int, rank int"]
             return self.spark.createDataFrame([], ", ".join(kinds))
-        model = self.spark.sparkContext.broadcast(self.model)
-        asked = cut(self.probed(queries, min(probes, len(self.model.cells))))
-        demand = asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()
-        wanted = {r["cell"]: r["n"] for r in demand}
-        codes = self._table("codes", sorted(wanted) or [-1])
+        model, probes = self.spark.sparkContext.broadcast(self.model), min(probes, len(self.model.cells))
+        queries = cut(queries.where("v is not null and size(v) > 0").select("query", "v"))
+        wanted = self._asked(queries, probes)
+        codes = self._table("codes", wanted or [-1])
         if where is not None:
             codes = codes.where(where)
-        held = codes.groupBy(F.col("cell").alias("_c")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("_rows"))
-        load = asked.groupBy(F.col("cell").alias("_c")).agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).cast("int").alias("_queries"))
-        grid = F.broadcast(cut(held.join(load, "_c")))  # a row a cell
-        # Rows and queries of a cell meet in blocks of bounded size: each row for each block of queries, and the reverse.
-        each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        left = codes.join(grid, F.col("cell") == F.col("_c")).select("cell", F.col(self.key).alias("_key"), "code", F.pmod(F.xxhash64(self.key), F.col("_rows")).cast("int").alias("i"), each("_queries").alias("j"))
-        right = asked.join(grid, F.col("cell") == F.col("_c")).select("cell", "query", "v", F.pmod(F.xxhash64("query"), F.col("_queries")).cast("int").alias("j"), F.col("_rows"))
-        right = right.select("cell", "query", "v", each("_rows").alias("i"), "j")
+        first, blocks = self._blocks({r["cell"]: r["n"] for r in codes.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()}, queries.count())
+        # Rows and queries meet in blocks of bounded size: each row for each block of queries, and each query for the blocks of its cells.
+        grid = self.spark.createDataFrame([(c, *x) for c, x in first.items()], "_c int, _first int, _blocks int")
+        shares = max(1, -(-queries.count() // QUERY_CHUNK))
+        each = F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("j")
+        left = codes.join(F.broadcast(grid), F.col("cell") == F.col("_c"))
+        left = left.select("cell", F.col(self.key).alias("_key"), "code", (F.col("_first") + F.pmod(F.xxhash64(self.key), F.col("_blocks"))).cast("int").alias("i"), each)
+        of = self.spark.sparkContext.broadcast(blocks)
+
+        def send(batches):
+            for batch in batches:
+                if len(batch):
+                    cells = model.value.nearest(unit_rows(batch.column("v")), probes)
+                    to = [np.unique(np.concatenate([np.zeros(0, np.int32), *(of.value[c] for c in row.tolist() if c in of.value)])) for row in cells]
+                    at = pa.array(np.repeat(np.arange(len(batch)), [len(x) for x in to]))
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("query", "v")), pa.array(np.concatenate(to).astype(np.int32))], names=["query", "v", "i"])
+
+        kinds = queries.schema["query"].dataType.simpleString(), codes.schema[self.key].dataType.simpleString(), queries.schema["v"].dataType.simpleString()
+        right = queries.mapInArrow(send, f"query {kinds[0]}, v {kinds[2]}, i int").withColumn("j", F.pmod(F.xxhash64("query"), F.lit(shares)).cast("int"))
 
         def near(rows: pa.Table, asks: pa.Table) -> pa.Table:
             none = {"query": asks.column("query").slice(0, 0), "_key": rows.column("_key").slice(0, 0), "cell": pa.array([], pa.int32()), "away": pa.array([], pa.float32())}
             if not len(rows) or not len(asks):
                 return pa.table(none)
-            cell = rows.column("cell")[0].as_py()
-            code = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(rows), -1)
-            at, who, away = [], [], []
-            for q, x in enumerate(unit_rows(asks.column("v"))):
-                d = model.value.distances(x, cell, code)
-                best = np.argpartition(d, refine - 1)[:refine] if len(d) > refine else np.arange(len(d))
-                at.append(best)
-                who.append(np.full(len(best), q))
-                away.append(d[best])
-            at, who = pa.array(np.concatenate(at)), pa.array(np.concatenate(who))
-            return pa.table({"query": asks.column("query").take(who), "_key": rows.column("_key").take(at), "cell": pa.array(np.full(len(at), cell, np.int32)), "away": np.concatenate(away)})
-
-        kinds = asked.schema["query"].dataType.simpleString(), codes.schema[self.key].dataType.simpleString()
-        by = ("cell", "i", "j")
+            rows = rows.sort_by([("cell", "ascending"), ("_key", "ascending")])
+            cell = rows.column("cell").to_numpy()
+            x = model.value.decode(cell, np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint8).reshape(len(rows), -1))
+            size, starts = (x**2).sum(1), np.flatnonzero(np.diff(cell, prepend=-1)).tolist()
+            spans = list(zip(cell[starts].tolist(), starts, [*starts[1:], len(cell)], strict=True))
+            v, at, who, away = unit_rows(asks.column("v")), [], [], []
+            step = max(1, HELD // max(len(rows), len(model.value.cells)))
+            for lo in range(0, len(v), step):
+                some = v[lo : lo + step]
+                asked = np.zeros((len(some), len(model.value.cells)), bool)
+                np.put_along_axis(asked, model.value.nearest(some, probes), True, 1)
+                d = np.full((len(some), len(rows)), np.inf, np.float32)
+                for c, a, b in spans:  # only pairs of a query and a cell that it asks
+                    q = np.flatnonzero(asked[:, c])
+                    if len(q):
+                        d[q, a:b] = size[a:b] - 2 * some[q] @ x[a:b].T
+                best = np.argpartition(d, refine - 1, axis=1)[:, :refine] if len(rows) > refine else np.tile(np.arange(len(rows)), (len(some), 1))
+                far = np.take_along_axis(d, best, 1)
+                real = np.isfinite(far)
+                at.append(best[real])
+                who.append(lo + np.nonzero(real)[0])
+                away.append(far[real])
+            at, who = np.concatenate(at), pa.array(np.concatenate(who))
+            return pa.table({"query": asks.column("query").take(who), "_key": rows.column("_key").take(pa.array(at)), "cell": pa.array(cell[at].astype(np.int32)), "away": np.concatenate(away)})
+
+        by = ("i", "j")
         found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(near, f"query {kinds[0]}, _key {kinds[1]}, cell int, away float")
         order = Window.partitionBy("query").orderBy("away", "_key")
         some = cut(found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= refine).select("query", "_key", "cell"))
-        vectors = self._table("vectors", sorted(wanted) or [-1]).withColumnsRenamed({self.key: "_k", "cell": "_cell"})
+        vectors = self._table("vectors", wanted or [-1]).withColumnsRenamed({self.key: "_k", "cell": "_cell"})
         full = some.join(vectors, (F.col("cell") == F.col("_cell")) & (F.col("_key") == F.col("_k")))
         full = full.join(queries.select(F.col("query").alias("_q"), F.col("v").alias("_v")), F.col("query") == F.col("_q"))
         length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))

@@ -110,3 +110,22 @@ def test_a_lost_batch_and_an_empty_table(spark, tmp_path):
     assert [r["vec_id"] for r in again.search(asked, 2, probes=2).orderBy("rank").collect()] == [2, 3]
     none = V.VectorIndex.create(rows.where("vec_id > 9"), str(tmp_path / "b"), "vec_id")
     assert none.search(asked, 2).count() == 0
+
+
+def test_folders_do_not_grow_with_cells_and_small_cells_share_blocks(spark, tmp_path, monkeypatch):
+    """150 cells lie in 64 folders; blocks of 60 rows give all rows of the cells asked, a crowded cell in several blocks."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    x[:90] = x[0]
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    index = V.VectorIndex.create(frame, str(tmp_path / "a"), "vec_id", cells=150, rounds=2)
+    assert 0 < len([p for p in (tmp_path / "a" / "batch-000001" / "codes").iterdir() if p.is_dir()]) <= V.GROUPS
+    first, blocks = V.VectorIndex._blocks({c: 20 for c in range(150)} | {150: 200_000}, 10)
+    assert len({b for c in range(150) for b in blocks[c]}) < 20 and len(blocks[150]) > 1 and not set(blocks[150]) & set(blocks[0])
+    monkeypatch.setattr(V, "CHUNK", 60)
+    monkeypatch.setattr(V, "HELD", 500)
+    asked = frame.where("vec_id % 50 = 7").select(F.col("vec_id").alias("query"), F.col("embedding").alias("v"))
+    got = by_query(index.search(asked, 9, probes=150, refine=600).collect())
+    assert len(got) == 12
+    for i, found in got.items():
+        assert found == nearest(np.arange(600), x.astype(np.float64), x[i].astype(np.float64), 9)

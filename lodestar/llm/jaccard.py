@@ -14,6 +14,10 @@ of its prefix tokens, which joins groups of near copies by work in proportion to
 of different components then give every pair of such classes, and all links that are missing are among these. Each set
 also has 256 parity bits of its tokens: sets differ in at least as many tokens as their parities in bits, so pairs
 that differ in too many bits are left out there, and no link is lost.
+
+Near copies share many tokens, and chance gives many pairs of texts one. So tokens of the same classes are one, with a
+number and the first place in each prefix, before anything is joined; a token of two classes that its places or their
+sizes keep from being a link is left out. Both only ask less of a pair before it is verified.
 """
 
 from __future__ import annotations
@@ -219,6 +223,22 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return out
 
 
+def _merged_tokens(entries: DataFrame, percent: int) -> DataFrame:
+    """(token, node, n, pos, ell, pop, k): tokens of the same classes as one, k of them, pos the first of their places.
+
+    Tokens are told apart by a hash of their classes; if two sets of classes had the same one, they would be one token,
+    and a pair would count too much in common, never too little. So it is with entries that are there twice.
+    """
+    place = F.expr("shiftleft(cast(n as bigint), 32) + pos * 4L + ell - 1")  # n, pos and ell in one long
+    ends = entries.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.bit_xor(F.xxhash64("node")).alias("x"), F.min(place).alias("lo"), F.max(place).alias("hi"))
+    for s in ("lo", "hi"):
+        ends = ends.withColumns({f"{s}n": F.shiftright(s, 32), f"{s}pos": F.expr(f"({s} & 4294967295L) div 4"), f"{s}ell": F.expr(f"({s} & 3) + 1")})
+    useful = ends.where((F.col("c") > 2) | (F.col("c") == 2) & (F.col("x") != 0) & _may_link("lo", "hi", percent))
+    names = useful.select("token", F.xxhash64("c", "x").alias("_as"))
+    same = entries.join(names, "token").groupBy(F.col("_as").alias("token"), "node")
+    return same.agg(*[F.max(c).alias(c) for c in ("n", "ell", "pop")], F.min("pos").alias("pos"), F.count(F.lit(1)).alias("k"))
+
+
 def _may_link(x: str, y: str, percent: int):
     """Sizes near enough, and the shared token within the prefixes that these sizes call for."""
     xn, yn, xp, yp = (F.col(c).cast("long") for c in (f"{x}n", f"{y}n", f"{x}pos", f"{y}pos"))
@@ -231,7 +251,7 @@ def _may_link(x: str, y: str, percent: int):
 def _pairs(rows: DataFrame, x: str, y: str) -> DataFrame:
     """Pairs (a, b), a < b, that share as many prefix tokens as the smaller L of the two asks for."""
     a, b = F.least(f"{x}node", f"{y}node").alias("a"), F.greatest(f"{x}node", f"{y}node").alias("b")
-    counted = rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("c"), F.min(F.least(f"{x}ell", f"{y}ell")).alias("ell"))
+    counted = rows.groupBy(a, b).agg(F.sum(F.least(f"{x}k", f"{y}k")).alias("c"), F.min(F.least(f"{x}ell", f"{y}ell")).alias("ell"))
     return counted.where("c >= ell").select("a", "b")
 
 
@@ -266,7 +286,7 @@ def _side(rows: DataFrame, name: str, columns) -> DataFrame:
 def _round(state: DataFrame, turn: int, percent: int) -> DataFrame:
     """Pairs of a class and the leader of one of its tokens, from different components. The first leaders are the
     classes with the most common tokens on the whole, later ones are drawn alike for all tokens."""
-    columns = ("node", "comp", "n", "pos", "ell")
+    columns = ("node", "comp", "n", "pos", "ell", "k")
     weight = F.col("pop").cast("double") if turn == 0 else F.xxhash64(F.lit(turn), "node").cast("double")
     lead = F.max(F.struct(weight.alias("w"), *[F.col(c).alias(f"lead_{c}") for c in columns])).alias("x")
     leaders = state.groupBy("token").agg(lead, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", "x.*").drop("w")
@@ -277,7 +297,7 @@ def _round(state: DataFrame, turn: int, percent: int) -> DataFrame:
 def _rest(state: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """All pairs of classes of a token that lie in different components and whose parities are near enough. One of the
     two is outside the token's largest component, so classes inside it meet the others alone."""
-    columns = ("node", "comp", "n", "pos", "ell")
+    columns = ("node", "comp", "n", "pos", "ell", "k")
     main = F.max(F.struct("size", "comp")).alias("m")
     mixed = state.groupBy("token").agg(main, F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token", F.col("m.comp").alias("main"))
     here = state.join(mixed, "token").select("token", *columns, "main").join(classes.select("node", *PARITY), "node")
@@ -321,7 +341,7 @@ def _linked(entries: DataFrame, classes: DataFrame, texts: DataFrame, percent: i
 
 
 def _prepared(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Rows (doc_id, key, n, h1, h2), classes (h1, h2, n, low, node, PARITY), entries of the prefix tokens that may be shared, texts by key."""
+    """Rows (doc_id, key, n, h1, h2), classes (h1, h2, n, low, node, PARITY), entries of the prefix tokens that are shared, texts by key."""
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
@@ -339,11 +359,10 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, percent: int) -> tupl
     first = maybe_in(texts, F.col("key"), known.select(F.col("node").alias("key")), known.count())
     shared = staged(_tokens(first, sketch, base, percent).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token"), "shared_tokens")
     keys = spark.sparkContext.broadcast(key_filter(shared, "token", shared.count()))
-    entries = _entries(first, sketch, base, percent, keys).join(known, "node", "left_semi")
-    # Rows that repeat both id and text are one node.
-    entries = entries.groupBy("token", "node").agg(*[F.max(c).alias(c) for c in ("n", "pos", "ell", "pop")])
-    entries = staged(entries, "entries")
-    discard(shared)
+    # Rows that repeat both id and text are one node, and the few that first lets through besides are left out, once tokens are merged.
+    every = staged(_entries(first, sketch, base, percent, keys), "entries")
+    entries = staged(_merged_tokens(every, percent).join(known, "node", "left_semi"), "merged_tokens")
+    discard(shared, every)
     for b in (sketch, keys):  # nothing that reads them is run again
         b.destroy()
     give_back()

@@ -8,7 +8,7 @@ import pytest
 
 import corpus_pipeline as P
 from lodestar.llm import decontaminate, exact_dedup, quality
-from lodestar.llm.shared import documents, staged
+from lodestar.llm.shared import documents, flag_maybe_in, staged
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables here")
@@ -112,3 +112,17 @@ def test_pipeline_against_a_plain_version(spark):
     assert dict(pieces) == want
     for w in windows_.values():
         assert [a for a, _ in sorted(w)] == [sum(n for _, n in sorted(w)[:i]) for i in range(len(w))] and sum(n for _, n in w) <= packing.CAPACITY
+
+
+def test_near_duplicates_shuffles_no_text_that_stays(spark, monkeypatch):
+    """Texts meet the rows to drop only where they may be among them; null ids and repeats as the stage says."""
+    words = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [(1, words(1)), (2, words(1) + " more"), (None, words(1)), (None, words(2)), (3, words(3)), (3, words(3)), (3, words(1)), (4, None), (5, "")]
+    docs = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, _maybe int")
+    asked = []
+    monkeypatch.setattr(P, "flag_maybe_in", lambda *a: asked.append(flag_maybe_in(*a)) or asked[0])
+    got = P.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r[0] or 0, r[1] or "") for r in got.collect())) == sorted([(1, words(1)), (0, words(2)), (3, words(3)), (3, words(3)), (4, ""), (5, "")])
+    plan = asked[0]._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -764,3 +764,20 @@ def test_shared_folder_is_needed_on_a_cluster(spark):
     bare = Fake(conf=Fake(get=lambda name, default: default), sparkContext=Fake(master="spark://host:7077", _jsc=none))
     with pytest.raises(RuntimeError, match="shared folder"):
         shared.shared_root(bare)
+
+
+def test_jaccard_merges_tokens_of_the_same_classes(spark):
+    """Near copies meet in few tokens, however many they share; a word sequence by chance in two texts of other sizes in none."""
+    rng = random.Random(5)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, chance = [], words(5)
+    for i in range(40):
+        text = words(300)
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join([*text[:-4], *words(4)]))]
+    rows += [(1000 + i, " ".join([*words(60 * 2**i), *chance])) for i in range(2)]
+    docs = spark.createDataFrame([*rows, rows[0], rows[0]], "doc_id long, text string")
+    _, _, entries, _ = jaccard._prepared(docs, "doc_id", "text", 80)
+    of = Counter(r["node"] for r in entries.collect())
+    assert len(of) == 80 and max(of.values()) <= 2
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_groups(docs).collect()}
+    assert got == {i: i // 2 * 2 if i < 1000 else i for i, _ in rows}
